@@ -71,10 +71,11 @@ def card_rates(cards: DataFrame, modal: DataFrame, priors: DataFrame | None = No
     beta = F.coalesce("beta", F.lit((1 - DEFAULT_RATE) * PRIOR_STRENGTH))
     rates = rates.withColumn("blended_rate", blend(F.col("hits"), F.col("packs"), alpha, beta, mode))
     if metadata:
-        seen = (cards.filter(F.col("match_id").isNotNull()).join(modal.withColumnRenamed("set_id", "modal"), "pull_id")
-                .groupBy(F.col("modal").alias("set_id"), "match_id")
-                .agg(F.max_by(F.struct("card_number", "name"),
-                              F.struct("pull_id", -F.col("row_index"))).alias("m")))
+        meta = cards.filter(F.col("match_id").isNotNull()).select(
+            "pull_id", "match_id", F.struct("row_index", "card_number", "name").alias("m"))
+        packed = meta.groupBy("pull_id", "match_id").agg(F.min("m").alias("m"))
+        seen = (packed.join(modal, "pull_id").groupBy("set_id", "match_id")
+                .agg(F.max_by("m", "pull_id").alias("m")))
         rates = (rates.join(seen, ["set_id", "match_id"])
                  .withColumns({"card_number": F.col("m.card_number"), "name": F.col("m.name")}).drop("m"))
     return rates.drop("alpha", "beta")

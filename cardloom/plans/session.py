@@ -43,3 +43,9 @@ def shared_folder(spark: SparkSession) -> str:
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     return folder or tempfile.mkdtemp(prefix="cardloom-")
+
+
+def fresh_folder(spark: SparkSession, name: str) -> str:
+    """A new, unique subfolder of the shared folder."""
+    import uuid
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"

@@ -12,7 +12,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from cardloom.functions import numbers as N
-from cardloom.operators import claims
+from cardloom.operators import claims, stats
 from cardloom.plans.skew import ordinal
 from cardloom.sources.tables import scan
 
@@ -156,6 +156,19 @@ class Standins:
         return base.selectExpr("pull_id", *_split_columns(_CARD_COLS), "l_linenumber",
                                "l_partkey", "l_suppkey", "l_extendedprice")
 
+    @cached_property
+    def verified_cards(self) -> DataFrame:
+        """Cards of verified pulls. ``row_index`` is an ordering struct here: enough for
+        tie-breaks and cheaper than a rank."""
+        order = F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate")
+        return (self.cards_unordered.withColumn("row_index", order)
+                .join(self.verified.select("pull_id", "trainer_id", "created_at"), "pull_id"))
+
+    @cached_property
+    def modal(self) -> DataFrame:
+        """(pull_id, set_id) of verified pulls."""
+        return stats.modal_set(self.verified_cards)
+
     @cached_property
     def cards(self) -> DataFrame:
         order = ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate"]
