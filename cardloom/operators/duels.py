@@ -21,12 +21,12 @@ def hash_uniform(seed: Column, draw: Column) -> Column:
     return hash_int(seed, draw) / F.lit(float(_MOD))
 
 
-def side_score(cards: DataFrame, prices: DataFrame, by: str = "pull_id") -> DataFrame:
+def side_score(cards: DataFrame, prices: DataFrame, by: str = "pull_id", digits: int = 2) -> DataFrame:
     """Sum of known midpoints per pull, 0 when nothing is priced."""
     mid = midpoint(F.col("usd_low"), F.col("usd_high"))
     priced = prices.select("match_id", mid.alias("__m")).filter("__m IS NOT NULL")
     return (cards.select(by, "match_id").join(priced, "match_id", "left").groupBy(by)
-            .agg(F.round(F.coalesce(F.sum("__m"), F.lit(0.0)), 2).alias("score")))
+            .agg(F.round(F.coalesce(F.sum("__m"), F.lit(0.0)), digits).alias("score")))
 
 
 def score_duels(duels: DataFrame, scores: DataFrame) -> DataFrame:
@@ -75,14 +75,15 @@ def random_opponents(challenges: DataFrame, pulls: DataFrame, seed: int = 7) ->
 
 
 def weighted_draws(battles: DataFrame, candidates: DataFrame, rates: DataFrame,
-                   default: float = 0.01, floor: float = 0.001) -> DataFrame:
+                   default: float = 0.01, floor: float = 0.001, order: Column | None = None) -> DataFrame:
     """Draws with replacement from the priced cards of each battle's set (all sets when
     that set has none). Weights are pull rates if any candidate of the pool has one,
     else uniform; a card with several rates keeps the one with most packs.
 
     ``battles``: battle_id, set_id, n; ``candidates``: set_id, match_id, value;
     ``rates``: match_id, blended_rate, packs. Each draw's hash uniform is placed on the
-    pool's cumulative weights by an as-of scan, so draws and cards are never paired."""
+    pool's cumulative weights (cards laid out by ``order``, default a hash of the id) by an
+    as-of scan, so draws and cards are never paired."""
     rate = rates.groupBy("match_id").agg(
         F.max_by("blended_rate", F.struct("packs", "blended_rate")).alias("rate"))
     pools = candidates.select(F.col("set_id").alias("pool"), "match_id", "value").unionByName(
@@ -90,8 +91,8 @@ def weighted_draws(battles: DataFrame, candidates: DataFrame, rates: DataFrame,
     rated = pools.groupBy("pool").agg(F.bool_or(F.col("rate").isNotNull()).alias("any_rate"))
     w = F.when(F.col("any_rate"), F.greatest(F.coalesce("rate", F.lit(default)), F.lit(floor))).otherwise(1.0)
     pools = pools.join(rated, "pool").withColumn("w", w)
-    bucket = F.pmod(F.crc32(F.col("match_id").cast("binary")), F.lit(64))
-    cum = running_sum(pools.withColumn("__b", bucket), ["pool"], ["__b", "match_id"], [F.col("__b")],
+    rank = F.pmod(F.crc32(F.col("match_id").cast("binary")), F.lit(4096)) if order is None else order
+    cum = running_sum(pools.withColumn("__o", rank), ["pool"], ["__o", "match_id"], [F.floor(F.col("__o") / 16)],
                       F.col("w"), "below", inclusive=False)
     total = pools.groupBy("pool").agg(F.sum("w").alias("total"))
     have = candidates.select(F.col("set_id").alias("pool")).distinct().withColumn("__have", F.lit(True))

@@ -70,15 +70,15 @@ def enrich(cards: DataFrame, prices: DataFrame) -> DataFrame:
     return cards.join(prices.select("match_id", "usd_low", "usd_high"), "match_id", "left")
 
 
-def pull_value(cards: DataFrame, prices: DataFrame, by: str = "pull_id") -> DataFrame:
+def pull_value(cards: DataFrame, prices: DataFrame, by: str = "pull_id", digits: int = 2) -> DataFrame:
     """Sum of midpoints per pull, NULL when nothing is priced."""
     mid = midpoint(F.col("usd_low"), F.col("usd_high"))
-    return enrich(cards, prices).groupBy(by).agg(F.round(F.sum(mid), 2).alias("value"))
+    return enrich(cards, prices).groupBy(by).agg(F.round(F.sum(mid), digits).alias("value"))
 
 
-def collection_value(rows: DataFrame, prices: DataFrame, as_of: Column) -> DataFrame:
+def collection_value(rows: DataFrame, prices: DataFrame, as_of: Column, digits: int = 2) -> DataFrame:
     """Per trainer: total quantity, value, and the price date if anything is priced."""
     mid = midpoint(F.col("usd_low"), F.col("usd_high"))
     out = enrich(rows, prices).groupBy("trainer_id").agg(
-        F.sum("qty").alias("total_qty"), F.round(F.sum(mid * F.col("qty")), 2).alias("value"))
+        F.sum("qty").alias("total_qty"), F.round(F.sum(mid * F.col("qty")), digits).alias("value"))
     return out.withColumn("priced_as_of", F.when(F.col("value").isNotNull(), as_of))

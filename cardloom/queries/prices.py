@@ -63,19 +63,19 @@ def _stale(t):
     return prices.needs_refresh(snapshot_log(t), F.lit("2001-01-03 00:00:00").cast("timestamp_ntz"))
 
 
-@query("D12", "pull_value", f"""WITH {LATEST} SELECT c.pull_id, round(sum((usd_low + usd_high) / 2), 2) AS value
+@query("D12", "pull_value", f"""WITH {LATEST} SELECT c.pull_id, round(sum((usd_low + usd_high) / 2), 8) AS value
 FROM pull_card c LEFT JOIN latest l ON c.match_id = l.match_id GROUP BY 1""")
 def _value(t):
-    return prices.pull_value(t.cards_unordered, latest_prices(t))
+    return prices.pull_value(t.cards_unordered, latest_prices(t), digits=8)
 
 
 @query("D13", "collection_value", f"""WITH {LATEST}, q AS (SELECT p.trainer_id, c.match_id, count(*) AS qty FROM pull p JOIN pull_card c ON p.pull_id = c.pull_id GROUP BY 1, 2)
-SELECT trainer_id, CAST(sum(qty) AS BIGINT) AS total_qty, round(sum((usd_low + usd_high) / 2 * qty), 2) AS value,
+SELECT trainer_id, CAST(sum(qty) AS BIGINT) AS total_qty, round(sum((usd_low + usd_high) / 2 * qty), 8) AS value,
   CASE WHEN count(usd_low) > 0 THEN '2000-12-30' END AS priced_as_of FROM q LEFT JOIN latest l ON q.match_id = l.match_id GROUP BY 1""")
 def _collection_value(t):
     rows = (t.submissions.select("pull_id", "trainer_id").join(t.cards_unordered.select("pull_id", "match_id"), "pull_id")
             .groupBy("trainer_id", "match_id").agg(F.count(F.lit(1)).alias("qty")))
-    return prices.collection_value(rows, latest_prices(t), F.lit("2000-12-30"))
+    return prices.collection_value(rows, latest_prices(t), F.lit("2000-12-30"), digits=8)
 
 
 @query("G5", "union_with_precedence", """WITH b AS (SELECT set_id, num, name, 0 AS pref FROM pull_card UNION ALL SELECT set_id, CAST(local_id AS INT), name, 1 FROM catalog_card)
@@ -207,7 +207,7 @@ def _cards_json(t):
 def timing_lines(t):
     return t.table("events").select(F.concat(
         F.lit("INFO timing.pack."), "event_type", F.lit(" scan="), F.col("user_id").cast("string"), F.lit(" ms="),
-        F.format_number(F.col("value"), "0.00"), F.lit(" cold=1")).alias("value"))
+        F.format_string("%.2f", "value"), F.lit(" cold=1")).alias("value"))
 
 
 @query("A13", "parse_timing_log", """SELECT 'pack' AS flow, event_type AS stage, CAST(user_id AS VARCHAR) AS scan, count(*) AS n, round(sum(value), 2) AS ms
