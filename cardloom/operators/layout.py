@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -372,28 +371,25 @@ def nms(boxes: DataFrame, iou: float = 0.4, key: str = "page_id", tie: str = "li
     """Greedy overlap suppression, largest area first (then smallest ``tie``).
 
     Copies can only lose to their first one and boxes of different islands cannot
-    overlap, so the greedy loop runs per island of distinct boxes."""
+    overlap, so the greedy fold runs per island of distinct boxes, inside the JVM."""
     first = boxes.groupBy(key, "x", "y", "w", "h").agg(F.min(tie).alias(tie))
     tall = first.groupBy(key).agg(F.max("h").alias("__mh"), F.max("w").alias("__mw"))
     b = first.join(tall, key).withColumns({"__yc": F.col("y") + F.col("h") / 2, "__xc": F.col("x") + F.col("w") / 2})
     b = islands(b, [key], "__yc", F.col("__mh"), 64.0, name="__iy")
     b = islands(b, [key, "__iy"], "__xc", F.col("__mw"), 64.0, name="__ix")
-    cols = [key, tie, "x", "y", "w", "h"]
-
-    def keep(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.assign(a=pdf.w * pdf.h).sort_values(["a", tie], ascending=[False, True])
-        x0, y0, w, h = (pdf[c].to_numpy() for c in ("x", "y", "w", "h"))
-        kept: list[int] = []
-        for i in range(len(pdf)):
-            k = np.array(kept, dtype=int)
-            iw = np.clip(np.minimum(x0[i] + w[i], x0[k] + w[k]) - np.maximum(x0[i], x0[k]), 0, None)
-            ih = np.clip(np.minimum(y0[i] + h[i], y0[k] + h[k]) - np.maximum(y0[i], y0[k]), 0, None)
-            inter = iw * ih
-            if not (inter / (w[i] * h[i] + w[k] * h[k] - inter) > iou).any():
-                kept.append(i)
-        return pdf.iloc[kept][cols]
-
-    return b.groupBy(key, "__iy", "__ix").applyInPandas(keep, b.select(*cols).schema)
+    box = F.struct((-F.col("w") * F.col("h")).alias("rank"), tie, "x", "y", "w", "h")
+    isle = b.groupBy(key, "__iy", "__ix").agg(F.array_sort(F.collect_list(box)).alias("__boxes"))
+
+    def overlap(p, q):
+        zero = F.lit(0.0)
+        iw = F.greatest(zero, F.least(p["x"] + p["w"], q["x"] + q["w"]) - F.greatest(p["x"], q["x"]))
+        ih = F.greatest(zero, F.least(p["y"] + p["h"], q["y"] + q["h"]) - F.greatest(p["y"], q["y"]))
+        return iw * ih > F.lit(iou) * (p["w"] * p["h"] + q["w"] * q["h"] - iw * ih)
+
+    kept = F.aggregate("__boxes", F.slice("__boxes", 1, 0),
+                       lambda acc, c: F.when(F.exists(acc, lambda k: overlap(k, c)), acc)
+                       .otherwise(F.concat(acc, F.array(c))))
+    return isle.select(key, F.explode(kept).alias("k")).select(key, f"k.{tie}", "k.x", "k.y", "k.w", "k.h")
 
 
 def fill_from_detections(strips: DataFrame, boxes: DataFrame, key: str = "page_id",

@@ -394,9 +394,9 @@ def score_card(pattern_ok: Column, blank: Column, ocr: Column, method: Column, m
     return F.struct(conf.alias("confidence"), reason.alias("reason"))
 
 
-def pack_confidence(cards: DataFrame, packs: DataFrame, group: str = "pull_id") -> DataFrame:
+def pack_confidence(cards: DataFrame, packs: DataFrame, group: str = "pull_id", digits: int = 3) -> DataFrame:
     """Mean card confidence, 0 for a pack without cards."""
-    mean = cards.groupBy(group).agg(F.round(F.avg("confidence"), 3).alias("m"))
+    mean = cards.groupBy(group).agg(F.round(F.avg("confidence"), digits).alias("m"))
     return packs.select(group).join(mean, group, "left").select(
         group, F.coalesce("m", F.lit(0.0)).alias("pack_confidence"))
 

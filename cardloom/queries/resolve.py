@@ -374,9 +374,9 @@ def _score(t):
     return scored(t)
 
 
-@query("D27", "pack_confidence", f"""WITH {RESOLVED}, {_SCORED} SELECT p.pull_id, coalesce(round(avg(confidence) + 1e-9, 3), 0) AS pack_confidence FROM pull p LEFT JOIN sc ON p.pull_id = sc.pull_id GROUP BY 1""")
+@query("D27", "pack_confidence", f"""WITH {RESOLVED}, {_SCORED} SELECT p.pull_id, coalesce(round(avg(confidence), 8), 0) AS pack_confidence FROM pull p LEFT JOIN sc ON p.pull_id = sc.pull_id GROUP BY 1""")
 def _pack(t):
-    return resolve.pack_confidence(scored(t), t.submissions)
+    return resolve.pack_confidence(scored(t), t.submissions, digits=8)
 
 
 _ANSWERS = "a AS (SELECT pull_id AS batch_id, row_index, CAST(num % 10 AS VARCHAR) || CASE WHEN num % 2 = 0 THEN '/050' ELSE '' END AS number, CASE WHEN num % 4 = 0 THEN NULL ELSE '050' END AS denominator, confidence FROM pull_card)"
