@@ -129,3 +129,11 @@ def saved_identity_key(set_code: Column, set_name: Column, number: Column, name:
 def is_degenerate_key(key: Column) -> Column:
     """Nothing after the last colon, or the literal no-evidence key."""
     return (F.element_at(F.split(key, ":"), -1) == "") | (key == "?:unknown")
+
+
+def short_grams(c: Column) -> Column:
+    """All distinct substrings of one to three characters: any text holding a needle
+    holds the needle's first three characters, so containment becomes an equi join."""
+    at = F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(c)))
+    return F.array_distinct(F.flatten(F.transform(
+        at, lambda i: F.array(*[F.substr(c, i, F.lit(n)) for n in (1, 2, 3)]))))

@@ -12,7 +12,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from cardloom.functions import names as S, numbers as N
 from cardloom.plans.skew import top_k
@@ -24,7 +24,7 @@ def edit_score(a: Column, b: Column) -> Column:
         F.lit(100.0) * (F.lit(1.0) - F.levenshtein(a, b) / longest))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def composite_score(a: pd.Series, b: pd.Series) -> pd.Series:
     """Best of plain, token-sorted and token-set similarity (0-100), Arrow-batched."""
     from difflib import SequenceMatcher
@@ -146,7 +146,7 @@ def match_name(queries: DataFrame, catalog: DataFrame, floor: float = 82.0,
              .withColumn("q", S.normalize_name(F.col("text"))).filter(query_ok(F.col("q"))))
     texts = asked.select("q").distinct()
     found = (pairs(texts, keys, floor) if pairs is candidate_pairs else pairs(texts, keys))
-    scored = found.withColumn("score", scorer(F.col("q"), F.col("key"))).filter(F.col("score") >= floor)
+    scored = found.withColumn("score", scorer(F.col("q"), F.col("key"))).filter(F.col("score") >= floor - 1e-9)
     best = (scored.groupBy("q").agg(F.min(F.struct((-F.col("score")).alias("s"), "key")).alias("m"))
             .select("q", "m.key", (-F.col("m.s")).alias("score"))
             .filter(long_enough(F.col("q"), F.col("key"))))
@@ -200,7 +200,7 @@ def match_name_in_set(queries: DataFrame, catalog: DataFrame, floor: float = 80.
     p = _printings(catalog).withColumnRenamed("set_id", "scope")
     texts, keys = asked.select("q", "scope").distinct(), p.select("key", "scope").distinct()
     found = (pairs(texts, keys, floor, ["scope"]) if pairs is candidate_pairs else pairs(texts, keys, ["scope"]))
-    scored = found.withColumn("score", scorer(F.col("q"), F.col("key"))).filter(F.col("score") >= floor)
+    scored = found.withColumn("score", scorer(F.col("q"), F.col("key"))).filter(F.col("score") >= floor - 1e-9)
     top = top_k(scored, ["q", "scope"], [F.desc("score"), "key"], 2, "r").groupBy("q", "scope").agg(
         F.max(F.when(F.col("r") == 1, F.col("key"))).alias("key"),
         F.max(F.when(F.col("r") == 1, F.col("score"))).alias("score"),
@@ -223,13 +223,11 @@ def best_set_match(names: DataFrame, candidates: DataFrame, floor: float = 82.0,
     c = candidates.select(S.set_name_words(F.col("name")).alias("key"), "set_id")
     found = candidate_pairs(n.select("q").distinct(), c.select("key").distinct(), floor)
     s = (n.select("slug", "q", "pin").join(found, "q").join(c, "key")
-         .withColumn("score", scorer(F.col("q"), F.col("key"))).filter(F.col("score") >= floor))
+         .withColumn("score", scorer(F.col("q"), F.col("key"))).filter(F.col("score") >= floor - 1e-9))
     pinned = F.col("pin").isNull() | F.contains("key", F.lower("pin"))
-    # A pin binds if any candidate carries it; three-character grams make that an equi join.
+    # a pin binds only if some candidate carries it
     low = F.lower("pin")
-    grams = c.select("key", F.explode(F.transform(
-        F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("key") - 2)),
-        lambda p: F.substr(F.col("key"), p, F.lit(3)))).alias("__g"))
+    grams = c.select("key", F.explode(S.short_grams(F.col("key"))).alias("__g"))
     live = (n.filter("pin IS NOT NULL").select("pin").distinct()
             .withColumn("__g", F.substring(low, 1, 3)).join(grams, "__g")
             .filter(F.contains("key", low)).select("pin", F.lit(True).alias("__bound")).distinct())

@@ -154,10 +154,8 @@ def resolve_set_query(queries: DataFrame, sets: DataFrame, catalog: DataFrame) -
     exact = [t.join(q, "__f").select("q", "set_id", F.lit(n).alias("tier"))
              for n, t in ((1, t1), (2, t2), (3, t3))]
     name = F.lower("name")
-    grams = (catalog.select(F.col("catalog_id").alias("set_id"), name.alias("__name"),
-                            F.explode(F.sequence(F.lit(1), F.length("name"))).alias("__i"))
-             .select("set_id", "__name", F.explode(F.array(
-                 *[F.substr("__name", F.col("__i"), F.lit(n)) for n in (1, 2, 3)])).alias("__g")).distinct())
+    grams = catalog.select(F.col("catalog_id").alias("set_id"), name.alias("__name"),
+                           F.explode(S.short_grams(name)).alias("__g"))
     sub = (q.filter(F.length("__f") > 0).withColumn("__g", F.substring("__f", 1, 3)).join(grams, "__g")
            .filter(F.contains("__name", F.col("__f"))).select("q", "set_id", F.lit(4).alias("tier")).distinct())
     found = exact[0].unionByName(exact[1]).unionByName(exact[2]).unionByName(sub)

@@ -35,9 +35,12 @@ def blocked_products(queries: DataFrame, index: DataFrame, partition: str, score
                 .withColumn(other, F.explode(F.sequence(F.lit(0), F.col(n_other) - 1)))
                 .drop("__nr", "__nq"))
 
+    def renewed(df):    # fresh column identities: both sides may come from one table
+        return df.select(*[F.col(c).alias(c) for c in df.columns])
+
     keys = [partition, "__qb", "__rb"]
-    q = cut(queries, "query_id", "__qb", "__rb", "__nq", "__nr")
-    i = cut(index, "ref_id", "__rb", "__qb", "__nr", "__nq")
+    q = renewed(cut(queries, "query_id", "__qb", "__rb", "__nq", "__nr"))
+    i = renewed(cut(index, "ref_id", "__rb", "__qb", "__nr", "__nq"))
     return q.groupBy(*keys).cogroup(i.groupBy(*keys)).applyInPandas(score, schema)
 
 
