@@ -6,9 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from cardloom.functions import names as S, numbers as N
 from cardloom.operators import fuzzy, resolve
-
-_NONE = "CAST(NULL AS STRING)"
-
+from cardloom.plans.session import stage
 
 def _promo(sets: DataFrame) -> DataFrame:
     return (sets.filter(F.col("promo_prefix").isNotNull())
@@ -19,7 +17,8 @@ def _promo(sets: DataFrame) -> DataFrame:
 def _names(cells: DataFrame, lines: DataFrame, catalog: DataFrame, key: str) -> DataFrame:
     """First matching title line of each cell, and its top line (``top_text``)."""
     asked = lines.join(cells.select(key, F.col("den").alias("denominator")), key)
-    hits = fuzzy.match_name(asked.select("text", "denominator"), catalog)
+    questions = stage(asked.select("text", "denominator").distinct(), "names")
+    hits = stage(fuzzy.match_name(questions, catalog), "matches")
     d = F.coalesce("denominator", F.lit("")).alias("__d")
     m = asked.select("*", d).drop("denominator").join(hits.select("*", d).drop("denominator", "q"), ["text", "__d"])
     cols = ["key", "score", "set_id", "local_id", "card_name", "ambiguous"]
@@ -39,11 +38,11 @@ def with_names(cells: DataFrame, lines: DataFrame, catalog: DataFrame, sets: Dat
                             "num": F.when(F.col("numerator").isNotNull(), N.normalize_local_id(F.col("numerator"))),
                             "__pre": F.when(~F.col("bare"), F.upper("prefix"))})
          .join(_promo(sets), "__pre", "left").drop("__pre"))
-    c = _names(c, lines, catalog, key)
+    c = stage(_names(c, lines, catalog, key), "named")
     retry = (F.col("m").isNull() | F.col("m.ambiguous")) & F.col("top_text").isNotNull()
-    scoped = fuzzy.match_name_in_set(
-        c.filter(retry).select(F.col("top_text").alias("text"), F.coalesce("prior_catalog", "promo_set").alias("set_id"),
-                               F.col("den").alias("denominator")), catalog).filter("NOT ambiguous")
+    questions = c.filter(retry).select(F.col("top_text").alias("text"), F.coalesce("prior_catalog", "promo_set").alias("set_id"),
+                                       F.col("den").alias("denominator")).distinct()
+    scoped = stage(fuzzy.match_name_in_set(stage(questions, "scoped"), catalog).filter("NOT ambiguous"), "scoped")
     blank = F.lit("")
     s = scoped.select(F.col("text").alias("top_text"), F.coalesce("set_id", blank).alias("__s"),
                       F.coalesce("denominator", blank).alias("__d"),
@@ -126,11 +125,12 @@ def apply_page_prior(cells: DataFrame, first: DataFrame, lines: DataFrame, page_
             .join(prior, page)
             .withColumns({"prior_set": F.col("__ps"), "prior_denominator": F.col("__pd"), "prior_catalog": F.col("__pc")})
             .drop("__ps", "__pd", "__pc"))
-    todo = resolve.prior_denominator_ok(todo, sets).filter("prior_ok").drop("prior_ok")
+    todo = stage(resolve.prior_denominator_ok(todo, sets).filter("prior_ok").drop("prior_ok"), "todo")
+    lines = stage(lines.join(todo.select(key), key, "left_semi"), "lines")
     named = with_names(todo, lines, catalog, sets, key).select(
         key, F.col("m.key").alias("key"), F.col("den").alias("denominator"), "numerator")
     sound = fuzzy.name_contradicts_number(named, catalog).filter("NOT contradicts").select(key)
-    todo = todo.join(sound, key, "left_semi")
+    todo = stage(todo.join(sound, key, "left_semi"), "todo")
     second = resolve_identity(todo, lines, catalog, sets, numerators, cards, key)
     cols = [c for c in first.columns if c != key]
     new = second.select(key, F.struct(*cols).alias("__new"))
@@ -187,9 +187,10 @@ def reconcile_answer(cards: DataFrame, answers: DataFrame, catalog: DataFrame, s
         .withColumn("akey", F.when(F.col("claim") != "", S.normalize_name(F.col("claim"))))
     printing = catalog.filter(F.col("name").isNotNull()).withColumn("akey", S.normalize_name(F.col("name")))
     keys = printing.select("akey").distinct().withColumn("exact", F.lit(True))
-    named = a.filter("akey IS NOT NULL").join(keys, "akey", "left")
-    near = fuzzy.match_name(named.filter("exact IS NULL").select(F.col("claim").alias("text"), "denominator"),
-                            catalog).filter("NOT ambiguous")
+    a = stage(a, "answers")
+    named = stage(a.filter("akey IS NOT NULL").join(keys, "akey", "left"), "claims")
+    near = stage(fuzzy.match_name(stage(named.filter("exact IS NULL").select(
+        F.col("claim").alias("text"), "denominator").distinct(), "near"), catalog).filter("NOT ambiguous"), "near")
     blank = F.lit("")
     named = (named.withColumn("__d", F.coalesce("denominator", blank))
              .join(near.select(F.col("text").alias("claim"), F.coalesce("denominator", blank).alias("__d"),
@@ -198,6 +199,7 @@ def reconcile_answer(cards: DataFrame, answers: DataFrame, catalog: DataFrame, s
                                "ckey": F.when(F.col("exact").isNotNull(), F.col("akey")).otherwise(F.col("__near"))})
 
     # printings per distinct question, reduced to counts and first rows
+    named = stage(named, "claims")
     ask = named.filter("ckey IS NOT NULL").select("ckey", "denominator", "num", "exact").distinct()
     den = F.when(F.col("denominator").rlike(r"^\d+$"), F.col("denominator").try_cast("int"))
     p = printing.select(F.col("akey").alias("ckey"), F.struct("set_id", "local_id", "set_name", "name").alias("row"),
@@ -234,9 +236,9 @@ def reconcile_answer(cards: DataFrame, answers: DataFrame, catalog: DataFrame, s
                  F.when(sole, first).when(told, variant).alias("m"),
                  F.when(~sole & ~told & (n > 0) & one_set, first).alias("shown"))
     d = F.coalesce("denominator", blank).alias("__d")
-    picks = (named.select("card_id", "ckey", "num", "exact", d)
-             .join(g.select("ckey", "num", "exact", "m", "shown", d), ["ckey", "num", "exact", "__d"])
-             .select("card_id", "m", "shown"))
+    picks = stage(named.select("card_id", "ckey", "num", "exact", d)
+                  .join(g.select("ckey", "num", "exact", "m", "shown", d), ["ckey", "num", "exact", "__d"])
+                  .select("card_id", "m", "shown"), "picks")
 
     back = sets.groupBy(F.coalesce("catalog_id", "set_code").alias("__cat")).agg(
         F.min(F.struct("set_id", "set_code", F.element_at("denominators", 1).alias("d"))).alias("entry"))
@@ -283,11 +285,13 @@ def reconcile_answer(cards: DataFrame, answers: DataFrame, catalog: DataFrame, s
         sets.select(F.coalesce("catalog_id", "set_code").alias("__c"), F.col("set_id").alias("__ls")), F.col("set_id") == F.col("__c"))
         .withColumn("__ln", N.normalize_numerator(F.col("local_id")))
         .groupBy("__ls", "__ln").agg(F.min("name").alias("in_catalog")))
+    c = stage(c, "merged")
     keyed = F.col("use_num").rlike(r"^\d+$") & ~F.col("shown_only")
     c = (c.withColumns({"__ls": F.when(keyed, F.col("new_set.set_id")), "__ln": N.normalize_numerator(F.col("use_num"))})
          .join(fetched, ["__ls", "__ln"], "left").join(tail, ["__ls", "__ln"], "left"))
     pre_name = F.when(F.col("resolved"), F.col("m.name")).when(F.col("shown_only"), F.col("shown.name")).otherwise(F.col("name"))
     c = c.withColumn("new_name", F.when(F.col("usable"), F.coalesce("looked", pre_name, F.when(keyed, F.col("in_catalog")))).otherwise(pre_name))
+    c = stage(c, "merged")
     both = (F.col("claim") != "") & F.col("new_name").isNotNull()
     name_ok = ~both | (fuzzy.edit_score(F.col("akey"), S.normalize_name(F.col("new_name"))) >= name_floor)
     seen = F.coalesce(fuzzy.numerator_corroborated(F.col("use_num"), F.col("texts")), F.lit(True))

@@ -49,3 +49,13 @@ def fresh_folder(spark: SparkSession, name: str) -> str:
     """A new, unique subfolder of the shared folder."""
     import uuid
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def stage(df, name: str = "stage"):
+    """Write an intermediate result to the shared folder and read it back.
+
+    Cuts a lineage that several branches share: it is computed once, survives the loss
+    of executors, and gives the branches measured sizes to plan with."""
+    path = fresh_folder(df.sparkSession, name)
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -6,13 +6,14 @@ from pyspark.sql import functions as F
 
 from cardloom.functions import numbers as N
 from cardloom.operators import identity, resolve
+from cardloom.plans.session import stage
 from cardloom.queries.fuzzy import TEXT, fuzzy_catalog
 from cardloom.queries.registry import query
 
 
 def sets(t):
     """Set dimension whose catalog id space is the stand-in catalog's own."""
-    return t.sets.withColumn("catalog_id", F.col("set_id"))
+    return stage(t.sets.withColumn("catalog_id", F.col("set_id")), "sets")
 
 
 def inputs(t):
@@ -25,13 +26,14 @@ def inputs(t):
         bare.alias("bare"), (bare | F.col("pattern_ok")).alias("has_reading"),
         F.lit(None).cast("string").alias("prior_set"), F.lit(None).cast("string").alias("prior_catalog"),
         F.lit(None).cast("string").alias("prior_denominator"))
+    cells = stage(cells, "cells")
     lines = cells.select("cell_id", F.explode(F.array(
         F.struct(F.lit(0).alias("rank"), F.expr(TEXT.replace("set_id", "true_set")).alias("text")),
         F.struct(F.lit(1).alias("rank"), F.col("name").alias("text")))).alias("l")).select("cell_id", "l.*")
-    cat = fuzzy_catalog(t)
+    cat = stage(fuzzy_catalog(t), "catalog")
     nums = resolve.set_numerators(sets(t).select("set_id", "catalog_id"), cat.withColumnRenamed("set_id", "catalog_id"))
     cached = t.cards_unordered.groupBy("set_id", F.col("num").cast("string").alias("numerator")).agg(F.max("name").alias("name"))
-    return cells, lines, cat, nums, cached
+    return cells, lines, cat, stage(nums, "numerators"), stage(cached, "cached")
 
 
 @query("C27", "resolve_identity")
@@ -43,10 +45,11 @@ def _ladder(t):
 @query("C28", "apply_page_prior")
 def _page(t):
     cells, lines, cat, nums, cached = inputs(t)
-    first = identity.resolve_identity(cells, lines, cat, sets(t), nums, cached)
+    dim = sets(t)
+    first = stage(identity.resolve_identity(cells, lines, cat, dim, nums, cached), "first")
     voted = first.join(cells.select("cell_id", "page_id"), "cell_id").withColumn("needs_review", ~F.col("confident"))
-    prior = resolve.page_modal(voted, sets(t), "page_id")
-    return identity.apply_page_prior(cells, first, lines, prior, cat, sets(t), nums, cached)
+    prior = resolve.page_modal(voted, dim, "page_id")
+    return identity.apply_page_prior(cells, first, lines, prior, cat, dim, nums, cached)
 
 
 @query("C30", "fuse_art_and_text", """
@@ -72,16 +75,17 @@ def _fuse(t):
 def _reconcile(t):
     num, none = F.col("num"), F.lit(None).cast("string")
     cid = (F.col("pull_id") * 100 + F.col("row_index")).alias("card_id")
-    cards = t.cards.select(
+    dim = sets(t)
+    base = stage(t.cards, "cards")
+    cards = base.select(
         cid, F.when(num % 2 == 0, F.col("set_id")).alias("set_id"), none.alias("set_code"), none.alias("set_name"),
         F.when(num % 5 == 0, F.col("name")).alias("name"), none.alias("card_number"), F.lit(0.3).alias("confidence"),
         F.lit(True).alias("needs_review"), F.when(num % 3 == 0, F.array("card_number", "name")).alias("texts"))
-    answers = t.cards.select(
+    answers = base.select(
         cid, F.when(num % 10 != 9, N.zero_fill((num % 10).cast("string"))).alias("number"),
         F.when(num % 4 != 0, F.concat(F.lit("0"), (F.lit(50) + F.substring("set_id", 2, 2).cast("int") % 9).cast("string"))).alias("denominator"),
         F.when(num % 6 == 0, F.concat(F.lit("realm & rift "), F.substring("set_id", 2, 2).cast("int").cast("string"))).alias("answer_set"),
         F.when(num % 3 != 0, F.expr(TEXT)).alias("answer_name"), F.col("confidence").alias("answer_conf"))
-    dim = sets(t)
-    cat = fuzzy_catalog(t).join(dim.select("set_id", "set_name"), "set_id")
+    cat = stage(fuzzy_catalog(t).join(dim.select("set_id", "set_name"), "set_id"), "catalog")
     cached = t.cards_unordered.filter("num < 6").groupBy("set_id", F.col("num").cast("string").alias("numerator")).agg(F.max("name").alias("name"))
     return identity.reconcile_answer(cards, answers, cat, dim, cached)
