@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from cardloom.operators.prices import midpoint
+from cardloom.plans.session import stage
 from cardloom.plans.skew import nearest_anchors, running_sum, top_k
 
 _MOD = 2147483648
@@ -88,9 +89,10 @@ def weighted_draws(battles: DataFrame, candidates: DataFrame, rates: DataFrame,
         F.max_by("blended_rate", F.struct("packs", "blended_rate")).alias("rate"))
     pools = candidates.select(F.col("set_id").alias("pool"), "match_id", "value").unionByName(
         candidates.select(F.lit("*").alias("pool"), "match_id", "value")).join(rate, "match_id", "left")
+    pools = stage(pools, "pools")
     rated = pools.groupBy("pool").agg(F.bool_or(F.col("rate").isNotNull()).alias("any_rate"))
     w = F.when(F.col("any_rate"), F.greatest(F.coalesce("rate", F.lit(default)), F.lit(floor))).otherwise(1.0)
-    pools = pools.join(rated, "pool").withColumn("w", w)
+    pools = stage(pools.join(rated, "pool").withColumn("w", w), "pools")
     rank = F.pmod(F.crc32(F.col("match_id").cast("binary")), F.lit(4096)) if order is None else order
     cum = running_sum(pools.withColumn("__o", rank), ["pool"], ["__o", "match_id"], [F.floor(F.col("__o") / 16)],
                       F.col("w"), "below", inclusive=False)

@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from cardloom.functions import names as S, numbers as N
+from cardloom.plans.session import stage
 from cardloom.plans.skew import islands, nearest_anchors, ordinal, previous_value, top_k
 
 MIN_ROWS, MAX_ROWS = 5, 13
@@ -67,7 +68,7 @@ def reading_order(boxes: DataFrame, key: str = "page_id", tie: str = "line_id",
     (from 0 per page), ``grid_rows``, ``grid_cols``. ``y`` is the box top."""
     b = page_median(boxes, [key], F.col("h"), "__mh").withColumns({
         "__yc": F.col("y") + F.col("h") / 2, "__xc": F.col("x") + F.col("w") / 2})
-    banded = islands(b, [key], "__yc", F.col("__mh") * 0.5, tile, name="band")
+    banded = stage(islands(b, [key], "__yc", F.col("__mh") * 0.5, tile, name="band"), "bands")
     placed = ordinal(banded, [key], ["band", "__xc", tie],
                      [F.col("band"), F.floor(F.col("__xc") / tile)], "position", start=0)
     grid = (banded.groupBy(key, "band").agg(F.count(F.lit(1)).alias("__n"))
@@ -86,7 +87,7 @@ def rebuild_titles(lines: DataFrame, key: str = "page_id", tie: str = "line_id",
         F.min("y").alias("top"), F.max("conf").alias("conf"),
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("x", tie, "text"))),
                                  lambda s: s["text"]), " ").alias("title"))
-    titles = joined.filter(~F.contains("title", F.lit("VOLVES")))
+    titles = stage(joined.filter(~F.contains("title", F.lit("VOLVES"))), "titles")
     return ordinal(titles, [key], ["top", F.desc("conf"), "band"], [F.floor(F.col("top") / tile)],
                    "rank", start=0)
 
@@ -131,7 +132,7 @@ def prune_close_rows(rows: DataFrame, key: str = "page_id", coord: str = "y",
 
     A gap of that size always restarts the chain, so the scan runs per island of
     closer rows, over its distinct coordinates."""
-    gaps = row_gaps(rows, key, coord, tile)
+    gaps = stage(row_gaps(rows, key, coord, tile), "gaps")
     limit = gaps.groupBy(key).agg((F.percentile("gap", F.lit(0.5)) * fraction).alias("__t"))
     chained = islands(gaps.join(limit, key).withColumn("__t", F.coalesce("__t", F.lit(INF))),
                       [key], coord, F.col("__t"), tile, inclusive=True)
@@ -159,6 +160,7 @@ def grid_pitch(cells: DataFrame, key: str = "page_id", tile: float = 64.0) -> Da
     """Per page: median distance between column centres, and between the cell centres
     of a column. ``cells``: key, island (column), cell, x, y."""
     cols = cells.groupBy(key, "island").agg(F.percentile("x", F.lit(0.5)).alias("center"))
+    cols = stage(cols, "columns")
     col_gap = row_gaps(cols, key, "center", tile)
     rows = (cells.groupBy(key, "island", "cell").agg(F.avg("y").alias("center")))
     row_prev = previous_value(rows, [key, "island"], ["center", "cell"],
@@ -375,7 +377,7 @@ def nms(boxes: DataFrame, iou: float = 0.4, key: str = "page_id", tie: str = "li
     first = boxes.groupBy(key, "x", "y", "w", "h").agg(F.min(tie).alias(tie))
     tall = first.groupBy(key).agg(F.max("h").alias("__mh"), F.max("w").alias("__mw"))
     b = first.join(tall, key).withColumns({"__yc": F.col("y") + F.col("h") / 2, "__xc": F.col("x") + F.col("w") / 2})
-    b = islands(b, [key], "__yc", F.col("__mh"), 64.0, name="__iy")
+    b = stage(islands(b, [key], "__yc", F.col("__mh"), 64.0, name="__iy"), "bands")
     b = islands(b, [key, "__iy"], "__xc", F.col("__mw"), 64.0, name="__ix")
     box = F.struct((-F.col("w") * F.col("h")).alias("rank"), tie, "x", "y", "w", "h")
     isle = b.groupBy(key, "__iy", "__ix").agg(F.array_sort(F.collect_list(box)).alias("__boxes"))

@@ -6,10 +6,11 @@ no single group, however hot, has to be sorted or held by one task:
 * ``top_k``      - rank limit that Spark pushes below the shuffle
                    (WindowGroupLimit): each map task sends at most k rows per key.
 * ``mode_per``   - two partial aggregates, no window.
-* ``ordinal``, ``previous_value``, ``running_sum``, ``islands`` - two-level scans:
-                   a group is cut into coarse, order-preserving buckets, each
-                   bucket is scanned on its own, and only one summary row per
-                   bucket is combined per group.
+* ``ordinal``, ``previous_value``, ``running_sum``, ``islands``, ``nearest_anchors`` -
+                   two-level scans: a hot group is cut into coarse, order-preserving
+                   buckets, each bucket is scanned on its own, and only one summary
+                   row per bucket is combined per group. Other groups take a plain
+                   window; the data itself is shuffled once either way.
 """
 
 from __future__ import annotations
@@ -51,25 +52,40 @@ def mode_per(df: DataFrame, group: Sequence[str], value: str, position: str | No
                            (-F.col("__best.n")).alias(count_col)))
 
 
-def _bucketed(df: DataFrame, bucket: Sequence[Column]) -> tuple[DataFrame, list[str]]:
+#: A key is hot beyond this many rows (tests lower it to take the split path).
+HOT_ROWS = 100_000
+#: Only the largest keys are split. Any other key holds at most 1/HOT_KEYS of all rows,
+#: and a list of HOT_KEYS keys is small enough to broadcast whatever the data size.
+HOT_KEYS = 4096
+
+
+def _bucketed(df: DataFrame, keys: Sequence[str], bucket: Sequence[Column]) -> tuple[DataFrame, list[str]]:
+    """Add bucket columns to the rows of hot keys; they stay NULL elsewhere."""
     names = [f"{_BUCKET}{i}" for i in range(len(bucket))]
-    return df.withColumns(dict(zip(names, bucket))), names
+    if not keys:
+        return df.withColumns(dict(zip(names, bucket))), names
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__rows")).filter(F.col("__rows") > HOT_ROWS)
+    hot = counts.orderBy(F.desc("__rows")).limit(HOT_KEYS).select(*keys, F.lit(True).alias("__hot"))
+    b = df.join(F.broadcast(hot), list(keys), "left")
+    return b.withColumns({n: F.when(F.col("__hot"), c) for n, c in zip(names, bucket)}).drop("__hot"), names
+
+
+def _hot(b: DataFrame, names: list[str]) -> DataFrame:
+    return b.filter(F.col(names[0]).isNotNull())
 
 
 def ordinal(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column],
             bucket: Sequence[Column], name: str = "ordinal", start: int = 1) -> DataFrame:
-    """row_number per key, exact, without gathering a key in one task.
+    """row_number per key, exact, without gathering a hot key in one task.
 
-    ``bucket`` holds coarse non-null columns that never decrease along ``order``.
-    """
-    b, bn = _bucketed(df, bucket)
-    sizes = b.groupBy(*keys, *bn).agg(F.count(F.lit(1)).alias("__size"))
+    ``bucket`` holds coarse non-null columns that never decrease along ``order``."""
+    b, bn = _bucketed(df, keys, bucket)
+    sizes = _hot(b, bn).groupBy(*keys, *bn).agg(F.count(F.lit(1)).alias("__size"))
     before = W.partitionBy(*keys).orderBy(*bn).rowsBetween(W.unboundedPreceding, -1)
-    offsets = sizes.select(*keys, *bn,
-                           F.coalesce(F.sum("__size").over(before), F.lit(0)).alias("__off"))
+    offsets = sizes.select(*keys, *bn, F.sum("__size").over(before).alias("__off"))
     local = W.partitionBy(*keys, *bn).orderBy(*_plain(order))
-    return (b.join(offsets, [*keys, *bn])
-             .withColumn(name, (F.row_number().over(local) + F.col("__off")
+    return (b.join(offsets, [*keys, *bn], "left")
+             .withColumn(name, (F.row_number().over(local) + F.coalesce("__off", F.lit(0))
                                 + F.lit(start - 1)).cast("bigint"))
              .drop("__off", *bn))
 
@@ -77,14 +93,13 @@ def ordinal(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column],
 def previous_value(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column],
                    bucket: Sequence[Column], value: Column, name: str) -> DataFrame:
     """``lag(value)`` per key as a two-level scan."""
-    b, bn = _bucketed(df, bucket)
-    b = b.withColumn("__val", value)
-    tail = b.groupBy(*keys, *bn).agg(
+    b, bn = _bucketed(df.withColumn("__val", value), keys, bucket)
+    tail = _hot(b, bn).groupBy(*keys, *bn).agg(
         F.max_by("__val", F.struct(*_plain(order))).alias("__last"))
     carried = tail.select(
         *keys, *bn, F.lag("__last").over(W.partitionBy(*keys).orderBy(*bn)).alias("__carry"))
     local = W.partitionBy(*keys, *bn).orderBy(*_plain(order))
-    return (b.join(carried, [*keys, *bn])
+    return (b.join(carried, [*keys, *bn], "left")
              .withColumn(name, F.when(F.row_number().over(local) == 1, F.col("__carry"))
                                 .otherwise(F.lag("__val").over(local)))
              .drop("__val", "__carry", *bn))
@@ -94,17 +109,15 @@ def running_sum(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column
                 bucket: Sequence[Column], value: Column, name: str,
                 inclusive: bool = True) -> DataFrame:
     """Running total per key as a two-level scan (``order`` must be unique per key)."""
-    b, bn = _bucketed(df, bucket)
-    b = b.withColumn("__val", value)
-    totals = b.groupBy(*keys, *bn).agg(F.sum("__val").alias("__total"))
+    b, bn = _bucketed(df.withColumn("__val", value), keys, bucket)
+    totals = _hot(b, bn).groupBy(*keys, *bn).agg(F.sum("__val").alias("__total"))
     before = W.partitionBy(*keys).orderBy(*bn).rowsBetween(W.unboundedPreceding, -1)
-    base = totals.select(*keys, *bn,
-                         F.coalesce(F.sum("__total").over(before), F.lit(0)).alias("__base"))
+    base = totals.select(*keys, *bn, F.sum("__total").over(before).alias("__base"))
     local = (W.partitionBy(*keys, *bn).orderBy(*_plain(order))
               .rowsBetween(W.unboundedPreceding, 0 if inclusive else -1))
-    return (b.join(base, [*keys, *bn])
+    return (b.join(base, [*keys, *bn], "left")
              .withColumn(name, F.coalesce(F.sum("__val").over(local), F.lit(0))
-                         + F.col("__base"))
+                         + F.coalesce("__base", F.lit(0)))
              .drop("__val", "__base", *bn))
 
 
@@ -114,23 +127,22 @@ def islands(df: DataFrame, keys: Sequence[str], coord: str, gap: Column | float,
     than ``gap`` (by at least ``gap`` when ``inclusive``).
 
     Islands depend on distinct coordinates only, so copies are folded first; the
-    distinct coordinates are scanned in buckets of ``width``. ``gap`` may be a
-    column that is constant per key. Ids count from 0 per key.
-    """
+    distinct coordinates of a hot key are scanned in tiles of ``width``. ``gap`` may be
+    a column that is constant per key. Ids count from 0 per key."""
     gap = gap if isinstance(gap, Column) else F.lit(float(gap))
-    points = (df.groupBy(*keys, coord).agg(F.first(gap).alias("__gap"))
-                .withColumn("__b", F.floor(F.col(coord) / F.lit(width))))
-    local = W.partitionBy(*keys, "__b").orderBy(coord)
+    points, (b,) = _bucketed(df.groupBy(*keys, coord).agg(F.first(gap).alias("__gap")), keys,
+                             [F.floor(F.col(coord) / F.lit(width))])
+    local = W.partitionBy(*keys, b).orderBy(coord)
     step = F.col(coord) - F.lag(coord).over(local)
     jump = (step >= F.col("__gap")) if inclusive else (step > F.col("__gap"))
     scanned = (points
                .withColumn("__jump", F.coalesce(jump.cast("bigint"), F.lit(0)))
                .withColumn("__in", F.sum("__jump").over(
                    local.rowsBetween(W.unboundedPreceding, 0))))
-    tiles = scanned.groupBy(*keys, "__b").agg(
+    tiles = _hot(scanned, [b]).groupBy(*keys, b).agg(
         F.min(coord).alias("__lo"), F.max(coord).alias("__hi"),
         F.sum("__jump").alias("__jumps"), F.first("__gap").alias("__gap"))
-    over = W.partitionBy(*keys).orderBy("__b")
+    over = W.partitionBy(*keys).orderBy(b)
     between = F.col("__lo") - F.lag("__hi").over(over)
     seam = (between >= F.col("__gap")) if inclusive else (between > F.col("__gap"))
     tiles = (tiles.withColumn("__seam", F.coalesce(seam.cast("bigint"), F.lit(0)))
@@ -138,9 +150,9 @@ def islands(df: DataFrame, keys: Sequence[str], coord: str, gap: Column | float,
                       over.rowsBetween(W.unboundedPreceding, 0))
                       + F.coalesce(F.sum("__jumps").over(
                           over.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-                  .select(*keys, "__b", "__base"))
-    labels = (scanned.join(tiles, [*keys, "__b"])
-                     .select(*keys, coord, (F.col("__in") + F.col("__base")).alias(name)))
+                  .select(*keys, b, "__base"))
+    labels = (scanned.join(tiles, [*keys, b], "left")
+                     .select(*keys, coord, (F.col("__in") + F.coalesce("__base", F.lit(0))).alias(name)))
     return df.join(labels, [*keys, coord])
 
 
@@ -162,23 +174,22 @@ def nearest_anchors(points: DataFrame, anchors: DataFrame, keys: Sequence[str],
     pts = points.select(*keys, (F.col(coord) if shift is None else F.col(coord) + shift).alias("__pos"),
                         F.lit(None).cast(anc.schema["__anchor"].dataType).alias("__anchor"),
                         F.struct(*rest).alias("__row"))
-    merged = (anc.withColumn("__row", F.col("__row").cast(pts.schema["__row"].dataType))
-              .unionByName(pts)
-              .withColumn("__b", F.floor(F.col("__pos") / F.lit(width))))
-    tiles = merged.groupBy(*keys, "__b").agg(
+    merged = anc.withColumn("__row", F.col("__row").cast(pts.schema["__row"].dataType)).unionByName(pts)
+    merged, (b,) = _bucketed(merged, keys, [F.floor(F.col("__pos") / F.lit(width))])
+    tiles = _hot(merged, [b]).groupBy(*keys, b).agg(
         F.max("__anchor").alias("__hi"), F.min("__anchor").alias("__lo"))
     over = W.partitionBy(*keys)
     tiles = tiles.select(
-        *keys, "__b",
+        *keys, b,
         F.last("__hi", ignorenulls=True).over(
-            over.orderBy("__b").rowsBetween(W.unboundedPreceding, -1)).alias("__below"),
+            over.orderBy(b).rowsBetween(W.unboundedPreceding, -1)).alias("__below"),
         F.last("__lo", ignorenulls=True).over(
-            over.orderBy(F.desc("__b")).rowsBetween(W.unboundedPreceding, -1)).alias("__above"))
-    local = W.partitionBy(*keys, "__b")
+            over.orderBy(F.desc(b)).rowsBetween(W.unboundedPreceding, -1)).alias("__above"))
+    local = W.partitionBy(*keys, b)
     point_last = F.col("__row").isNotNull()          # anchors first at equal positions
     up = local.orderBy("__pos", point_last).rowsBetween(W.unboundedPreceding, 0)
     down = local.orderBy(F.desc("__pos"), point_last).rowsBetween(W.unboundedPreceding, 0)
-    return (merged.join(tiles, [*keys, "__b"])
+    return (merged.join(tiles, [*keys, b], "left")
             .withColumns({
                 "before": F.coalesce(F.last("__anchor", ignorenulls=True).over(up), F.col("__below")),
                 "after": F.coalesce(F.last("__anchor", ignorenulls=True).over(down), F.col("__above"))})

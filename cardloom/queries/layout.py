@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from cardloom.functions import numbers as N
 from cardloom.operators import layout
+from cardloom.plans.session import stage
 from cardloom.queries.registry import query
 
 _NUM = "n AS (SELECT * FROM ocr_line WHERE contains(text, '/'))"
@@ -19,7 +20,7 @@ def _islands_sql(name, source, coord, gap, op=">"):
 @query("E4", "gap_split", f"""WITH {_islands_sql('c', 'ocr_line', 'x', 20)}, {_islands_sql('r', 'ocr_line', 'y', 15, '>=')}
 SELECT c.page_id, c.line_id, c.island AS column_no, r.island AS row_no FROM c JOIN r ON c.line_id = r.line_id""")
 def _gap_split(t):
-    c = layout.gap_split(t.ocr, ["page_id"], "x", 20.0).select("page_id", "line_id", "y", F.col("island").alias("column_no"))
+    c = layout.gap_split(t.ocr, ["page_id"], "x", 20.0).select("page_id", "line_id", "y", F.col("island").alias("column_no")).transform(stage)
     return layout.gap_split(c, ["page_id"], "y", 15.0, inclusive=True).select(
         "page_id", "line_id", "column_no", F.col("island").alias("row_no"))
 
@@ -136,9 +137,9 @@ def _crops(t):
 
 
 def grid_cells(t):
-    c = layout.gap_split(t.ocr, ["page_id"], "x", 20.0)
+    c = stage(layout.gap_split(t.ocr, ["page_id"], "x", 20.0), "columns")
     return layout.gap_split(c.withColumnRenamed("island", "col"), ["page_id", "col"], "y", 60.0) \
-        .withColumnsRenamed({"island": "cell", "col": "island"})
+        .withColumnsRenamed({"island": "cell", "col": "island"}).transform(stage)
 
 
 _CELLS = f"""{_islands_sql('c', 'ocr_line', 'x', 20)}, cj AS (SELECT *, CASE WHEN y - lag(y) OVER (PARTITION BY page_id, island ORDER BY y, line_id) > 60 THEN 1 ELSE 0 END AS j FROM c),
