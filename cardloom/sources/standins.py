@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from cardloom.functions import numbers as N
 from cardloom.operators import claims, stats
+from cardloom.plans.session import stage
 from cardloom.plans.skew import ordinal
 from cardloom.sources.tables import scan
 
@@ -210,12 +211,13 @@ class Standins:
 
     @cached_property
     def readings(self) -> DataFrame:
-        """Number readings: one parsed row per printed card."""
+        """Number readings: one parsed row per printed card, staged because every
+        consumer reads them more than once."""
         parsed = self.reading_texts.withColumn(
             "r", N.parse_number(F.col("text"), F.col("confidence")))
-        return parsed.select("pull_id", "row_index", "true_set", "num", "name", "text",
-                             "r.numerator", "r.denominator", "r.prefix", "r.confidence",
-                             "r.pattern_ok", "r.tokens")
+        return stage(parsed.select("pull_id", "row_index", "true_set", "num", "name", "text",
+                                   "r.numerator", "r.denominator", "r.prefix", "r.confidence",
+                                   "r.pattern_ok", "r.tokens"), "readings")
 
     @cached_property
     def ocr(self) -> DataFrame:
