@@ -241,7 +241,7 @@ def reconcile_answer(cards: DataFrame, answers: DataFrame, catalog: DataFrame, s
                   .select("card_id", "m", "shown"), "picks")
 
     back = sets.groupBy(F.coalesce("catalog_id", "set_code").alias("__cat")).agg(
-        F.min(F.struct("set_id", "set_code", F.element_at("denominators", 1).alias("d"))).alias("entry"))
+        F.min(F.struct("set_id", "set_code", F.get("denominators", F.lit(0)).alias("d"))).alias("entry"))
     c = cards.join(a, "card_id").join(picks, "card_id", "left")
     c = c.withColumn("__cat", F.coalesce("m.set_id", "shown.set_id")).join(back, "__cat", "left")
 

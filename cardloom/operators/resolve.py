@@ -210,7 +210,7 @@ def page_modal(cells: DataFrame, sets: DataFrame, group: str = "page_id", least:
     ties = votes.join(top, group).filter("n = m").groupBy(group).agg(F.count(F.lit(1)).alias("ties"))
     won = top.join(ties, group).filter((F.col("ties") == 1) & (F.col("m") >= least)) \
              .select(group, F.col("b.set_id").alias("set_id"), F.col("m").alias("votes"))
-    one = F.when(F.size("denominators") == 1, F.element_at("denominators", 1))
+    one = F.when(F.size("denominators") == 1, F.get("denominators", F.lit(0)))
     return won.join(sets.select("set_id", "set_name", one.alias("denominator")), "set_id")
 
 
@@ -227,7 +227,7 @@ def session_prior(cards: DataFrame, group: str = "session_id") -> DataFrame:
 
 def request_hints(modal: DataFrame, sets: DataFrame) -> DataFrame:
     """The pack's modal set name, and its denominator when it has exactly one."""
-    one = F.when(F.size("denominators") == 1, F.element_at("denominators", 1))
+    one = F.when(F.size("denominators") == 1, F.get("denominators", F.lit(0)))
     return modal.join(sets.select("set_id", F.col("set_name").alias("hint_set"), one.alias("hint_denominator")),
                       "set_id", "left")
 
