@@ -87,8 +87,8 @@ def _forest(values: np.ndarray) -> list[tuple[int, int]]:
             up[max(i, j)] = min(i, j)
 
     if n <= PAIRWISE:
-        x = values[:, None] ^ values[None, :]
-        near = np.bitwise_count(x) <= BITS
+        x = values.view(np.uint64)
+        near = np.bitwise_count(x[:, None] ^ x[None, :]) <= BITS
         for i, j in zip(*np.nonzero(np.triu(near, 1))):
             join(int(i), int(j))
     else:
