@@ -18,20 +18,43 @@ LEAVES = 200_000
 ANY = "<*>"
 
 
-def masked(line):
-    """Tokens of a line; those with a digit are variable from the start."""
+#: A line that is not its tokens joined by single spaces: digits, other white space, runs or edges.
+_ODD = r"[0-9\x09-\x0D]|\x20\x20|^\x20|\x20$"
+
+
+def body_of(line):
+    """A line's tokens joined by single spaces; tokens with a digit are variable from the start.
+    Most lines are their own body and are not cut for it."""
     tokens = F.filter(F.split(line, SPACE), lambda t: t != "")
-    return F.when(line.rlike("[0-9]"), F.transform(tokens, lambda t: F.when(t.rlike("[0-9]"), F.lit(ANY)).otherwise(t))) \
-        .otherwise(tokens)
+    return F.when(line.rlike(_ODD), F.array_join(
+        F.transform(tokens, lambda t: F.when(t.rlike("[0-9]"), F.lit(ANY)).otherwise(t)), " ")).otherwise(line)
+
+
+def line_hash(body):
+    """Identity of a line up to its variable fields and white space: 128 bits of its body."""
+    return F.unhex(F.md5(body))
+
+
+def line_bodies(strips: DataFrame, strip_id: str, text: str) -> DataFrame:
+    """(strip_id, body, n_tokens, leaf) of every line with at least ``MIN_TOKENS`` tokens; the leaf is
+    a hash of the token count and the first ``DEPTH`` tokens."""
+    lines = strips.select(F.col(strip_id).alias("strip_id"),
+                          F.explode(F.split(F.coalesce(F.col(text), F.lit("")), "\n")).alias("line"))
+    bodies = lines.select("strip_id", body_of(F.col("line")).alias("body"))
+    size = F.length("body") - F.length(F.replace("body", F.lit(" "), F.lit(""))) + 1
+    return (bodies.withColumn("n_tokens", size).filter(F.col("n_tokens") >= MIN_TOKENS)
+            .withColumn("leaf", F.unhex(F.md5(F.concat_ws("\n", F.col("n_tokens").cast("string"),
+                                                          F.substring_index("body", " ", DEPTH))))))
 
 
-def line_hash(line):
-    """Identity of a line up to its variable fields and white space: 128 bits of its tokens."""
-    return F.unhex(F.md5(F.array_join(masked(line), " ")))
+def known_lines(strips: DataFrame, strip_id: str = "strip_id", text: str = "text") -> DataFrame:
+    """(strip_id, line, leaf): each text's lines once, as hashes; written to the shared folder."""
+    return stage(line_bodies(strips, strip_id, text).select("strip_id", line_hash(F.col("body")).alias("line"), "leaf")
+                 .distinct(), "known")
 
 
 def recurring_lines(strips: DataFrame, strip_id: str = "strip_id", text: str = "text",
-                    min_texts: int = MIN_TEXTS) -> DataFrame:
+                    min_texts: int = MIN_TEXTS, known: DataFrame | None = None) -> DataFrame:
     """(line, template, n_texts): lines whose template recurs, by ``line_hash``.
 
     The tree: lines part by token count, then by their first ``DEPTH`` tokens. In a leaf, a token
@@ -41,18 +64,12 @@ def recurring_lines(strips: DataFrame, strip_id: str = "strip_id", text: str = "
     counts once per text and place of its tokens, so repeats in one text make nothing recur.
 
     Only lines of leaves with enough texts are cut into tokens. All counts are pre-aggregated."""
-    lines = strips.select(F.col(strip_id).alias("strip_id"),
-                          F.explode(F.split(F.coalesce(F.col(text), F.lit("")), "\n")).alias("line"))
-    tokens = lines.select("strip_id", masked(F.col("line")).alias("tokens")).filter(F.size("tokens") >= MIN_TOKENS)
-    joined = tokens.select("strip_id", F.array_join("tokens", " ").alias("body"),
-                           F.unhex(F.md5(F.concat_ws("\n", F.size("tokens").cast("string"),
-                                                     F.array_join(F.slice("tokens", 1, DEPTH), " ")))).alias("leaf"))
-    known = joined.select("strip_id", F.unhex(F.md5("body")).alias("line"), "leaf").distinct()
+    known = known_lines(strips, strip_id, text) if known is None else known
     counted = stage(known.groupBy("line", "leaf").agg(F.count(F.lit(1)).alias("texts")), "lines")
     leaves = counted.groupBy("leaf").agg(F.sum("texts").alias("leaf_texts")).filter(F.col("leaf_texts") >= min_texts)
     leaves = small(stage(leaves, "leaves"), LEAVES)
-    bodies = (joined.select(F.unhex(F.md5("body")).alias("line"), "body", "leaf").join(leaves, "leaf")
-              .groupBy("line").agg(F.min("body").alias("body")))
+    bodies = (line_bodies(strips, strip_id, text).join(leaves, "leaf")
+              .groupBy(line_hash(F.col("body")).alias("line")).agg(F.min("body").alias("body")))
     bodies = stage(bodies.join(counted, "line"), "bodies")
     cut = bodies.select("line", "leaf", "texts", F.posexplode(F.split("body", " ")).alias("place", "token"))
     seen = (cut.groupBy("leaf", "place", "token").agg(F.sum("texts").alias("seen"))
@@ -75,18 +92,16 @@ def drop_templates(strips: DataFrame, strip_id: str = "strip_id", text: str = "t
     NULL stays NULL; a text without recurring lines is unchanged byte by byte. A text of which
     recurring lines hold more than ``whole_share`` of the words stays whole (``n_dropped`` 0): it
     is a copy, which near-duplicate search judges. Ids may repeat or be NULL."""
-    line_rows = strips.select(F.col(strip_id).alias("_id"),
-                              F.explode(F.split(F.coalesce(F.col(text), F.lit("")), "\n")).alias("_line"))
-    line_rows = line_rows.select("_id", line_hash(F.col("_line")).alias("line"))
-    recurring = small(recurring_lines(strips, strip_id, text, min_texts).select("line"), LEAVES)
-    gone = (line_rows.join(recurring, "line").distinct()
-            .groupBy("_id").agg(F.collect_set("line").alias("_gone")))
+    known = known_lines(strips, strip_id, text)
+    recurring = small(recurring_lines(strips, strip_id, text, min_texts, known).select("line"), LEAVES)
+    gone = (known.join(recurring, "line").groupBy(F.col("strip_id").alias("_id")).agg(F.collect_set("line").alias("_gone")))
     gone = stage(gone, "gone")
     rest = [c for c in strips.columns if c.lower() not in ("n_lines", "n_dropped", "words_dropped")]
-    df = strips.select(*rest).join(gone, F.col(strip_id).eqNullSafe(F.col("_id")), "left").drop("_id")
+    # By merge at every size: the lists of lines grow with the texts, so none may be broadcast.
+    df = strips.select(*rest).join(gone.hint("merge"), F.col(strip_id).eqNullSafe(F.col("_id")), "left").drop("_id")
     df = df.withColumn("_lines", F.split(F.col(text), "\n"))
     df = df.withColumn("_left", F.when(F.col("_gone").isNull(), F.col("_lines")).otherwise(
-        F.filter("_lines", lambda x: ~F.array_contains(F.col("_gone"), line_hash(x)))))
+        F.filter("_lines", lambda x: ~F.array_contains(F.col("_gone"), line_hash(body_of(x))))))
     count = F.regexp_count(F.coalesce(F.col(text), F.lit("")), F.lit(r"[^\x20\x09-\x0D]+"))
     left = F.regexp_count(F.coalesce(F.array_join("_left", "\n"), F.lit("")), F.lit(r"[^\x20\x09-\x0D]+"))
     df = df.withColumn("_words", F.when(F.col("_gone").isNull(), 0).otherwise(count - left)) \
