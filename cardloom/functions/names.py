@@ -23,19 +23,33 @@ SLUG_NAMES = {
 }
 
 
-def _fold_table() -> tuple[str, str]:
-    """Latin-1 and Latin Extended-A/B letters that decompose to one ASCII letter."""
-    pairs = [(chr(cp), unicodedata.normalize("NFKD", chr(cp))[0])
-             for cp in list(range(0xC0, 0x250)) + list(range(0x1E00, 0x1F00))]
-    pairs = [(a, b) for a, b in pairs if a != b and b.isascii() and b.isalpha()]
-    return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
-
-
-_FROM, _TO = _fold_table()
+def _fold_tables() -> tuple[str, str, dict[str, str]]:
+    """Compatibility decompositions without combining marks, by the rule and not by a list: code
+    points that become one letter or digit of ASCII, as two aligned strings, and those that
+    become several characters with one among them, as a map."""
+    one_from, one_to, several = [], [], {}
+    for code in range(0x80, 0x20000):
+        full = "".join(c for c in unicodedata.normalize("NFKD", chr(code)) if not unicodedata.combining(c))
+        if full == chr(code) or not any(c.isascii() and c.isalnum() for c in full):
+            continue
+        if len(full) == 1:
+            one_from.append(chr(code))
+            one_to.append(full)
+        else:
+            several[chr(code)] = full
+    return "".join(one_from), "".join(one_to), several
+
+
+_FROM, _TO, _SEVERAL = _fold_tables()
+_SEVERAL_KEYS = "".join(_SEVERAL)
 
 
 def fold_accents(c: Column) -> Column:
-    """Accented Latin letters to ASCII, combining marks dropped; stays JVM-side."""
+    """Letters and digits by full compatibility decomposition, combining marks dropped; stays
+    JVM-side. Only strings with a character that becomes several are walked by character."""
+    table = F.map_from_arrays(F.array(*[F.lit(k) for k in _SEVERAL]), F.array(*[F.lit(v) for v in _SEVERAL.values()]))
+    walked = F.array_join(F.transform(F.split(c, ""), lambda x: F.coalesce(F.try_element_at(table, x), x)), "")
+    c = F.when(F.length(F.translate(c, _SEVERAL_KEYS, "")) < F.length(c), walked).otherwise(c)
     return F.regexp_replace(F.translate(c, _FROM, _TO), r"\p{M}+", "")
 
 

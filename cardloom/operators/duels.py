@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from cardloom.operators.prices import midpoint
 from cardloom.plans.session import stage
-from cardloom.plans.skew import nearest_anchors, running_sum, top_k
+from cardloom.plans.skew import global_ordinal, nearest_anchors, running_sum, top_k
 
 _MOD = 2147483648
 
@@ -42,37 +42,27 @@ def score_duels(duels: DataFrame, scores: DataFrame) -> DataFrame:
 
 
 def random_opponents(challenges: DataFrame, pulls: DataFrame, seed: int = 7) -> DataFrame:
-    """One pseudo-random verified pull of another trainer per challenge.
-
-    Pulls and challenges are hashed to slots, about as many slots as pulls. A slot keeps
-    its smallest pulls of two different trainers, so a challenge is one equi join on its
-    own slot. A slot that is empty or holds only the challenger's own pulls falls back
-    to coarser slots (4096, 64, 1), whose tables have at most two rows per slot and are
-    therefore safe to broadcast.
-
-    ``challenges``: pull_id, trainer_id; ``pulls``: verified pull_id, trainer_id."""
-    count = pulls.agg(F.greatest(F.lit(1).cast("bigint"), F.count(F.lit(1))).alias("n")).scalar()
-    out = challenges.select("pull_id", "trainer_id", hash_int(F.col("pull_id"), F.lit(seed + 1)).alias("__h"))
-    base = pulls.select("pull_id", "trainer_id", hash_int(F.col("pull_id"), F.lit(seed)).alias("__h"))
-    levels = {"fine": None, "l4096": 4096, "l64": 64, "l1": 1}
-    for name, size in levels.items():
-        def slotted(df):
-            df = df.withColumn("__n", count) if size is None else df.withColumn("__n", F.lit(size))
-            return df.withColumn("__slot", F.col("__h") % F.col("__n")).drop("__n")
-
-        best = (slotted(base).groupBy("__slot", "trainer_id").agg(F.min("pull_id").alias("__p")))
-        two = top_k(best, ["__slot"], ["__p"], 2, "__r")
-        table = two.groupBy("__slot").agg(*[
-            F.max(F.when(F.col("__r") == r, F.struct(F.col("__p").alias("pull"), F.col("trainer_id").alias("who"))))
-             .alias(f"__c{r}") for r in (1, 2)])
-        if size is not None:
-            table = F.broadcast(table)      # at most `size` rows
-        own = F.col("__c1.who") == F.col("trainer_id")
-        out = (slotted(out).join(table, "__slot", "left")
-               .withColumn(name, F.when(F.coalesce(own, F.lit(False)), F.col("__c2")).otherwise(F.col("__c1")))
-               .drop("__slot", "__c1", "__c2"))
-    return out.select("pull_id", "trainer_id", F.coalesce(*levels).alias("b")).select(
-        "pull_id", "trainer_id", F.col("b.pull").alias("opponent_pull"), F.col("b.who").alias("opponent_id"))
+    """One pseudo-random verified pull of another trainer per challenge, any with equal chance.
+
+    Pulls get positions in the order (trainer, pull), so a trainer's own pulls stand together. A
+    challenge draws among the positions that are not its trainer's: a draw at or beyond the own
+    block moves on by the block's length. Then it is one equi join on the position. NULL
+    where no other trainer has a pull.
+
+    ``challenges``: pull_id, trainer_id; ``pulls``: verified pull_id, trainer_id (unique)."""
+    placed = global_ordinal(pulls.select("pull_id", "trainer_id"), "trainer_id", ["pull_id"], "at")
+    own = placed.groupBy("trainer_id").agg(F.min("at").alias("__first"), F.count(F.lit(1)).alias("__own"))
+    total = pulls.agg(F.count(F.lit(1)).alias("n")).scalar()
+    bits = hash_int(F.col("pull_id"), F.lit(seed)) * F.lit(_MOD) + hash_int(F.col("pull_id"), F.lit(seed + 1))
+    others = F.col("__n") - F.coalesce("__own", F.lit(0))
+    draw = F.when(others > 0, F.pmod(bits, others))
+    asked = (challenges.select("pull_id", "trainer_id").join(own, "trainer_id", "left").withColumn("__n", total)
+             .withColumn("__x", draw)
+             .withColumn("__at", F.when(F.col("__x") < F.coalesce("__first", F.col("__n")), F.col("__x"))
+                         .otherwise(F.col("__x") + F.col("__own"))))
+    hit = placed.select(F.col("at").alias("__at"), F.col("pull_id").alias("opponent_pull"),
+                        F.col("trainer_id").alias("opponent_id"))
+    return asked.join(hit, "__at", "left").select("pull_id", "trainer_id", "opponent_pull", "opponent_id")
 
 
 def weighted_draws(battles: DataFrame, candidates: DataFrame, rates: DataFrame,

@@ -1,7 +1,7 @@
 """Fuzzy name matching: lossless blocking, then scoring.
 
-The default score is 100 * (1 - levenshtein / longer length). For a floor ``s`` a pair
-can only pass if its edit distance is at most ``(1 - s/100)`` of the longer length, so a
+The default score is token-aware and made of edit scores, 100 * (1 - levenshtein / longer
+length). For a floor ``s`` a pair of strings can only pass if its edit distance is at most ``(1 - s/100)`` of the longer length, so a
 key cut into (that many + 1) segments must share one segment, nearly in place, with the
 query. The join is on (key length, segment number, segment text): an equi join that
 loses no pair.
@@ -11,8 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F
 
 from cardloom.functions import names as S, numbers as N
 from cardloom.plans.skew import top_k
@@ -24,24 +23,29 @@ def edit_score(a: Column, b: Column) -> Column:
         F.lit(100.0) * (F.lit(1.0) - F.levenshtein(a, b) / longest))
 
 
-@F.pandas_udf(T.DoubleType())
-def composite_score(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Best of plain, token-sorted and token-set similarity (0-100), Arrow-batched."""
-    from difflib import SequenceMatcher
+#: Weight of the two token forms against the plain one.
+TOKEN_WEIGHT = 0.95
 
-    def ratio(x: str, y: str) -> float:
-        return 100.0 * SequenceMatcher(None, x, y, autojunk=False).ratio()
 
-    def one(x: str, y: str) -> float:
-        tx, ty = sorted(x.split()), sorted(y.split())
-        shared = " ".join(sorted(set(tx) & set(ty)))
-        left = (shared + " " + " ".join(sorted(set(tx) - set(ty)))).strip()
-        right = (shared + " " + " ".join(sorted(set(ty) - set(tx)))).strip()
-        token_set = max(ratio(left, right), ratio(shared, left) if shared else 0.0,
-                        ratio(shared, right) if shared else 0.0)
-        return max(ratio(x, y), 0.95 * ratio(" ".join(tx), " ".join(ty)), 0.95 * token_set)
+def _tokens(c: Column) -> Column:
+    return F.filter(F.split(c, " "), lambda t: t != "")
 
-    return pd.Series([one(x, y) for x, y in zip(a, b)])
+
+def _sorted_text(c: Column) -> Column:
+    return F.array_join(F.array_sort(_tokens(c)), " ")
+
+
+def composite_score(a: Column, b: Column) -> Column:
+    """Token-aware score, all built-in: the best of the plain edit score and, at 0.95, the edit
+    scores of the sorted tokens and of the token sets (shared tokens first, then the rest; and
+    the shared tokens alone against each side), so an extra word or swapped words cost little."""
+    da, db = F.array_sort(F.array_distinct(_tokens(a))), F.array_sort(F.array_distinct(_tokens(b)))
+    shared = F.array_join(F.array_intersect(da, db), " ")
+    left = F.trim(F.concat(shared, F.lit(" "), F.array_join(F.array_except(da, db), " ")))
+    right = F.trim(F.concat(shared, F.lit(" "), F.array_join(F.array_except(db, da), " ")))
+    token_set = F.when(shared == "", edit_score(left, right)).otherwise(
+        F.greatest(edit_score(left, right), edit_score(shared, left), edit_score(shared, right)))
+    return F.greatest(edit_score(a, b), TOKEN_WEIGHT * edit_score(_sorted_text(a), _sorted_text(b)), TOKEN_WEIGHT * token_set)
 
 
 def query_ok(q: Column) -> Column:
@@ -98,21 +102,38 @@ def candidate_pairs(queries: DataFrame, keys: DataFrame, floor: float,
             .select("q", "key", *scope).distinct())
 
 
-def gram_pairs(queries: DataFrame, keys: DataFrame, scope: list[str] | None = None,
-               least: int = 2) -> DataFrame:
-    """Pairs sharing at least ``least`` distinct trigrams (or all of a short side's):
-    blocking for scorers that are not bounded by edit distance."""
-    scope = scope or []
-
-    def grams(df, c):
-        g = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(c) - 2)), lambda p: F.substr(F.col(c), p, F.lit(3)))
-        return df.withColumn("__n", F.size(F.array_distinct(g))).withColumn("__g", F.explode(F.array_distinct(g)))
+def token_pairs(queries: DataFrame, keys: DataFrame, floor: float, scope: list[str] | None = None) -> DataFrame:
+    """All (q, key) pairs whose ``composite_score`` can reach ``floor``: those close as they are,
+    those close with sorted tokens (all or distinct ones), and those that share a token. A pair with
+    a token-set score above the floor is one of these, so none is lost.
 
-    need = F.least(F.lit(least), F.col("__nq"), F.col("__nk"))
-    return (grams(queries, "q").withColumnRenamed("__n", "__nq")
-            .join(grams(keys, "key").withColumnRenamed("__n", "__nk"), [*scope, "__g"])
-            .groupBy("q", "key", *scope, "__nq", "__nk").agg(F.count(F.lit(1)).alias("__shared"))
-            .filter(F.col("__shared") >= need).select("q", "key", *scope))
+    Sharing pairs are cut at once by length: the set score needs the shared tokens to make up
+    nearly all of a side, or both sides to be nearly as long."""
+    scope = scope or []
+    need = floor / TOKEN_WEIGHT
+
+    def forms(df, c, form, own):
+        """A string as it is, with sorted tokens, and with sorted distinct tokens, each once."""
+        x = F.col(c)
+        shown = F.array_distinct(F.array(x, _sorted_text(x), F.array_join(F.array_sort(F.array_distinct(_tokens(x))), " ")))
+        return df.select(x.alias(own), *scope, F.explode(shown).alias(form))
+    q, k = forms(queries, "q", "q", "__q"), forms(keys, "key", "key", "__k")
+    near = candidate_pairs(q.select("q", *scope).distinct(), k.select("key", *scope).distinct(), floor, scope)
+    found = near.join(q, ["q", *scope]).join(k, ["key", *scope]).select(
+        F.col("__q").alias("q"), F.col("__k").alias("key"), *scope)
+
+    def by_token(df, c, n):
+        distinct = F.array_distinct(_tokens(F.col(c)))
+        size = F.length(F.array_join(distinct, " ")).alias(n)
+        return df.select(c, *scope, size, F.explode(distinct).alias("__t"))
+    slack = (100.0 - need) / 100.0
+    lq, lk = F.col("__lq"), F.col("__lk")
+    met = (by_token(queries, "q", "__lq").join(by_token(keys, "key", "__lk"), ["__t", *scope])
+           .groupBy("q", "key", *scope, "__lq", "__lk").agg(F.sum(F.length("__t") + 1).alias("__shared")))
+    share = F.col("__shared") - 1
+    possible = ((lq - share <= slack * lq + 1e-9) | (lk - share <= slack * lk + 1e-9)
+                | (F.abs(lq - lk) <= slack * F.greatest(lq, lk) + 1e-9))
+    return found.unionByName(met.filter(possible).select("q", "key", *scope)).distinct()
 
 
 def hazard_keys(keys: DataFrame) -> DataFrame:
@@ -132,9 +153,10 @@ def _printings(catalog: DataFrame) -> DataFrame:
 
 
 def match_name(queries: DataFrame, catalog: DataFrame, floor: float = 82.0,
-               scorer: Callable[[Column, Column], Column] = edit_score,
-               pairs: Callable = candidate_pairs) -> DataFrame:
-    """Best name match per (text, denominator).
+               scorer: Callable[[Column, Column], Column] = composite_score,
+               pairs: Callable = token_pairs) -> DataFrame:
+    """Best name match per (text, denominator). ``pairs`` must lose no pair that ``scorer`` puts
+    at the floor: ``token_pairs`` for the token-aware score, ``candidate_pairs`` for ``edit_score``.
 
     ``queries``: text, denominator; ``catalog``: set_id, local_id, name, official_count.
     Best key (score, then key); printings narrowed by official count (digits) or id
@@ -145,7 +167,7 @@ def match_name(queries: DataFrame, catalog: DataFrame, floor: float = 82.0,
     asked = (queries.select("text", "denominator").distinct()
              .withColumn("q", S.normalize_name(F.col("text"))).filter(query_ok(F.col("q"))))
     texts = asked.select("q").distinct()
-    found = (pairs(texts, keys, floor) if pairs is candidate_pairs else pairs(texts, keys))
+    found = pairs(texts, keys, floor)
     scored = found.withColumn("score", scorer(F.col("q"), F.col("key"))).filter(F.col("score") >= floor - 1e-9)
     best = (scored.groupBy("q").agg(F.min(F.struct((-F.col("score")).alias("s"), "key")).alias("m"))
             .select("q", "m.key", (-F.col("m.s")).alias("score"))
@@ -184,8 +206,8 @@ def scope_of(catalog: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def match_name_in_set(queries: DataFrame, catalog: DataFrame, floor: float = 80.0,
-                      scorer: Callable[[Column, Column], Column] = edit_score,
-                      pairs: Callable = candidate_pairs) -> DataFrame:
+                      scorer: Callable[[Column, Column], Column] = composite_score,
+                      pairs: Callable = token_pairs) -> DataFrame:
     """Best name match inside one set: the given ``set_id``, else the only set owning
     the denominator or its letter prefix. A tie at the top, or several printings, is
     ambiguous. ``queries``: text, set_id (may be NULL), denominator."""
@@ -199,7 +221,7 @@ def match_name_in_set(queries: DataFrame, catalog: DataFrame, floor: float = 80.
              .withColumn("scope", F.coalesce("set_id", "by_count", "by_prefix")).filter("scope IS NOT NULL"))
     p = _printings(catalog).withColumnRenamed("set_id", "scope")
     texts, keys = asked.select("q", "scope").distinct(), p.select("key", "scope").distinct()
-    found = (pairs(texts, keys, floor, ["scope"]) if pairs is candidate_pairs else pairs(texts, keys, ["scope"]))
+    found = pairs(texts, keys, floor, ["scope"])
     scored = found.withColumn("score", scorer(F.col("q"), F.col("key"))).filter(F.col("score") >= floor - 1e-9)
     top = top_k(scored, ["q", "scope"], [F.desc("score"), "key"], 2, "r").groupBy("q", "scope").agg(
         F.max(F.when(F.col("r") == 1, F.col("key"))).alias("key"),
@@ -214,14 +236,15 @@ def match_name_in_set(queries: DataFrame, catalog: DataFrame, floor: float = 80.
 
 
 def best_set_match(names: DataFrame, candidates: DataFrame, floor: float = 82.0,
-                   scorer: Callable[[Column, Column], Column] = edit_score) -> DataFrame:
+                   scorer: Callable[[Column, Column], Column] = composite_score,
+                   pairs: Callable = token_pairs) -> DataFrame:
     """Best candidate set per scraped name, a required substring (``pin``) first and
     without it when nothing carries it. ``names``: slug, name, pin; ``candidates``:
     set_id, name. Unmatched rows keep a reason; a best score below the floor is not
     reported (blocking never looks at such pairs)."""
     n = names.withColumn("q", S.set_name_words(F.col("name")))
     c = candidates.select(S.set_name_words(F.col("name")).alias("key"), "set_id")
-    found = candidate_pairs(n.select("q").distinct(), c.select("key").distinct(), floor)
+    found = pairs(n.select("q").distinct(), c.select("key").distinct(), floor)
     s = (n.select("slug", "q", "pin").join(found, "q").join(c, "key")
          .withColumn("score", scorer(F.col("q"), F.col("key"))).filter(F.col("score") >= floor - 1e-9))
     pinned = F.col("pin").isNull() | F.contains("key", F.lower("pin"))

@@ -101,15 +101,25 @@ def keep_best_per_number(lines: DataFrame, key: str = "page_id", tie: str = "lin
     return best.join(enough, key).drop("r")
 
 
+#: What a reading holds; all of it goes when the reading is blanked.
+READING = ("numerator", "denominator", "prefix", "tokens")
+
+
 def blank_duplicate_numbers(readings: DataFrame, group: str = "pull_id",
                             row: str = "row_index") -> DataFrame:
-    """A numerator read twice in a pack stays on its most confident row only."""
+    """A numerator read twice in a pack stays on its most confident row only; the other
+    readings become blank as a whole: no number, no tokens, ``pattern_ok`` false, confidence
+    0, ``blank`` true (which ``score_cards`` reports as an unreadable strip)."""
     read = readings.filter(F.col("pattern_ok") & F.col("numerator").isNotNull())
     keep = top_k(read, [group, "numerator"], [F.desc("confidence"), row], 1).select(
         group, row, F.lit(True).alias("__keep"))
     out = readings.join(keep, [group, row], "left")
-    drop = F.col("pattern_ok") & F.col("numerator").isNotNull() & F.col("__keep").isNull()
-    return out.withColumn("numerator", F.when(~drop, F.col("numerator"))).drop("__keep")
+    drop = F.coalesce(F.col("pattern_ok") & F.col("numerator").isNotNull() & F.col("__keep").isNull(), F.lit(False))
+    cleared = {c: F.when(~F.col("blank"), F.col(c)) for c in READING if c in readings.columns}
+    out = out.withColumn("blank", drop).withColumns(cleared).withColumns({
+        "pattern_ok": F.col("pattern_ok") & ~F.col("blank"),
+        "confidence": F.when(F.col("blank"), F.lit(0.0)).otherwise(F.col("confidence"))})
+    return out.drop("__keep")
 
 
 def median_outlier_filter(boxes: DataFrame, key: str = "page_id", times: float = 3.0) -> DataFrame:

@@ -84,12 +84,17 @@ def accept_with_margin(ranked: DataFrame, key: str = "query_id", accept: float =
     return two.withColumn("accepted", (F.col("score") >= accept) & clear)
 
 
-def sign_hash(v: Column, bits: int = 63) -> Column:
-    """Bit i set when value i is positive."""
-    powers = F.array(*[F.lit(1 << i) for i in range(bits)])
+def sign_hash(v: Column, bits: int = 64) -> Column:
+    """Bit i is set when the sum of the values i, i + bits, i + 2 bits, ... is positive: every
+    value of the vector counts, and of 64 values each has its own bit."""
     zero = F.lit(0).cast("bigint")
-    return F.aggregate(F.zip_with(F.slice(v, 1, bits), powers, lambda x, p: F.when(x > 0, p).otherwise(zero)),
-                       zero, lambda a, x: a + x)
+    powers = F.array(*[F.lit((1 << i) - (1 << 64) if i == 63 else 1 << i).cast("bigint") for i in range(bits)])
+    last = F.size(v) - 1
+
+    def signed(p, i):
+        own = F.aggregate(F.sequence(i, last, F.lit(bits)), F.lit(0.0), lambda a, j: a + F.get(v, j))
+        return F.when(i <= last, F.when(own > 0, p)).otherwise(zero)
+    return F.aggregate(F.transform(powers, signed), zero, lambda a, x: a.bitwiseOR(F.coalesce(x, zero)))
 
 
 def nearest_hash_per_set(queries: DataFrame, refs: DataFrame, allowed: DataFrame,
@@ -107,7 +112,8 @@ def nearest_hash_per_set(queries: DataFrame, refs: DataFrame, allowed: DataFrame
         if left.empty or right.empty:
             return pd.DataFrame({"query_id": [], "set_id": [], "d": [], "ref_id": []})
         right = right.sort_values("ref_id")
-        bits = np.bitwise_count(left["hash"].to_numpy("int64")[:, None] ^ right["hash"].to_numpy("int64")[None, :])
+        bits = np.bitwise_count(left["hash"].to_numpy("int64").view("uint64")[:, None]
+                               ^ right["hash"].to_numpy("int64").view("uint64")[None, :])
         best = bits.argmin(axis=1)
         out = pd.DataFrame({"query_id": left["query_id"].to_numpy(), "set_id": left["set_id"].to_numpy(),
                             "d": bits[np.arange(len(left)), best].astype("int32"),

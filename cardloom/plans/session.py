@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -39,16 +40,36 @@ def local_session(cpus: int | str = "*", partitions: int = 8, **conf: str) -> Sp
 def shared_folder(spark: SparkSession) -> str:
     """The cluster's shared checkpoint folder (``spark.checkpoint.dir``).
 
-    A temporary folder is used only where the setting is absent, as in tests.
-    """
+    A session on this machine only (``local[...]``) may go without the setting, as in tests; any
+    other must name a folder that all its executors see."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    return folder or tempfile.mkdtemp(prefix="cardloom-")
+    if folder:
+        return folder.rstrip("/")
+    master = spark.sparkContext.master
+    if master == "local" or master.startswith("local["):
+        return f"{tempfile.gettempdir()}/cardloom-{spark.sparkContext.applicationId}"
+    raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
 
 
 def fresh_folder(spark: SparkSession, name: str) -> str:
-    """A new, unique subfolder of the shared folder."""
-    import uuid
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    """A new, unique subfolder of the shared folder; ``clear_staged`` deletes it."""
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    _STAGED.append(path)
+    return path
+
+
+#: Folders made by ``fresh_folder`` in this process.
+_STAGED: list[str] = []
+
+
+def clear_staged(spark: SparkSession) -> int:
+    """Delete the folders staged so far; frames that read them must not be used any more."""
+    jvm, n = spark._jvm, 0
+    conf = spark._jsc.hadoopConfiguration()
+    while _STAGED:
+        path = jvm.org.apache.hadoop.fs.Path(_STAGED.pop())
+        n += bool(path.getFileSystem(conf).delete(path, True))
+    return n
 
 
 def stage(df, name: str = "stage"):

@@ -7,10 +7,10 @@ no single group, however hot, has to be sorted or held by one task:
                    (WindowGroupLimit): each map task sends at most k rows per key.
 * ``mode_per``   - two partial aggregates, no window.
 * ``ordinal``, ``previous_value``, ``running_sum``, ``islands``, ``nearest_anchors`` -
-                   two-level scans: a hot group is cut into coarse, order-preserving
+                   two-level scans: every group is cut into coarse, order-preserving
                    buckets, each bucket is scanned on its own, and only one summary
-                   row per bucket is combined per group. Other groups take a plain
-                   window; the data itself is shuffled once either way.
+                   row per bucket is combined per group; the data is shuffled once.
+* ``global_ordinal`` - positions over a whole frame from sampled quantiles.
 """
 
 from __future__ import annotations
@@ -19,6 +19,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from cardloom.plans.session import stage
+
 _BUCKET = "__b"
 
 
@@ -52,26 +54,21 @@ def mode_per(df: DataFrame, group: Sequence[str], value: str, position: str | No
                            (-F.col("__best.n")).alias(count_col)))
 
 
-#: A key is hot beyond this many rows (tests lower it to take the split path).
-HOT_ROWS = 100_000
-#: Only the largest keys are split. Any other key holds at most 1/HOT_KEYS of all rows,
-#: and a list of HOT_KEYS keys is small enough to broadcast whatever the data size.
-HOT_KEYS = 4096
-
-
-def _bucketed(df: DataFrame, keys: Sequence[str], bucket: Sequence[Column]) -> tuple[DataFrame, list[str]]:
-    """Add bucket columns to the rows of hot keys; they stay NULL elsewhere."""
+def _bucketed(df: DataFrame, bucket: Sequence[Column]) -> tuple[DataFrame, list[str]]:
+    """Add bucket columns: every key is cut, whatever its size, so results and plans are alike
+    at every size."""
     names = [f"{_BUCKET}{i}" for i in range(len(bucket))]
-    if not keys:
-        return df.withColumns(dict(zip(names, bucket))), names
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__rows")).filter(F.col("__rows") > HOT_ROWS)
-    hot = counts.orderBy(F.desc("__rows")).limit(HOT_KEYS).select(*keys, F.lit(True).alias("__hot"))
-    b = df.join(F.broadcast(hot), list(keys), "left")
-    return b.withColumns({n: F.when(F.col("__hot"), c) for n, c in zip(names, bucket)}).drop("__hot"), names
+    return df.withColumns(dict(zip(names, bucket))), names
 
 
-def _hot(b: DataFrame, names: list[str]) -> DataFrame:
-    return b.filter(F.col(names[0]).isNotNull())
+def _attach(df: DataFrame, side: DataFrame, on: list[str]) -> DataFrame:
+    """Left join on ``on`` in which NULL equals NULL."""
+    side = side.select(*[F.col(c).alias(f"__on{i}") for i, c in enumerate(on)],
+                       *[c for c in side.columns if c not in on])
+    same = F.lit(True)
+    for i, c in enumerate(on):
+        same = same & F.col(c).eqNullSafe(F.col(f"__on{i}"))
+    return df.join(side, same, "left").drop(*[f"__on{i}" for i in range(len(on))])
 
 
 def ordinal(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column],
@@ -79,12 +76,12 @@ def ordinal(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column],
     """row_number per key, exact, without gathering a hot key in one task.
 
     ``bucket`` holds coarse non-null columns that never decrease along ``order``."""
-    b, bn = _bucketed(df, keys, bucket)
-    sizes = _hot(b, bn).groupBy(*keys, *bn).agg(F.count(F.lit(1)).alias("__size"))
+    b, bn = _bucketed(df, bucket)
+    sizes = b.groupBy(*keys, *bn).agg(F.count(F.lit(1)).alias("__size"))
     before = W.partitionBy(*keys).orderBy(*bn).rowsBetween(W.unboundedPreceding, -1)
     offsets = sizes.select(*keys, *bn, F.sum("__size").over(before).alias("__off"))
     local = W.partitionBy(*keys, *bn).orderBy(*_plain(order))
-    return (b.join(offsets, [*keys, *bn], "left")
+    return (_attach(b, offsets, [*keys, *bn])
              .withColumn(name, (F.row_number().over(local) + F.coalesce("__off", F.lit(0))
                                 + F.lit(start - 1)).cast("bigint"))
              .drop("__off", *bn))
@@ -93,13 +90,13 @@ def ordinal(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column],
 def previous_value(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column],
                    bucket: Sequence[Column], value: Column, name: str) -> DataFrame:
     """``lag(value)`` per key as a two-level scan."""
-    b, bn = _bucketed(df.withColumn("__val", value), keys, bucket)
-    tail = _hot(b, bn).groupBy(*keys, *bn).agg(
+    b, bn = _bucketed(df.withColumn("__val", value), bucket)
+    tail = b.groupBy(*keys, *bn).agg(
         F.max_by("__val", F.struct(*_plain(order))).alias("__last"))
     carried = tail.select(
         *keys, *bn, F.lag("__last").over(W.partitionBy(*keys).orderBy(*bn)).alias("__carry"))
     local = W.partitionBy(*keys, *bn).orderBy(*_plain(order))
-    return (b.join(carried, [*keys, *bn], "left")
+    return (_attach(b, carried, [*keys, *bn])
              .withColumn(name, F.when(F.row_number().over(local) == 1, F.col("__carry"))
                                 .otherwise(F.lag("__val").over(local)))
              .drop("__val", "__carry", *bn))
@@ -109,13 +106,13 @@ def running_sum(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column
                 bucket: Sequence[Column], value: Column, name: str,
                 inclusive: bool = True) -> DataFrame:
     """Running total per key as a two-level scan (``order`` must be unique per key)."""
-    b, bn = _bucketed(df.withColumn("__val", value), keys, bucket)
-    totals = _hot(b, bn).groupBy(*keys, *bn).agg(F.sum("__val").alias("__total"))
+    b, bn = _bucketed(df.withColumn("__val", value), bucket)
+    totals = b.groupBy(*keys, *bn).agg(F.sum("__val").alias("__total"))
     before = W.partitionBy(*keys).orderBy(*bn).rowsBetween(W.unboundedPreceding, -1)
     base = totals.select(*keys, *bn, F.sum("__total").over(before).alias("__base"))
     local = (W.partitionBy(*keys, *bn).orderBy(*_plain(order))
               .rowsBetween(W.unboundedPreceding, 0 if inclusive else -1))
-    return (b.join(base, [*keys, *bn], "left")
+    return (_attach(b, base, [*keys, *bn])
              .withColumn(name, F.coalesce(F.sum("__val").over(local), F.lit(0))
                          + F.coalesce("__base", F.lit(0)))
              .drop("__val", "__base", *bn))
@@ -130,7 +127,7 @@ def islands(df: DataFrame, keys: Sequence[str], coord: str, gap: Column | float,
     distinct coordinates of a hot key are scanned in tiles of ``width``. ``gap`` may be
     a column that is constant per key. Ids count from 0 per key."""
     gap = gap if isinstance(gap, Column) else F.lit(float(gap))
-    points, (b,) = _bucketed(df.groupBy(*keys, coord).agg(F.first(gap).alias("__gap")), keys,
+    points, (b,) = _bucketed(df.groupBy(*keys, coord).agg(F.first(gap).alias("__gap")),
                              [F.floor(F.col(coord) / F.lit(width))])
     local = W.partitionBy(*keys, b).orderBy(coord)
     step = F.col(coord) - F.lag(coord).over(local)
@@ -139,7 +136,7 @@ def islands(df: DataFrame, keys: Sequence[str], coord: str, gap: Column | float,
                .withColumn("__jump", F.coalesce(jump.cast("bigint"), F.lit(0)))
                .withColumn("__in", F.sum("__jump").over(
                    local.rowsBetween(W.unboundedPreceding, 0))))
-    tiles = _hot(scanned, [b]).groupBy(*keys, b).agg(
+    tiles = scanned.groupBy(*keys, b).agg(
         F.min(coord).alias("__lo"), F.max(coord).alias("__hi"),
         F.sum("__jump").alias("__jumps"), F.first("__gap").alias("__gap"))
     over = W.partitionBy(*keys).orderBy(b)
@@ -151,9 +148,9 @@ def islands(df: DataFrame, keys: Sequence[str], coord: str, gap: Column | float,
                       + F.coalesce(F.sum("__jumps").over(
                           over.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
                   .select(*keys, b, "__base"))
-    labels = (scanned.join(tiles, [*keys, b], "left")
+    labels = (_attach(scanned, tiles, [*keys, b])
                      .select(*keys, coord, (F.col("__in") + F.coalesce("__base", F.lit(0))).alias(name)))
-    return df.join(labels, [*keys, coord])
+    return _attach(df, labels, [*keys, coord])
 
 
 def nearest_anchors(points: DataFrame, anchors: DataFrame, keys: Sequence[str], coord: str,
@@ -175,8 +172,8 @@ def nearest_anchors(points: DataFrame, anchors: DataFrame, keys: Sequence[str],
                         F.lit(None).cast(anc.schema["__anchor"].dataType).alias("__anchor"),
                         F.struct(*rest).alias("__row"))
     merged = anc.withColumn("__row", F.col("__row").cast(pts.schema["__row"].dataType)).unionByName(pts)
-    merged, (b,) = _bucketed(merged, keys, [F.floor(F.col("__pos") / F.lit(width))])
-    tiles = _hot(merged, [b]).groupBy(*keys, b).agg(
+    merged, (b,) = _bucketed(merged, [F.floor(F.col("__pos") / F.lit(width))])
+    tiles = merged.groupBy(*keys, b).agg(
         F.max("__anchor").alias("__hi"), F.min("__anchor").alias("__lo"))
     over = W.partitionBy(*keys)
     tiles = tiles.select(
@@ -189,19 +186,27 @@ def nearest_anchors(points: DataFrame, anchors: DataFrame, keys: Sequence[str],
     point_last = F.col("__row").isNotNull()          # anchors first at equal positions
     up = local.orderBy("__pos", point_last).rowsBetween(W.unboundedPreceding, 0)
     down = local.orderBy(F.desc("__pos"), point_last).rowsBetween(W.unboundedPreceding, 0)
-    return (merged.join(tiles, [*keys, b], "left")
+    return (_attach(merged, tiles, [*keys, b])
             .withColumns({
                 "before": F.coalesce(F.last("__anchor", ignorenulls=True).over(up), F.col("__below")),
                 "after": F.coalesce(F.last("__anchor", ignorenulls=True).over(down), F.col("__above"))})
             .filter(point_last).select(*keys, "__row.*", "before", "after"))
 
 
-def global_ordinal(df: DataFrame, by: str, tie: list[str], name: str = "ordinal",
-                   start: int = 0, buckets: int = 4096) -> DataFrame:
-    """row_number over the whole frame ordered by a numeric column, scanned in at most
-    ``buckets`` + 1 equal ranges (the bounds come from a scalar subquery)."""
-    bounds = df.agg(F.min(by).alias("lo"), F.max(by).alias("hi")).select(
-        F.struct("lo", F.greatest(F.lit(1.0), (F.col("hi") - F.col("lo")) / buckets).alias("w")).alias("b"))
-    b = df.withColumn("__bounds", bounds.scalar())
-    b = b.withColumn("__g", F.floor((F.col(by) - F.col("__bounds.lo")) / F.col("__bounds.w"))).drop("__bounds")
-    return ordinal(b, [], [by, *tie], [F.col("__g")], name, start).drop("__g")
+def global_ordinal(df: DataFrame, by: str | Sequence[str], tie: Sequence[str] = (), name: str = "ordinal",
+                   start: int = 0) -> DataFrame:
+    """row_number over the whole frame ordered by ``by`` and ``tie`` (together unique).
+
+    Rows are dealt by sampled quantiles of the order, so equal or skewed values spread like
+    any; each part is sorted apart and only the parts' row counts meet."""
+    order = [F.col(c).asc_nulls_first() for c in ([by] if isinstance(by, str) else list(by)) + list(tie)]
+    parts = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    placed = stage(df.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+                   .withColumn("__at", F.monotonically_increasing_id()), "placed")
+    placed = placed.withColumn("__part", F.shiftright("__at", 33))
+    sizes = placed.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))    # a row per part
+    before = W.orderBy("__part").rowsBetween(W.unboundedPreceding, -1)
+    offsets = sizes.select("__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__off"))
+    return (placed.join(offsets, "__part")
+            .withColumn(name, F.col("__off") + F.col("__at") - F.shiftleft("__part", 33) + F.lit(start))
+            .drop("__part", "__off", "__at"))

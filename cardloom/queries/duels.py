@@ -12,22 +12,13 @@ from cardloom.queries.stats import RATES
 _H = "((({0} % 2147483648) * 2654435761 + {1} * 40503) % 2147483648)"
 
 
-def _fallback_sql():
-    out, prev = [], "v"
-    for name, size in (("fine", "(SELECT count(*) FROM v)"), ("l4096", "4096"), ("l64", "64"), ("l1", "1")):
-        out.append(f"""{name}_t AS (SELECT slot, trainer_id, p, row_number() OVER (PARTITION BY slot ORDER BY p) AS r FROM (
-  SELECT {_H.format('pull_id', 7)} % {size} AS slot, trainer_id, min(pull_id) AS p FROM v GROUP BY 1, 2) x),
-{name} AS (SELECT v.pull_id, CASE WHEN a.trainer_id = v.trainer_id THEN b.p ELSE a.p END AS p,
-  CASE WHEN a.trainer_id = v.trainer_id THEN b.trainer_id ELSE a.trainer_id END AS who FROM v
-  LEFT JOIN {name}_t a ON a.r = 1 AND a.slot = {_H.format('v.pull_id', 8)} % {size}
-  LEFT JOIN {name}_t b ON b.r = 2 AND b.slot = a.slot)""")
-    return ",\n".join(out)
-
-
 @query("C21", "random_opponent", f"""WITH v AS (SELECT pull_id, trainer_id FROM pull WHERE verified),
-{_fallback_sql()}
-SELECT v.pull_id, v.trainer_id, coalesce(f.p, a.p, b.p, c.p) AS opponent_pull, coalesce(f.who, a.who, b.who, c.who) AS opponent_id
-FROM v JOIN fine f ON v.pull_id = f.pull_id JOIN l4096 a ON v.pull_id = a.pull_id JOIN l64 b ON v.pull_id = b.pull_id JOIN l1 c ON v.pull_id = c.pull_id""")
+o AS (SELECT *, row_number() OVER (ORDER BY trainer_id, pull_id) - 1 AS pos FROM v),
+mine AS (SELECT v.*, (SELECT count(*) FROM v w WHERE w.trainer_id <> v.trainer_id) AS others FROM v),
+drawn AS (SELECT pull_id, trainer_id, ({_H.format('pull_id', 7)} * 2147483648 + {_H.format('pull_id', 8)}) % others AS x FROM mine),
+rest AS (SELECT d.pull_id, d.trainer_id, d.x, min(o.pos) AS f, count(*) AS n FROM drawn d JOIN o ON d.trainer_id = o.trainer_id GROUP BY 1, 2, 3)
+SELECT r.pull_id, r.trainer_id, o.pull_id AS opponent_pull, o.trainer_id AS opponent_id
+FROM rest r LEFT JOIN o ON o.pos = CASE WHEN x < f THEN x ELSE x + n END""")
 def _opponent(t):
     v = t.verified.select("pull_id", "trainer_id")
     return duels.random_opponents(v, v)
@@ -101,7 +92,7 @@ def _win_loss(t):
 
 
 @query("D33", "weighted_draws", f"""WITH {RATES}, {LATEST},
-cand AS (SELECT split_part(match_id, '-', 1) AS set_id, match_id, (usd_low + usd_high) / 2 AS value FROM latest WHERE split_part(match_id, '-', 1) <> 'S05'),
+cand AS (SELECT CASE WHEN split_part(match_id, '-', 1) = 'S05' THEN 'S95' ELSE split_part(match_id, '-', 1) END AS set_id, match_id, (usd_low + usd_high) / 2 AS value FROM latest),
 rt AS (SELECT match_id, arg_max(blended_rate, (packs, blended_rate)) AS rate FROM rates GROUP BY 1),
 pools AS (SELECT set_id AS pool, match_id, value FROM cand UNION ALL SELECT '*', match_id, value FROM cand),
 w AS (SELECT p.*, CASE WHEN bool_or(r.rate IS NOT NULL) OVER (PARTITION BY pool) THEN greatest(coalesce(r.rate, 0.01), 0.001) ELSE 1.0 END AS w
@@ -114,8 +105,8 @@ u AS (SELECT d.*, CAST(((battle_id % 2147483648) * 2654435761 + draw * 40503) %
 SELECT u.battle_id, CAST(u.draw AS INT) AS draw, c.match_id, round(c.value, 6) AS value FROM u ASOF JOIN c ON u.pool = c.pool AND u.u >= c.below""")
 def _draws(t):
     latest = latest_prices(t)
-    cands = latest.filter("set_id <> 'S05'").select(
-        "set_id", "match_id", ((F.col("usd_low") + F.col("usd_high")) / 2).alias("value"))
+    cands = latest.select(
+        F.when(F.col("set_id") == "S05", "S95").otherwise(F.col("set_id")).alias("set_id"), "match_id", ((F.col("usd_low") + F.col("usd_high")) / 2).alias("value"))
     n = t.cards_unordered.groupBy("pull_id").agg(F.count(F.lit(1)).alias("n"))
     fights = t.modal.join(n, "pull_id").select(F.col("pull_id").alias("battle_id"), "set_id", F.col("n").cast("int"))
     rates = stats.card_rates(t.verified_cards, t.modal, metadata=False)

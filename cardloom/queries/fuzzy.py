@@ -12,10 +12,25 @@ from cardloom.queries.registry import query
 FC = """fc AS (SELECT set_id, local_id, name, 50 + CAST(substr(set_id, 2) AS INT) % 9 AS official_count FROM catalog_card
   UNION ALL SELECT set_id, 'TG' || local_id, split_part(name, ' ', 2), 50 + CAST(substr(set_id, 2) AS INT) % 9 FROM catalog_card WHERE set_id IN ('S02', 'S10') AND local_id < '030'),
 ky AS (SELECT DISTINCT lower(name) AS key FROM fc)"""
-TEXT = "CASE WHEN num % 4 = 0 THEN name WHEN num % 4 = 1 THEN split_part(name, ' ', 2) || 's' ELSE substr(name, 1, num % length(name)) || substr(name, 2 + num % length(name)) END"
+TEXT = "CASE WHEN num % 16 = 0 THEN split_part(name, ' ', 2) || ' ' || split_part(name, ' ', 1) WHEN num % 16 = 4 THEN name || ' extra' WHEN num % 4 = 0 THEN name WHEN num % 4 = 1 THEN split_part(name, ' ', 2) || 's' ELSE substr(name, 1, num % length(name)) || substr(name, 2 + num % length(name)) END"
 _DEN = "CASE num % 3 WHEN 0 THEN '0' || CAST(50 + CAST(substr(set_id, 2) AS INT) % 9 AS {s}) WHEN 1 THEN 'TG30' END"
 HAZ = """hz AS (SELECT DISTINCT a.key FROM ky a JOIN ky b ON length(b.key) > length(a.key) AND contains(' ' || b.key || ' ', ' ' || a.key || ' '))"""
-_SCORE = "100.0::DOUBLE * (1.0::DOUBLE - levenshtein(q, key)::DOUBLE / greatest(length(q), length(key)))"
+def edit_sql(a, b):
+    return f"CASE WHEN greatest(length({a}), length({b})) = 0 THEN 100.0::DOUBLE ELSE 100.0::DOUBLE * (1.0::DOUBLE - levenshtein({a}, {b})::DOUBLE / greatest(length({a}), length({b}))) END"
+
+
+_SCORE = edit_sql("q", "key")
+
+
+def composite_sql(pairs):
+    """(all columns of ``pairs``, score): the token-aware score of q and key, spelled out."""
+    toks = "list_filter(string_split({}, ' '), lambda x: x <> '')"
+    return f"""(SELECT * EXCLUDE (tq, tk, sq, sk, dq, dk, sh, le, ri), greatest({_SCORE}, 0.95::DOUBLE * ({edit_sql('sq', 'sk')}),
+  0.95::DOUBLE * (CASE WHEN sh = '' THEN {edit_sql('le', 'ri')} ELSE greatest({edit_sql('le', 'ri')}, {edit_sql('sh', 'le')}, {edit_sql('sh', 'ri')}) END)) AS score FROM (
+ SELECT *, trim(sh || ' ' || array_to_string(list_filter(dq, lambda x: NOT list_contains(dk, x)), ' ')) AS le, trim(sh || ' ' || array_to_string(list_filter(dk, lambda x: NOT list_contains(dq, x)), ' ')) AS ri FROM (
+ SELECT *, array_to_string(list_filter(dq, lambda x: list_contains(dk, x)), ' ') AS sh FROM (
+ SELECT *, array_to_string(list_sort(tq), ' ') AS sq, array_to_string(list_sort(tk), ' ') AS sk, list_sort(list_distinct(tq)) AS dq, list_sort(list_distinct(tk)) AS dk FROM (
+ SELECT *, {toks.format('q')} AS tq, {toks.format('key')} AS tk FROM ({pairs}) p0) p1) p2) p3) p4)"""
 
 
 def fuzzy_catalog(t):
@@ -32,7 +47,7 @@ def noisy_names(t):
 
 _ASK = f"""ask AS (SELECT DISTINCT text, denominator, trim(lower(text)) AS q FROM (SELECT {TEXT} AS text, {_DEN.format(s='VARCHAR')} AS denominator FROM pull_card) x)"""
 MATCH = f"""{FC}, {HAZ}, {_ASK},
-sc AS (SELECT q, key, {_SCORE} AS score FROM (SELECT DISTINCT q FROM ask WHERE length(q) >= 3) a, ky),
+sc AS (SELECT q, key, score FROM {composite_sql("SELECT q, key FROM (SELECT DISTINCT q FROM ask WHERE length(q) >= 3) a, ky")}),
 bk AS (SELECT q, key, score FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, key) AS r FROM sc WHERE score >= 82 - 1e-9) x WHERE r = 1 AND length(q) >= 0.5 * length(key)),
 pr AS (SELECT a.text, a.denominator, b.key, b.score, fc.set_id, fc.local_id, fc.name, coalesce(CASE WHEN regexp_matches(a.denominator, '^[0-9]+$') THEN fc.official_count = TRY_CAST(a.denominator AS INT)
      WHEN a.denominator IS NOT NULL THEN starts_with(fc.local_id, regexp_extract(a.denominator, '^[A-Z]+')) END, FALSE) AS inn FROM ask a JOIN bk b ON a.q = b.q JOIN fc ON lower(fc.name) = b.key),
@@ -52,7 +67,7 @@ op AS (SELECT regexp_extract(local_id, '^[A-Z]+') AS p, min(set_id) AS s FROM fc
 a AS (SELECT ask.*, lower(text) AS q, coalesce(ask.set_id, oc.s, op.s) AS scope FROM ask LEFT JOIN oc ON TRY_CAST(ask.denominator AS INT) = oc.official_count
    LEFT JOIN op ON regexp_extract(ask.denominator, '^[A-Z]+') = op.p WHERE length(text) >= 3),
 k AS (SELECT set_id, lower(name) AS key, count(*) AS n, arg_min(local_id, local_id) AS local_id, arg_min(name, local_id) AS card_name FROM fc GROUP BY 1, 2),
-sc AS (SELECT a.*, k.key, k.n, k.local_id, k.card_name, {_SCORE} AS score FROM a JOIN k ON a.scope = k.set_id),
+sc AS {composite_sql("SELECT a.*, k.key, k.n, k.local_id, k.card_name FROM a JOIN k ON a.scope = k.set_id")},
 rk AS (SELECT *, row_number() OVER (PARTITION BY text, set_id, denominator ORDER BY score DESC, key) AS r, lead(score) OVER (PARTITION BY text, set_id, denominator ORDER BY score DESC, key) AS second FROM sc WHERE score >= 80 - 1e-9)
 SELECT text, set_id, denominator, scope, key, round(score, 6) AS score, local_id, card_name, n > 1 OR coalesce(second >= score, FALSE) AS ambiguous FROM rk WHERE r = 1""")
 def _match_in_set(t):
@@ -99,7 +114,7 @@ _SCRAPED = "sn AS (SELECT DISTINCT 'p' || CAST(pull_id % 300 AS {s}) AS slug, CA
 
 @query("C25", "best_set_match", f"""WITH {_SCRAPED.format(s='VARCHAR')}, n AS (SELECT *, trim(regexp_replace(regexp_replace(replace(lower(name), '&', ' and '), '[^a-z0-9 ]', ' ', 'g'), ' +', ' ', 'g')) AS q FROM sn),
 k AS (SELECT set_id, 'realm and rift ' || CAST(n AS VARCHAR) AS key FROM set_dim), bd AS (SELECT DISTINCT pin FROM sn JOIN k ON contains(key, pin)),
-s AS (SELECT slug, set_id, {_SCORE} AS score FROM n, k WHERE (pin IS NULL OR pin NOT IN (SELECT pin FROM bd) OR contains(key, pin))),
+s AS {composite_sql("SELECT slug, set_id, q, key FROM n, k WHERE (pin IS NULL OR pin NOT IN (SELECT pin FROM bd) OR contains(key, pin))")},
 b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY slug ORDER BY score DESC, set_id) AS r FROM s WHERE score >= 82 - 1e-9) x WHERE r = 1)
 SELECT n.slug, n.name, b.set_id, round(b.score, 1) AS score, CASE WHEN b.set_id IS NULL THEN 'no_fuzzy_match' END AS reason FROM n LEFT JOIN b ON n.slug = b.slug""")
 def _best_set(t):
@@ -119,9 +134,10 @@ def _scorer(t):
     return fuzzy.candidate_pairs(q, k, 70.0).withColumn("score", F.round(fuzzy.edit_score(F.col("q"), F.col("key")), 6))
 
 
-@query("J2", "composite_scorer")
+@query("J2", "composite_scorer", f"""WITH {_ASK}, {FC} SELECT q, key, round(score, 4) AS score FROM {composite_sql("SELECT q, key FROM (SELECT DISTINCT q FROM ask) a, ky")} WHERE score >= 82 - 1e-9""")
 def _composite(t):
-    """Token composite as an Arrow-batched UDF over trigram-blocked pairs."""
+    """Token-aware score over pairs that lose none above the floor."""
     q = noisy_names(t).select(S.normalize_name(F.col("text")).alias("q")).distinct()
     k = fuzzy_catalog(t).select(S.normalize_name(F.col("name")).alias("key")).distinct()
-    return fuzzy.gram_pairs(q, k).withColumn("score", F.round(fuzzy.composite_score("q", "key"), 4)).filter("score >= 82")
+    return (fuzzy.token_pairs(q, k, 82.0).withColumn("score", fuzzy.composite_score(F.col("q"), F.col("key")))
+            .filter(F.col("score") >= 82 - 1e-9).withColumn("score", F.round("score", 4)))

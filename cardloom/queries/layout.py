@@ -65,9 +65,13 @@ def _best(t):
     return layout.keep_best_per_number(t.ocr).select("page_id", "line_id", "numerator", "rows")
 
 
-@query("E8", "blank_duplicate_numbers", """SELECT pull_id, row_index, CASE WHEN pattern_ok AND numerator IS NOT NULL AND row_number() OVER (PARTITION BY pull_id, pattern_ok, numerator ORDER BY confidence DESC, row_index) > 1 THEN NULL ELSE numerator END AS numerator FROM reading""")
+@query("E8", "blank_duplicate_numbers", """WITH b AS (SELECT *, coalesce(pattern_ok AND numerator IS NOT NULL AND row_number() OVER (
+    PARTITION BY pull_id, pattern_ok, numerator ORDER BY confidence DESC, row_index) > 1, FALSE) AS blank FROM reading)
+SELECT pull_id, row_index, blank, CASE WHEN NOT blank THEN numerator END AS numerator, CASE WHEN NOT blank THEN denominator END AS denominator,
+  CASE WHEN NOT blank THEN prefix END AS prefix, pattern_ok AND NOT blank AS pattern_ok, CASE WHEN blank THEN 0.0::DOUBLE ELSE confidence END AS confidence FROM b""")
 def _blank(t):
-    return layout.blank_duplicate_numbers(t.readings).select("pull_id", "row_index", "numerator")
+    return layout.blank_duplicate_numbers(t.readings).select(
+        "pull_id", "row_index", "blank", "numerator", "denominator", "prefix", "pattern_ok", "confidence")
 
 
 _TOK = "CASE WHEN (line_id + {i}) % 4 = 0 THEN 'AB' || CAST(line_id % 1000 + 100 AS VARCHAR) || '-CDE' WHEN (line_id + {i}) % 4 = 1 THEN '-X' || CAST(line_id % 90 + 10 AS VARCHAR) WHEN (line_id + {i}) % 4 = 2 THEN 'TEST' || CAST(line_id % 10 AS VARCHAR) ELSE 'ABC-DEF-' || CAST(line_id % 1000 + 100 AS VARCHAR) END"
@@ -117,14 +121,14 @@ def _outliers(t):
     return layout.median_outlier_filter(wide(t)).select("page_id", "line_id")
 
 
-@query("E13", "prune_close_rows", """WITH RECURSIVE d AS (SELECT DISTINCT page_id, y FROM ocr_line WHERE line_id % 3 = 0),
+@query("E13", "prune_close_rows", """WITH RECURSIVE d AS (SELECT DISTINCT page_id, y FROM ocr_line),
 g AS (SELECT page_id, y, y - lag(y) OVER (PARTITION BY page_id ORDER BY y) AS gap FROM d), lim AS (SELECT page_id, 0.5 * median(gap) AS t FROM g GROUP BY 1),
 k AS (SELECT page_id, min(y) AS y FROM d GROUP BY 1 UNION ALL
   SELECT k.page_id, (SELECT min(d.y) FROM d WHERE d.page_id = k.page_id AND d.y - k.y >= l.t) FROM k JOIN lim l ON k.page_id = l.page_id
   WHERE EXISTS (SELECT 1 FROM d WHERE d.page_id = k.page_id AND d.y - k.y >= l.t))
 SELECT page_id, y FROM k""")
 def _prune(t):
-    return layout.prune_close_rows(t.ocr.filter("line_id % 3 = 0"))
+    return layout.prune_close_rows(t.ocr)
 
 
 @query("E16", "line_crop_plan", f"""WITH {_NUM}, d AS (SELECT DISTINCT page_id, y FROM n), g AS (SELECT page_id, y - lag(y) OVER (PARTITION BY page_id ORDER BY y) AS gap FROM d),
@@ -165,13 +169,13 @@ def _coarse(t):
     return layout.coarse_boxes(c, layout.grid_pitch(c), 1000, 1400)
 
 
-@query("D36", "gap_cv", """WITH tr AS (SELECT page_id, CAST(k AS INT) AS trial, line_id, y FROM ocr_line, (SELECT unnest([1, 2, 3]) AS k) z WHERE line_id % (4 + k * 3) = 0),
+@query("D36", "gap_cv", """WITH tr AS (SELECT page_id, CAST(1 + line_id % 3 AS INT) AS trial, line_id, y FROM ocr_line),
 g AS (SELECT page_id, trial, y - lag(y) OVER (PARTITION BY page_id, trial ORDER BY y) AS g FROM tr),
 c AS (SELECT page_id, trial, count(*) AS rows, CASE WHEN count(*) >= 3 AND avg(g) > 0 THEN round(stddev_pop(g) / avg(g), 6) ELSE 'inf'::DOUBLE END AS cv FROM g GROUP BY 1, 2)
 SELECT page_id, trial, rows, CASE WHEN cv = 'inf'::DOUBLE THEN -1 ELSE cv END AS gap_cv FROM (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY CASE WHEN rows BETWEEN 5 AND 13 THEN 0 ELSE 1 END,
    CASE WHEN rows BETWEEN 5 AND 13 THEN cv ELSE -rows END, trial) AS r FROM c) x WHERE r = 1""")
 def _gap_cv(t):
-    trials = t.ocr.withColumn("trial", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3)))).filter("line_id % (4 + trial * 3) = 0")
+    trials = t.ocr.withColumn("trial", (F.lit(1) + F.col("line_id") % 3).cast("int"))
     cv = layout.gap_cv(trials, ["page_id", "trial"]).withColumn("gap_cv", F.round("gap_cv", 6))
     best = layout.best_trial(cv, "page_id", "trial")
     return best.withColumn("gap_cv", F.when(F.col("gap_cv") == float("inf"), -1.0).otherwise(F.col("gap_cv")))

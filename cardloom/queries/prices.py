@@ -114,7 +114,7 @@ def _lookups(t):
 @query("A6", "upsert_update", """
 WITH tab AS (SELECT set_id, num, min(name) AS name, min(unit_price) AS price, min(l_shipdate) AS first_seen, min(l_shipdate) AS updated_at FROM pull_card WHERE pull_id % 2 = 0 GROUP BY 1, 2),
 new AS (SELECT * FROM (SELECT set_id, num, name, unit_price AS price, row_number() OVER (PARTITION BY set_id, num ORDER BY l_shipdate DESC, pull_id DESC, unit_price) AS r
-        FROM pull_card WHERE pull_id % 2 = 1 AND num <= 40) x WHERE r = 1)
+        FROM pull_card WHERE pull_id % 2 = 1) x WHERE r = 1)
 SELECT coalesce(t.set_id, n.set_id) AS set_id, coalesce(t.num, n.num) AS num, CASE WHEN t.set_id IS NULL THEN n.name ELSE t.name END AS name,
   CASE WHEN n.set_id IS NOT NULL THEN n.price ELSE t.price END AS price,
   CASE WHEN t.set_id IS NULL THEN TIMESTAMP '2002-01-01 00:00:00' ELSE t.first_seen END AS first_seen,
@@ -125,7 +125,7 @@ def _upsert(t):
     table = c.filter("pull_id % 2 = 0").groupBy("set_id", "num").agg(
         F.min("name").alias("name"), F.min("unit_price").alias("price"),
         F.min("l_shipdate").alias("first_seen"), F.min("l_shipdate").alias("updated_at"))
-    rows = c.filter("pull_id % 2 = 1 AND num <= 40").withColumnRenamed("unit_price", "price").select(
+    rows = c.filter("pull_id % 2 = 1").withColumnRenamed("unit_price", "price").select(
         "set_id", "num", "name", "price", "l_shipdate", "pull_id")
     return upserts.upsert_update(table, rows, ["set_id", "num"], ["price"],
                                  F.lit("2002-01-01 00:00:00").cast("timestamp_ntz"),
@@ -133,12 +133,12 @@ def _upsert(t):
 
 
 @query("A7", "upsert_ignore", """
-WITH tab AS (SELECT match_id, min(name) AS name FROM pull_card WHERE pull_id % 2 = 0 AND num > 10 GROUP BY 1),
+WITH tab AS (SELECT match_id, min(name) AS name FROM pull_card WHERE pull_id % 2 = 0 GROUP BY 1),
 new AS (SELECT match_id, min(name) AS name FROM pull_card WHERE pull_id % 2 = 1 AND num % 9 <> 0 GROUP BY 1)
 SELECT * FROM tab UNION ALL SELECT * FROM new WHERE match_id NOT IN (SELECT match_id FROM tab)""")
 def _ignore(t):
     c = t.cards_unordered
-    table = c.filter("pull_id % 2 = 0 AND num > 10").groupBy("match_id").agg(F.min("name").alias("name"))
+    table = c.filter("pull_id % 2 = 0").groupBy("match_id").agg(F.min("name").alias("name"))
     rows = c.filter("pull_id % 2 = 1").select(F.when(F.col("num") % 9 != 0, F.col("match_id")).alias("match_id"), "name")
     return upserts.upsert_ignore(table, rows, ["match_id"], ["name"])
 
@@ -167,14 +167,14 @@ def _count(t):
 
 
 @query("A9", "rebuild_dimension", """
-WITH o AS (SELECT set_code, set_name, catalog_id FROM set_dim WHERE n < 9), f AS (SELECT set_code, upper(set_name) AS set_name, CASE WHEN n % 2 = 0 THEN catalog_id END AS catalog_id FROM set_dim WHERE n > 3)
+WITH o AS (SELECT set_code, set_name, catalog_id FROM set_dim), f AS (SELECT CASE WHEN n <= 3 THEN 'N' || set_code ELSE set_code END AS set_code, upper(set_name) AS set_name, CASE WHEN n % 2 = 0 THEN catalog_id END AS catalog_id FROM set_dim)
 SELECT coalesce(f.set_code, o.set_code) AS set_code, coalesce(f.set_name, o.set_name) AS set_name, coalesce(f.catalog_id, o.catalog_id) AS catalog_id
 FROM o FULL JOIN f ON o.set_code = f.set_code""")
 def _rebuild(t):
     s = t.sets.select("n", "set_code", "set_name", "catalog_id")
-    fresh = s.filter("n > 3").select("set_code", F.upper("set_name").alias("set_name"),
+    fresh = s.select(F.when(F.col("n") <= 3, F.concat(F.lit("N"), "set_code")).otherwise(F.col("set_code")).alias("set_code"), F.upper("set_name").alias("set_name"),
                                      F.when(F.col("n") % 2 == 0, F.col("catalog_id")).alias("catalog_id"))
-    return upserts.rebuild_dimension(fresh, s.filter("n < 9").drop("n"), "set_code", "catalog_id")
+    return upserts.rebuild_dimension(fresh, s.drop("n"), "set_code", "catalog_id")
 
 
 @query("A11", "extract_links", """
@@ -191,7 +191,8 @@ def _links(t):
 @query("A12", "parse_card_payload", """
 SELECT event_id, CASE WHEN pos = 1 THEN 7 ELSE pos END AS row_index, CAST(pos AS VARCHAR) || '/050' AS card_number,
   CASE WHEN pos = 0 THEN CAST(0.5 AS DOUBLE) ELSE 0.0 END AS confidence
-FROM events, (SELECT unnest([0, 1, 2]) AS pos) p WHERE event_id % 5 <> 0 AND pos <= event_id % 3""")
+FROM events, (SELECT unnest([0, 1, 2]) AS pos) p WHERE event_id % 5 <> 0 AND pos <= event_id % 3
+UNION ALL SELECT event_id, NULL, NULL, NULL FROM events WHERE event_id % 5 = 0""")
 def _cards_json(t):
     n = (F.col("event_id") % 3).cast("int")
     parts = F.array_join(F.transform(F.sequence(F.lit(0), n), lambda i: F.concat(
@@ -200,8 +201,9 @@ def _cards_json(t):
         F.when(i == 0, F.lit(',"confidence":0.5')).otherwise(F.lit("")), F.lit("}"))), ",")
     doc = F.when(F.col("event_id") % 5 == 0, F.concat(F.lit("["), parts, F.lit(",{oops]"))).otherwise(
         F.concat(F.lit("["), parts, F.lit("]")))
-    cards, _ = payloads.parse_card_payload(t.table("events").select("event_id", doc.alias("doc")), "doc")
-    return cards.select("event_id", "row_index", "card_number", "confidence")
+    cards, rejects = payloads.parse_card_payload(t.table("events").select("event_id", doc.alias("doc")), "doc")
+    return cards.select("event_id", "row_index", "card_number", "confidence").unionByName(
+        rejects.select("event_id"), allowMissingColumns=True)
 
 
 def timing_lines(t):
@@ -225,17 +227,17 @@ def _latency(t):
 
 
 @query("A14", "search_results", """
-WITH p AS (SELECT pull_id % 40 AS asked, CASE WHEN num % 5 = 0 THEN NULL WHEN pull_id % 40 < 10 THEN -1 ELSE pull_id % 40 END AS got, match_id, pull_id % 40 < 10 AND num % 5 = 0 AS x FROM pull_card),
-k AS (SELECT asked, match_id FROM p WHERE (got IS NULL OR got = asked) AND NOT (asked < 10 AND x AND asked % 2 = 0)),
-alt AS (SELECT pull_id % 40 AS asked, 'alt-' || match_id AS match_id FROM pull_card WHERE num % 7 = 0)
+WITH p AS (SELECT pull_id % 40 AS asked, CASE WHEN pull_id % 40 < 10 AND (num % 5 <> 0 OR pull_id % 2 = 0) THEN -1 WHEN num % 5 = 0 THEN NULL ELSE pull_id % 40 END AS got, match_id FROM pull_card),
+k AS (SELECT asked, match_id FROM p WHERE got IS NULL OR got = asked),
+alt AS (SELECT pull_id % 40 AS asked, 'alt-' || match_id AS match_id FROM pull_card)
 SELECT asked, match_id, 'primary' AS source, count(*) AS n FROM k GROUP BY 1, 2
 UNION ALL SELECT asked, match_id, 'alternate', count(*) FROM alt WHERE asked NOT IN (SELECT asked FROM k) GROUP BY 1, 2""")
 def _pages(t):
     asked = F.col("pull_id") % 40
-    got = F.when(F.col("num") % 5 == 0, None).when(asked < 10, F.lit(-1).cast("bigint")).otherwise(asked)
-    primary = t.cards_unordered.select(asked.alias("asked_set"), got.alias("set_id"), "match_id", "num").filter(
-        ~((F.col("asked_set") < 10) & (F.col("num") % 5 == 0) & (F.col("asked_set") % 2 == 0))).drop("num")
-    alternate = t.cards_unordered.filter("num % 7 = 0").select(
+    got = (F.when((asked < 10) & ((F.col("num") % 5 != 0) | (asked % 2 == 0)), F.lit(-1).cast("bigint"))
+           .when(F.col("num") % 5 == 0, None).otherwise(asked))
+    primary = t.cards_unordered.select(asked.alias("asked_set"), got.alias("set_id"), "match_id")
+    alternate = t.cards_unordered.select(
         asked.alias("asked_set"), asked.alias("set_id"), F.concat(F.lit("alt-"), "match_id").alias("match_id"))
     out = payloads.search_results(primary, alternate)
     return out.groupBy(F.col("asked_set").alias("asked"), "match_id", "source").agg(F.count(F.lit(1)).alias("n"))

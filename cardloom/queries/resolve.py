@@ -95,14 +95,14 @@ def _listing(t):
 _SLUG = "s AS (SELECT DISTINCT set_id || '-' || CAST(num % 3 AS VARCHAR) AS slug, CASE num % 4 WHEN 0 THEN '-1' WHEN 1 THEN 'x' WHEN 2 THEN '0' ELSE CAST(num AS VARCHAR) END AS source_id FROM pull_card)"
 
 
-@query("B18", "valid_source_ids", f"""WITH {_SLUG} SELECT slug, source_id, CASE WHEN substr(slug, 1, 3) NOT IN (SELECT set_id FROM set_dim WHERE n < 9) OR substr(slug, 5) = '2' THEN 'unknown_slug'
+@query("B18", "valid_source_ids", f"""WITH {_SLUG} SELECT slug, source_id, CASE WHEN substr(slug, 1, 3) NOT IN (SELECT set_id FROM set_dim) OR substr(slug, 5) = '2' THEN 'unknown_slug'
    WHEN TRY_CAST(source_id AS INT) > 0 THEN 'kept' ELSE 'placeholder_id' END AS outcome FROM s""")
 def _valid_ids(t):
     num = F.col("num")
     rows = t.cards_unordered.select(F.concat("set_id", F.lit("-"), (num % 3).cast("string")).alias("slug"),
                                     F.when(num % 4 == 0, "-1").when(num % 4 == 1, "x").when(num % 4 == 2, "0")
                                     .otherwise(num.cast("string")).alias("source_id")).distinct()
-    slugs = t.sets.filter("n < 9").select(F.explode(F.array(*[F.concat("set_id", F.lit(f"-{i}")) for i in (0, 1)])).alias("slug"))
+    slugs = t.sets.select(F.explode(F.array(*[F.concat("set_id", F.lit(f"-{i}")) for i in (0, 1)])).alias("slug"))
     good, bad = resolve.valid_source_ids(rows, slugs)
     return good.withColumn("outcome", F.lit("kept")).unionByName(bad.withColumnRenamed("reason", "outcome"))
 
@@ -317,8 +317,9 @@ def _missing(t):
     return resolve.missing_keys(t.cards_unordered.select(F.col("match_id").alias("key")), t.catalog.select(F.col("card_id").alias("key")), "key")
 
 
-_FIXED = """vn AS (SELECT DISTINCT set_id, CAST(CAST(local_id AS INT) AS VARCHAR) AS v FROM catalog_card WHERE CAST(local_id AS INT) % 3 <> 0),
-r0 AS (SELECT pull_id, row_index, true_set, prefix, numerator, CASE WHEN prefix IS NULL AND regexp_matches(numerator, '^[0-9]+$') THEN coalesce(nullif(ltrim(numerator, '0'), ''), '0') END AS n FROM reading),
+_FIXED = """vn AS (SELECT DISTINCT set_id, CAST(CAST(local_id AS INT) AS VARCHAR) AS v FROM catalog_card ),
+rd AS (SELECT * REPLACE (CASE WHEN num % 3 = 0 AND regexp_matches(numerator, '^[0-9]+$') THEN '9' || substr(numerator, 2) ELSE numerator END AS numerator) FROM reading),
+r0 AS (SELECT pull_id, row_index, true_set, prefix, numerator, CASE WHEN prefix IS NULL AND regexp_matches(numerator, '^[0-9]+$') THEN coalesce(nullif(ltrim(numerator, '0'), ''), '0') END AS n FROM rd),
 w AS (SELECT DISTINCT true_set AS set_id, n FROM r0 WHERE n IS NOT NULL AND NOT EXISTS (SELECT 1 FROM vn WHERE vn.set_id = true_set AND vn.v = n)),
 fx AS (SELECT w.set_id, w.n, min(v) AS fix FROM w JOIN vn ON vn.set_id = w.set_id AND length(vn.v) = length(w.n) AND hamming(vn.v, w.n) = 1 GROUP BY 1, 2 HAVING count(*) = 1)"""
 
@@ -326,8 +327,11 @@ fx AS (SELECT w.set_id, w.n, min(v) AS fix FROM w JOIN vn ON vn.set_id = w.set_i
 @query("C11", "correct_numerators", f"""WITH {_FIXED} SELECT pull_id, row_index, coalesce(fix, numerator) AS numerator, fix IS NOT NULL AS corrected FROM r0 LEFT JOIN fx ON fx.set_id = true_set AND fx.n = r0.n""")
 def _correct(t):
     local = F.col("local_id").cast("int")
-    valid = t.catalog.filter(local % 3 != 0).select("set_id", local.cast("string").alias("numerator")).distinct()
-    return resolve.correct_numerators(t.readings.withColumn("set_id", F.col("true_set")), valid).select(
+    valid = t.catalog.select("set_id", local.cast("string").alias("numerator")).distinct()
+    numerator = F.col("numerator")
+    misread = F.when((F.col("num") % 3 == 0) & numerator.rlike("^[0-9]+$"), F.concat(F.lit("9"), F.substring(numerator, 2, 99))).otherwise(numerator)
+    readings = t.readings.withColumn("set_id", F.col("true_set")).withColumn("numerator", misread)
+    return resolve.correct_numerators(readings, valid).select(
         "pull_id", "row_index", "numerator", "corrected")
 
 

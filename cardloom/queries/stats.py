@@ -157,22 +157,36 @@ def _claims(t):
     return t.pulls.select("pull_id", "code_normalized", "created_at", "verified")
 
 
-@query("E2", "rescue_claim", """
-WITH own AS (SELECT pull_id, code_normalized, created_at AS moment FROM pull WHERE verified),
-tries AS (SELECT pull_id, CASE WHEN pull_id % 3 = 0 THEN code_normalized ELSE code_normalized || 'R' || CAST(pull_id % 2 AS VARCHAR) END AS code_normalized,
-   pull_id % 7 <> 0 AS code_format_ok, created_at + INTERVAL 3 DAY AS moment FROM pull WHERE NOT verified OR pull_id % 50 = 0),
-marked AS (SELECT t.*, t.pull_id IN (SELECT pull_id FROM own) AS owns FROM tries t),
-claims AS (SELECT pull_id, code_normalized, moment, 0 AS kind FROM own UNION ALL
-   SELECT pull_id, code_normalized, moment, 1 FROM marked WHERE NOT owns AND code_format_ok),
-win AS (SELECT pull_id FROM (SELECT *, row_number() OVER (PARTITION BY code_normalized ORDER BY moment, kind, pull_id) r FROM claims) c WHERE r = 1 AND kind = 1)
-SELECT pull_id, code_normalized, CASE WHEN owns THEN 'already_verified' WHEN NOT code_format_ok THEN 'bad_format'
-   WHEN pull_id IN (SELECT pull_id FROM win) THEN 'verified' ELSE 'taken' END AS outcome FROM marked""")
+# Three re-reads per pull: its own code (taken by the first claimant), a code that two of its
+# code's pulls share, and a third that mixes both; a third of the pulls re-reads all at one instant.
+_REREADS = """t AS (SELECT pull_id * 10 + k AS reread_id, pull_id, code_normalized AS base,
+   code_normalized || CASE k WHEN 0 THEN '' WHEN 1 THEN 'R' || CAST(pull_id % 2 AS VARCHAR) ELSE CASE WHEN pull_id % 4 = 0 THEN 'R0' ELSE 'S' END END AS code_normalized,
+   (pull_id + k) % 7 <> 0 AS code_format_ok, created_at + to_days(CAST(3 + k * (pull_id % 3) AS INT)) AS moment
+   FROM pull, (SELECT unnest([0, 1, 2]) AS k) ks WHERE NOT verified OR pull_id % 50 = 0)"""
+
+
+@query("E2", "rescue_claim", f"""WITH RECURSIVE {_REREADS},
+ev AS (SELECT base, 1 AS kind, reread_id AS id, pull_id, code_normalized, code_format_ok, moment FROM t
+  UNION ALL SELECT code_normalized, 0, pull_id, pull_id, code_normalized, code_format_ok, created_at FROM pull WHERE code_normalized IN (SELECT base FROM t)),
+o AS (SELECT *, row_number() OVER (PARTITION BY base ORDER BY moment, kind, id) AS n FROM ev),
+st AS (SELECT DISTINCT base, CAST(0 AS BIGINT) AS n, 0 AS kind, CAST(NULL AS BIGINT) AS id, CAST(NULL AS BIGINT) AS pull_id, CAST(NULL AS VARCHAR) AS code_normalized,
+     CAST(NULL AS VARCHAR) AS outcome, CAST([] AS VARCHAR[]) AS codes, CAST([] AS BIGINT[]) AS pulls FROM t
+ UNION ALL
+ SELECT base, n, kind, id, pull_id, code_normalized, outcome, CASE outcome WHEN 'verified' THEN list_append(codes, code_normalized) ELSE codes END,
+     CASE outcome WHEN 'verified' THEN list_append(pulls, pull_id) ELSE pulls END
+   FROM (SELECT o.base, o.n, o.kind, o.id, o.pull_id, o.code_normalized, st.codes, st.pulls,
+     CASE WHEN list_contains(st.pulls, o.pull_id) THEN 'already_verified' WHEN NOT o.code_format_ok THEN 'bad_format'
+          WHEN list_contains(st.codes, o.code_normalized) THEN 'taken' ELSE 'verified' END AS outcome
+     FROM st JOIN o ON o.base = st.base AND o.n = st.n + 1) x)
+SELECT id AS reread_id, pull_id, code_normalized, outcome FROM st WHERE kind = 1""")
 def _rescue(t):
-    again = t.pulls.filter(~F.col("verified") | (F.col("pull_id") % 50 == 0)).select(
-        "pull_id", F.when(F.col("pull_id") % 3 == 0, F.col("code_normalized")).otherwise(
-            F.concat("code_normalized", F.lit("R"), (F.col("pull_id") % 2).cast("string"))).alias("code_normalized"),
-        (F.col("pull_id") % 7 != 0).alias("code_format_ok"),
-        (F.col("created_at") + F.expr("INTERVAL 3 DAYS")).alias("at"))
+    p, k = F.col("pull_id"), F.col("k")
+    again = (t.pulls.filter(~F.col("verified") | (p % 50 == 0)).withColumn("k", F.explode(F.array(*map(F.lit, (0, 1, 2)))))
+             .select((p * 10 + k).alias("reread_id"), "pull_id",
+                     F.concat("code_normalized", F.when(k == 0, "").when(k == 1, F.concat(F.lit("R"), (p % 2).cast("string")))
+                              .otherwise(F.when(p % 4 == 0, "R0").otherwise("S"))).alias("code_normalized"),
+                     ((p + k) % 7 != 0).alias("code_format_ok"),
+                     (F.col("created_at") + F.make_dt_interval((3 + k * (p % 3)).cast("int"))).alias("at")))
     return claims.rescue_claims(t.submissions, again)
 
 

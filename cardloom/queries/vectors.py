@@ -34,7 +34,7 @@ def _accept(t):
     return vectors.accept_with_margin(ranked(t, 2), accept=0.5)
 
 
-_HASH = "CAST(list_sum([CASE WHEN embedding[i + 1] > 0 THEN CAST(1 AS BIGINT) << i ELSE 0 END FOR i IN range(63)]) AS BIGINT)"
+_HASH = "CAST(list_sum([CASE WHEN embedding[i + 1] <= 0 THEN 0 WHEN i = 63 THEN CAST(-9223372036854775808 AS BIGINT) ELSE CAST(1 AS BIGINT) << CAST(i AS INT) END FOR i IN range(64)]) AS BIGINT)"
 
 
 @query("C16", "nearest_hash_per_set", f"""WITH h AS (SELECT vec_id, label, {_HASH} AS hash FROM embeddings),

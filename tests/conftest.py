@@ -12,10 +12,3 @@ def spark():
     session = local_session(8)
     yield session
     session.stop()
-
-
-@pytest.fixture
-def hot(monkeypatch):
-    """Treat every key with more than three rows as hot, so the split path runs."""
-    from cardloom.plans import skew
-    monkeypatch.setattr(skew, "HOT_ROWS", 3)

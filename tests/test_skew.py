@@ -1,4 +1,4 @@
-"""The two-level scans equal a plain scan, on the hot path and on the plain path."""
+"""The two-level scans equal a plain scan."""
 
 import random
 
@@ -9,13 +9,6 @@ from cardloom.operators import layout
 from cardloom.plans import skew
 
 
-@pytest.fixture(params=["plain", "split"])
-def path(request, monkeypatch):
-    if request.param == "split":
-        monkeypatch.setattr(skew, "HOT_ROWS", 3)
-    return request.param
-
-
 @pytest.fixture(scope="module")
 def rows():
     rng = random.Random(5)
@@ -37,12 +30,12 @@ def B():
     return [F.floor(F.col("y") / 25)]
 
 
-def test_ordinal(spark, rows, path):
+def test_ordinal(spark, rows):
     got = {(r.k, r.i): r.n for r in skew.ordinal(frame(spark, rows), ["k"], ["y", "i"], B(), "n").collect()}
     assert got == {(k, i): n for k, v in by_key(rows).items() for n, (_, i) in enumerate(v, 1)}
 
 
-def test_previous_and_running(spark, rows, path):
+def test_previous_and_running(spark, rows):
     df = skew.previous_value(frame(spark, rows), ["k"], ["y", "i"], B(), F.col("i"), "p")
     df = skew.running_sum(df, ["k"], ["y", "i"], B(), F.col("i"), "s")
     got = {(r.k, r.i): (r.p, r.s) for r in df.collect()}
@@ -57,7 +50,7 @@ def test_previous_and_running(spark, rows, path):
 
 
 @pytest.mark.parametrize("inclusive", [False, True])
-def test_islands(spark, rows, path, inclusive):
+def test_islands(spark, rows, inclusive):
     got = {(r.k, r.i): r.island for r in skew.islands(
         frame(spark, rows), ["k"], "y", 9.0, 25.0, inclusive=inclusive).collect()}
     want = {}
@@ -70,7 +63,7 @@ def test_islands(spark, rows, path, inclusive):
     assert got == want
 
 
-def test_nearest_anchors(spark, rows, path):
+def test_nearest_anchors(spark, rows):
     anchors = [(k, y + 0.5) for k, i, y in rows if i % 5 == 0]
     a = spark.createDataFrame(anchors, "k string, a double")
     got = {(r.k, r.i): (r.before and r.before["at"], r.after and r.after["at"]) for r in skew.nearest_anchors(
@@ -82,7 +75,7 @@ def test_nearest_anchors(spark, rows, path):
 
 
 def test_global_ordinal(spark, rows):
-    got = [r.ordinal for r in skew.global_ordinal(frame(spark, rows), "i", [], buckets=7).orderBy("i").collect()]
+    got = [r.ordinal for r in skew.global_ordinal(frame(spark, rows), ["y"], ["i"]).orderBy("y", "i").collect()]
     assert got == list(range(len(rows)))
 
 
@@ -93,7 +86,7 @@ def test_mode_ties(spark):
     assert got == {1: ("b", 2), 3: ("y", 1)}
 
 
-def test_partitioning_does_not_change_results(spark, rows, path):
+def test_partitioning_does_not_change_results(spark, rows):
     out = []
     for parts in (1, 7):
         df = spark.createDataFrame(rows[::-1] if parts == 7 else rows, "k string, i long, y double").repartition(parts)
@@ -118,7 +111,7 @@ def random_boxes(n, seed=3):
              float(rng.randrange(20, 90))) for i in range(n)]
 
 
-def test_nms_equals_greedy_loop(spark, path):
+def test_nms_equals_greedy_loop(spark):
     boxes = random_boxes(120)
     boxes += [(0, 900 + i, *boxes[0][2:]) for i in range(5)]
     df = spark.createDataFrame(boxes, "page_id int, line_id int, x double, y double, w double, h double")
