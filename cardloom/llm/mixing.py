@@ -114,7 +114,8 @@ def mix_sizes(rows: DataFrame, seed: int = 7, weights: tuple[float, ...] = WEIGH
     rows = rows.withColumn("shard", F.conv(F.substring("mark", 1, 8), 16, 10).cast("long") % shards)
     goal = targets(rows, weights=weights, share=share, cap=cap)
     wanted = goal.agg(F.sum("target")).first()[0] or 0.0
-    quota = apportion(goal, round(wanted / BLOCK), "target", "key")
+    # Half a block counts as one; the targets sum to a multiple of a sixteenth, up to rounding.
+    quota = apportion(goal, int(wanted / BLOCK + 0.5 + 1 / 32), "target", "key")
     held = stage(rows.groupBy("key", "shard").agg(F.sum("size").alias("words")), "held")
     split = apportion_by(held.join(quota.select("key", F.col("blocks").alias("source_blocks")), "key"),
                          "key", "source_blocks", "words", "shard")
