@@ -109,8 +109,9 @@ def ring_links(distinct: DataFrame) -> DataFrame:
     """(a, b) signed fingerprints: links within two bits that connect everything so linked.
 
     ``distinct`` (fp) holds each fingerprint once, so copies are one row here. A file holds the
-    fingerprints that share 41 bits or more, 2^23 at most; files of one are dropped by
-    their count before any list is made. Per file a spanning forest is returned, not all pairs."""
+    fingerprints that share 41 bits or more, so 2^23 at most whatever the input, and few in
+    practice; the 64 filings of each are shuffled once. Files with equal members are compared once,
+    and per file a spanning forest is returned, not all pairs."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             a, b = [], []
@@ -122,16 +123,9 @@ def ring_links(distinct: DataFrame) -> DataFrame:
             yield pd.DataFrame({"a": np.array(a, np.int64), "b": np.array(b, np.int64)})
 
     filed = distinct.select("fp", F.explode(ring_files(F.col("fp"))).alias("f")).select("f.file", "f.bits", "fp")
-    shared = (filed.groupBy("file", "bits").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi"),
-                                                F.count(F.lit(1)).alias("n")).filter("n > 1"))
-    shared = stage(shared, "files")
-    two = shared.filter("n = 2").select(F.col("lo").alias("a"), F.col("hi").alias("b")).distinct() \
-        .filter(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= BITS)
-    more = (filed.join(shared.filter("n > 2").select("file", "bits"), ["file", "bits"])
-            .groupBy("file", "bits").agg(F.collect_list("fp").alias("members"))
-            .select(F.array_sort("members").alias("members")).distinct()
-            .mapInPandas(run, "a long, b long"))
-    return stage(two.unionByName(more).distinct(), "links")
+    shared = (filed.groupBy("file", "bits").agg(F.collect_list("fp").alias("members")).filter(F.size("members") > 1)
+              .select(F.array_sort("members").alias("members")).distinct())
+    return stage(shared.mapInPandas(run, "a long, b long").distinct(), "links")
 
 
 def near_duplicates(strips: DataFrame, strip_id: str = "strip_id", text: str = "text") -> DataFrame:
