@@ -349,14 +349,19 @@ def rejoin_split_number(lines: DataFrame, key: str = "page_id", tie: str = "line
     return near.unionByName(whole).filter(F.col("digits").cast("int") >= 1)
 
 
-def box_pairs(boxes: DataFrame, key: str = "page_id", cell: float = 64.0) -> DataFrame:
-    """Overlapping pairs of distinct boxes with their IoU.
+def box_pairs(boxes: DataFrame, key: str = "page_id", cell: float = 64.0, tie: str | None = None) -> DataFrame:
+    """Overlapping pairs of distinct boxes with their IoU; with ``tie``, also the smallest tie of
+    each side's copies (``aid``, ``bid``).
 
     A box joins through every grid cell it covers; a pair is emitted only in the cell
     that holds the corner of its intersection, so no distinct is needed and boxes that
     do not meet are never paired. Copies of a box are folded (``copies``)."""
-    dims = ["x", "y", "w", "h"]
-    distinct = boxes.groupBy(key, *dims).agg(F.count(F.lit(1)).alias("copies"))
+    dims, held = ["x", "y", "w", "h"], ["copies"]
+    folded = [F.count(F.lit(1)).alias("copies")]
+    if tie:
+        folded.append(F.min(tie).alias("id"))
+        held.append("id")
+    distinct = boxes.groupBy(key, *dims).agg(*folded)
 
     def cover(lo, size):
         return F.explode(F.sequence(F.floor(F.col(lo) / cell), F.floor((F.col(lo) + F.col(size)) / cell)))
@@ -364,7 +369,7 @@ def box_pairs(boxes: DataFrame, key: str = "page_id", cell: float = 64.0) -> Dat
     tiled = distinct.withColumn("__cx", cover("x", "w")).withColumn("__cy", cover("y", "h"))
 
     def side(s):
-        return tiled.select(key, "__cx", "__cy", *[F.col(c).alias(s + c) for c in (*dims, "copies")])
+        return tiled.select(key, "__cx", "__cy", *[F.col(c).alias(s + c) for c in (*dims, *held)])
 
     ix, iy = F.greatest("ax", "bx"), F.greatest("ay", "by")
     iw = F.least(F.col("ax") + F.col("aw"), F.col("bx") + F.col("bw")) - ix
@@ -379,29 +384,60 @@ def box_pairs(boxes: DataFrame, key: str = "page_id", cell: float = 64.0) -> Dat
             .withColumn("iou", inter / union).drop("__cx", "__cy"))
 
 
+def greedy_rounds(edges: DataFrame, node: list[str]) -> DataFrame:
+    """The nodes that lose in a greedy selection over a conflict graph, best node first.
+
+    ``edges``: columns ``win_<c>`` and ``lose_<c>`` for each of ``node``; the better node wins. A
+    node that loses to no open node is selected, so all it beats are out; edges of what is
+    out vanish, and so on until no edge is left. This selects what one pass from the best node to the
+    worst selects, with a few distributed rounds instead of a fold over a whole group."""
+    win, lose = [f"win_{c}" for c in node], [f"lose_{c}" for c in node]
+    out, edges = None, stage(edges.select(*win, *lose).distinct(), "edges")
+    while not edges.isEmpty():
+        losers = edges.select(*[F.col(c).alias(n) for c, n in zip(lose, node)]).distinct()
+        sure = edges.select(*[F.col(c).alias(n) for c, n in zip(win, node)]).distinct().join(losers, node, "left_anti")
+        gone = stage(edges.join(sure.select(*[F.col(n).alias(c) for c, n in zip(win, node)]), win, "left_semi")
+                     .select(*[F.col(c).alias(n) for c, n in zip(lose, node)]).distinct(), "gone")
+        out = gone if out is None else stage(out.unionByName(gone), "out")
+        as_win = gone.select(*[F.col(n).alias(c) for c, n in zip(win, node)])
+        as_lose = gone.select(*[F.col(n).alias(c) for c, n in zip(lose, node)])
+        edges = stage(edges.join(as_lose, lose, "left_anti").join(as_win, win, "left_anti"), "edges")
+    return edges.select(*[F.col(c).alias(n) for c, n in zip(win, node)]) if out is None else out
+
+
+def greedy_unique(items: DataFrame, order: list, keys: list[list[str]], ident: list[str]) -> DataFrame:
+    """Items chosen one by one in ``order``, none that shares one of ``keys`` with a chosen one.
+
+    In each round an item that is first of all its key groups is certain; the others of these groups
+    are out. No pairs are made: groups meet in pre-aggregated minima only."""
+    rank, out = F.struct(*order), None
+    left = stage(items.withColumn("__rank", rank), "items")
+    while not left.isEmpty():
+        sure = left
+        for key in keys:
+            best = left.groupBy(*key).agg(F.min("__rank").alias("__first"))
+            sure = sure.join(best, key).filter(F.col("__rank") == F.col("__first")).drop("__first")
+        sure = stage(sure, "chosen")
+        out = sure if out is None else stage(out.unionByName(sure), "chosen")
+        for key in keys:
+            left = left.join(sure.select(*key).distinct(), key, "left_anti")
+        left = stage(left, "items")
+    return (left if out is None else out).select(*ident)
+
+
 def nms(boxes: DataFrame, iou: float = 0.4, key: str = "page_id", tie: str = "line_id") -> DataFrame:
     """Greedy overlap suppression, largest area first (then smallest ``tie``).
 
-    Copies can only lose to their first one and boxes of different islands cannot
-    overlap, so the greedy fold runs per island of distinct boxes, inside the JVM."""
+    Copies can only lose to their first one. The others conflict where they overlap by more
+    than ``iou``; the greedy choice runs in rounds over these pairs (``greedy_rounds``), so a
+    dense page is many pairs and not one task."""
     first = boxes.groupBy(key, "x", "y", "w", "h").agg(F.min(tie).alias(tie))
-    tall = first.groupBy(key).agg(F.max("h").alias("__mh"), F.max("w").alias("__mw"))
-    b = first.join(tall, key).withColumns({"__yc": F.col("y") + F.col("h") / 2, "__xc": F.col("x") + F.col("w") / 2})
-    b = stage(islands(b, [key], "__yc", F.col("__mh"), 64.0, name="__iy"), "bands")
-    b = islands(b, [key, "__iy"], "__xc", F.col("__mw"), 64.0, name="__ix")
-    box = F.struct((-F.col("w") * F.col("h")).alias("rank"), tie, "x", "y", "w", "h")
-    isle = b.groupBy(key, "__iy", "__ix").agg(F.array_sort(F.collect_list(box)).alias("__boxes"))
-
-    def overlap(p, q):
-        zero = F.lit(0.0)
-        iw = F.greatest(zero, F.least(p["x"] + p["w"], q["x"] + q["w"]) - F.greatest(p["x"], q["x"]))
-        ih = F.greatest(zero, F.least(p["y"] + p["h"], q["y"] + q["h"]) - F.greatest(p["y"], q["y"]))
-        return iw * ih > F.lit(iou) * (p["w"] * p["h"] + q["w"] * q["h"] - iw * ih)
-
-    kept = F.aggregate("__boxes", F.slice("__boxes", 1, 0),
-                       lambda acc, c: F.when(F.exists(acc, lambda k: overlap(k, c)), acc)
-                       .otherwise(F.concat(acc, F.array(c))))
-    return isle.select(key, F.explode(kept).alias("k")).select(key, f"k.{tie}", "k.x", "k.y", "k.w", "k.h")
+    pairs = box_pairs(boxes, key, tie=tie).filter(F.col("iou") > iou)
+    a_wins = F.struct((-F.col("aw") * F.col("ah")).alias("r"), F.col("aid").alias("i")) < F.struct(
+        (-F.col("bw") * F.col("bh")).alias("r"), F.col("bid").alias("i"))
+    edges = pairs.select(F.col(key).alias(f"win_{key}"), F.when(a_wins, F.col("aid")).otherwise(F.col("bid")).alias(f"win_{tie}"),
+                         F.col(key).alias(f"lose_{key}"), F.when(a_wins, F.col("bid")).otherwise(F.col("aid")).alias(f"lose_{tie}"))
+    return first.join(greedy_rounds(edges, [key, tie]), [key, tie], "left_anti").select(key, tie, "x", "y", "w", "h")
 
 
 def fill_from_detections(strips: DataFrame, boxes: DataFrame, key: str = "page_id",
@@ -410,8 +446,9 @@ def fill_from_detections(strips: DataFrame, boxes: DataFrame, key: str = "page_i
     strip heights whose number is not read elsewhere on the photo.
 
     ``strips``: key, row_index, cy, h, numerator (NULL = unread); ``boxes``: key, y,
-    numerator, box_id. Candidates come from a banded equi join; only they reach the
-    greedy step of a photo."""
+    numerator, box_id. Candidates come from a banded equi join. Claims are made in rounds: a
+    strip's nearest open box is certain once no earlier open strip could take that box or its
+    number; certain claims close the strip, the box and the number on their photo."""
     tall = strips.groupBy(key).agg((F.max("h") * reach).alias("__band"))
     read = strips.filter("numerator IS NOT NULL").select(key, "numerator").distinct()
     free = boxes.join(read, [key, "numerator"], "left_anti").join(tall, key)
@@ -422,17 +459,18 @@ def fill_from_detections(strips: DataFrame, boxes: DataFrame, key: str = "page_i
     cand = (s.join(b, [key, "__b"]).withColumn("d", F.abs(F.col("y") - F.col("cy")))
             .filter(F.col("d") <= F.col("h") * reach)
             .select(key, "row_index", "d", "y", "box_id", "numerator"))
-
-    def claim(pdf: pd.DataFrame) -> pd.DataFrame:
-        used, have, out = set(), set(), []
-        for row, group in pdf.sort_values(["row_index", "d", "y", "box_id"]).groupby("row_index", sort=True):
-            for c in group.itertuples(index=False):
-                if c.box_id not in used and c.numerator not in have:
-                    used.add(c.box_id)
-                    have.add(c.numerator)
-                    out.append((pdf[key].iloc[0], row, c.box_id, c.numerator))
-                    break
-        return pd.DataFrame(out, columns=[key, "row_index", "box_id", "numerator"])
-
-    schema = cand.select(key, "row_index", "box_id", "numerator").schema
-    return cand.groupBy(key).applyInPandas(claim, schema)
+    out, cand = None, stage(cand, "claims")
+    empty = cand.select(key, "row_index", "box_id", "numerator").limit(0)
+    while not cand.isEmpty():
+        nearest = (cand.groupBy(key, "row_index").agg(F.min(F.struct("d", "y", "box_id", "numerator")).alias("c"))
+                   .select(key, "row_index", "c.box_id", "c.numerator"))
+        by_box = cand.groupBy(key, "box_id").agg(F.min("row_index").alias("__r1"))
+        by_number = cand.groupBy(key, "numerator").agg(F.min("row_index").alias("__r2"))
+        sure = stage(nearest.join(by_box, [key, "box_id"]).join(by_number, [key, "numerator"])
+                     .filter((F.col("__r1") == F.col("row_index")) & (F.col("__r2") == F.col("row_index")))
+                     .select(key, "row_index", "box_id", "numerator"), "claimed")
+        out = sure if out is None else stage(out.unionByName(sure), "claimed")
+        for closed in ("row_index", "box_id", "numerator"):
+            cand = cand.join(sure.select(key, closed), [key, closed], "left_anti")
+        cand = stage(cand, "claims")
+    return empty if out is None else out

@@ -248,18 +248,52 @@ def _iou(t):
     return layout.box_pairs(wide(t)).select("page_id", "ax", "ay", "bx", "by", F.round("iou", 6).alias("iou"))
 
 
-@query("C19", "nms")
+def _nms_sql(limit):
+    """The greedy pass spelled out: pages in step, one box after the other, kept boxes in a list."""
+    over = ("greatest(0, least(k.x + k.w, o.x + o.w) - greatest(k.x, o.x)) * greatest(0, least(k.y + k.h, o.y + o.h) - greatest(k.y, o.y))")
+    return f"""{_WIDE}, f AS (SELECT page_id, x, y, w, h, min(line_id) AS line_id FROM bx GROUP BY 1, 2, 3, 4, 5),
+o AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY w * h DESC, line_id) AS n FROM f),
+st AS (SELECT page_id, CAST(1 AS BIGINT) AS n, [{{'i': line_id, 'x': x, 'y': y, 'w': w, 'h': h}}] AS kept FROM o WHERE n = 1
+  UNION ALL SELECT o.page_id, o.n, CASE WHEN len(list_filter(st.kept, lambda k: {over} > {limit} * (k.w * k.h + o.w * o.h - {over}))) > 0 THEN st.kept
+    ELSE list_append(st.kept, {{'i': o.line_id, 'x': o.x, 'y': o.y, 'w': o.w, 'h': o.h}}) END FROM st JOIN o ON o.page_id = st.page_id AND o.n = st.n + 1),
+keep AS (SELECT page_id, unnest(kept).i AS line_id FROM (SELECT page_id, arg_max(kept, n) AS kept FROM st GROUP BY 1) z)"""
+
+
+@query("C19", "nms", f"WITH RECURSIVE {_nms_sql(0.4)} SELECT page_id, line_id FROM keep")
 def _nms(t):
     return layout.nms(wide(t)).select("page_id", "line_id")
 
 
-@query("J3", "greedy_groups")
-def _greedy(t):
-    """Suppression with a tighter overlap: the same grouped-map surface, other parameter."""
-    return layout.nms(wide(t), iou=0.1).groupBy("page_id").agg(F.count(F.lit(1)).alias("kept"))
+_ITEM = "i AS (SELECT page_id, line_id, floor(y / 20) AS row_key, upper(text) AS word, conf FROM ocr_line)"
 
 
-@query("C14", "fill_from_detections")
+@query("J3", "greedy_groups", f"""WITH RECURSIVE {_ITEM}, o AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY conf DESC, line_id) AS n FROM i),
+st AS (SELECT DISTINCT page_id, CAST(0 AS BIGINT) AS n, CAST([] AS DOUBLE[]) AS rws, CAST([] AS VARCHAR[]) AS wds, CAST([] AS BIGINT[]) AS kept FROM i
+  UNION ALL SELECT page_id, n, CASE WHEN no THEN rws ELSE list_append(rws, row_key) END, CASE WHEN no THEN wds ELSE list_append(wds, word) END, CASE WHEN no THEN kept ELSE list_append(kept, line_id) END
+  FROM (SELECT o.page_id, o.n, st.rws, st.wds, st.kept, o.row_key, o.word, o.line_id, list_contains(st.rws, o.row_key) OR list_contains(st.wds, o.word) AS no FROM st JOIN o ON o.page_id = st.page_id AND o.n = st.n + 1) z)
+SELECT page_id, unnest(kept) AS line_id FROM (SELECT page_id, arg_max(kept, n) AS kept FROM st GROUP BY 1) z""")
+def _greedy(t):
+    """The greedy surface with another conflict: of a page's lines, best confidence first, those
+    that share neither their row nor their word with a chosen one."""
+    i = t.ocr.select("page_id", "line_id", F.floor(F.col("y") / 20).alias("row_key"), F.upper("text").alias("word"), "conf")
+    return layout.greedy_unique(i, [(-F.col("conf")).alias("c"), F.col("line_id").alias("i")],
+                                [["page_id", "row_key"], ["page_id", "word"]], ["page_id", "line_id"])
+
+
+_CLAIM = """ln AS (SELECT page_id, line_id, y, h, CASE WHEN contains(text, '/') THEN split_part(text, '/', 1) END AS numerator FROM ocr_line),
+sp AS (SELECT page_id, line_id AS row_index, y AS cy, h, CASE WHEN line_id % 4 = 0 THEN numerator END AS numerator FROM ln WHERE line_id % 2 = 0),
+bo AS (SELECT b.page_id, b.y, b.numerator, b.line_id AS box_id FROM ln b WHERE line_id % 2 = 1 AND numerator IS NOT NULL
+   AND NOT EXISTS (SELECT 1 FROM sp WHERE sp.page_id = b.page_id AND sp.numerator = b.numerator)),
+o AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY row_index) AS n FROM sp WHERE numerator IS NULL),
+cd AS (SELECT o.page_id, o.n, o.row_index, list({'b': box_id, 'm': bo.numerator} ORDER BY abs(bo.y - cy), bo.y, box_id) AS c FROM o LEFT JOIN bo ON o.page_id = bo.page_id AND abs(bo.y - cy) <= 1.5 * h GROUP BY 1, 2, 3)"""
+
+
+@query("C14", "fill_from_detections", f"""WITH RECURSIVE {_CLAIM},
+st AS (SELECT DISTINCT page_id, CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS row_index, CAST(NULL AS BIGINT) AS box_id, CAST(NULL AS VARCHAR) AS numerator, CAST([] AS BIGINT[]) AS used, CAST([] AS VARCHAR[]) AS have FROM cd
+  UNION ALL SELECT page_id, n, row_index, f.b, f.m, CASE WHEN f IS NULL THEN used ELSE list_append(used, f.b) END, CASE WHEN f IS NULL THEN have ELSE list_append(have, f.m) END
+  FROM (SELECT cd.page_id, cd.n, cd.row_index, st.used, st.have, list_filter(cd.c, lambda k: k.b IS NOT NULL AND NOT list_contains(st.used, k.b) AND NOT list_contains(st.have, k.m))[1] AS f
+        FROM st JOIN cd ON cd.page_id = st.page_id AND cd.n = st.n + 1) z)
+SELECT page_id, row_index, box_id, numerator FROM st WHERE box_id IS NOT NULL""")
 def _fill(t):
     lines = t.ocr.withColumn("r", N.parse_number(F.col("text"), F.col("conf")))
     strips = lines.filter("line_id % 2 = 0").select(

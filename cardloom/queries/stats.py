@@ -227,14 +227,21 @@ def _custom_prior(t):
     return stats.card_rates(t.verified_cards, t.modal, prior, metadata=False).select("set_id", "match_id", "blended_rate")
 
 
-@query("A5", "published_snapshot", f"""WITH {VERIFIED} SELECT set_id, packs, CAST(2 AS BIGINT) AS snapshot_id FROM packs""")
+@query("A5", "published_snapshot", f"""WITH {VERIFIED} SELECT set_id, packs, CAST(2 AS BIGINT) AS snapshot_id, 'done failed' AS log FROM packs""")
 def _snapshot(t):
-    """Write two snapshots, publish the log row last, read back the newest done one."""
+    """Write two snapshots and one that fails on the way; read back the newest done one."""
+    from pyspark.errors import PySparkException
+
     from cardloom.plans.session import fresh_folder
-    from cardloom.sources.snapshots import read_snapshot, write_snapshot
+    from cardloom.sources.snapshots import read_snapshot, snapshot_status, write_snapshot
     root = fresh_folder(t.spark, "snapshots")
     packs = stats.set_pack_counts(t.modal)
     write_snapshot({"set_stat": packs.withColumn("packs", F.col("packs") + 1)}, root, 1, "2024-01-01 00:00:00")
     write_snapshot({"set_stat": packs}, root, 2, "2024-01-02 00:00:00")
+    try:
+        write_snapshot({"set_stat": packs.withColumn("packs", F.raise_error(F.lit("lost")).cast("bigint"))}, root, 3, "2024-01-03 00:00:00")
+    except PySparkException:
+        pass
+    log = snapshot_status(t.spark, root).filter("snapshot_id > 1").agg(F.array_join(F.sort_array(F.collect_list("status")), " ").alias("l"))
     return read_snapshot(t.spark, root, "set_stat").select(
-        "set_id", "packs", F.col("snapshot_id").cast("bigint").alias("snapshot_id"))
+        "set_id", "packs", F.col("snapshot_id").cast("bigint").alias("snapshot_id"), log.scalar().alias("log"))

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from cardloom.operators import stats
+from cardloom.operators import claims, stats
 from cardloom.plans.session import fresh_folder
 from cardloom.plans.skew import ordinal
 from cardloom.queries.registry import query
 from cardloom.sources.snapshots import read_snapshot, write_snapshot
-from cardloom.sources.standins import _FRAME
+from cardloom.sources.standins import _FRAME, _PULL_BASE
 from cardloom.streaming import live
 
 
@@ -32,7 +32,7 @@ s AS (SELECT *, sum(j) OVER (PARTITION BY session_id ORDER BY ts, frame_id) AS k
 
 @query("I1", "session_rollup", f"WITH {_SESS.format(gap='30 MINUTE')} SELECT session_id, min(ts) AS started, count(*) AS frames, max(confidence) AS best FROM s GROUP BY session_id, k")
 def _rollup(t):
-    return live.session_rollup(t.frames)
+    return live.last_state(live.session_rollup(frame_stream(t)), "rollup")
 
 
 @query("I1", "session_rollup_12h", f"WITH {_SESS.format(gap='12 HOUR')} SELECT session_id, min(ts) AS started, count(*) AS frames, max(confidence) AS best FROM s GROUP BY session_id, k")
@@ -67,17 +67,18 @@ def _prior(t):
 @query("I5", "best_code_so_far", """WITH c AS (SELECT session_id, frame_id, ts, 'CODE' || CAST(frame_id % 100 AS VARCHAR) AS code, frame_id % 3 = 0 AS ok FROM frame WHERE frame_id % 11 = 0 AND frame_id % 17 <> 0)
 SELECT session_id, coalesce(arg_max(code, (ts, frame_id)) FILTER (WHERE ok), arg_min(code, (ts, frame_id))) AS code, bool_or(ok) AS format_ok FROM c GROUP BY 1""")
 def _code(t):
-    return live.best_code(marked(t.frames).filter("kind = 'code'"))
+    return live.last_state(live.best_code(marked(frame_stream(t)).filter("kind = 'code'")), "codes")
 
 
 @query("I7", "followup_progress", """WITH r AS (SELECT user_id AS scan_id, event_id % 9 AS row_index, CASE WHEN event_id % 4 = 0 THEN 'pending_vlm' ELSE 'ok' END AS state, event_id % 97 = 0 AS fin, ts, event_id FROM events),
 l AS (SELECT scan_id, row_index, arg_max(state, (ts, event_id)) AS state, bool_or(fin) AS fin FROM r GROUP BY 1, 2)
 SELECT scan_id, bool_or(state = 'pending_vlm') AS any_pending, bool_or(fin) AS done, count(*) AS rows FROM l GROUP BY 1""")
 def _followup(t):
-    e = t.table("events").select(
+    e = live.read_table_stream(t.spark, t.folder, "events").select(
         F.col("user_id").alias("scan_id"), (F.col("event_id") % 9).alias("row_index"),
         F.when(F.col("event_id") % 4 == 0, "pending_vlm").otherwise("ok").alias("state"), (F.col("event_id") % 97 == 0).alias("finished"), "ts", "event_id")
-    return live.followup_progress(e)
+    rows, scans = live.followup_rows(e), live.followup_scans
+    return scans(live.last_state(rows, "followup"))
 
 
 @query("I8", "stage_progress", """SELECT user_id AS scan_id, arg_max(event_type, (ts, event_id)) AS stage, max(event_id % 9) AS done, CAST(9 AS INT) AS total FROM events GROUP BY 1""")
@@ -86,21 +87,13 @@ def _stages(t):
     e = live.read_table_stream(t.spark, t.folder, "events").select(
         F.col("user_id").alias("scan_id"), F.col("event_type").alias("stage"), (F.col("event_id") % 9).alias("done"),
         F.lit(9).alias("total"), "ts", "event_id")
-    root = fresh_folder(t.spark, "stages")
-
-    def keep(batch, batch_id):
-        batch.write.mode("overwrite").parquet(f"{root}/data")
-
-    progress = live.stage_progress(e)
-    progress.writeStream.outputMode("complete").foreachBatch(keep).option(
-        "checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start().awaitTermination()
-    return t.spark.read.schema(progress.schema).parquet(f"{root}/data")
+    return live.last_state(live.stage_progress(e), "stages")
 
 
 @query("I6", "debounced_batches", """SELECT frame_id, session_id, CASE WHEN confidence >= 0.7 THEN 'ok' ELSE 'vlm_failed' END AS state FROM frame WHERE needs_second_opinion""")
 def _batches(t):
     pending = frame_stream(t).filter("needs_second_opinion")
-    path = live.debounced_batches(pending, lambda b: b.select(
+    path, _ = live.debounced_batches(pending, lambda b: b.select(
         "frame_id", "session_id", F.when(F.col("confidence") >= 0.7, "ok").otherwise("vlm_failed").alias("state")), every=None)
     return t.spark.read.parquet(path).select("frame_id", "session_id", "state")
 
@@ -109,19 +102,24 @@ def _batches(t):
 m AS (SELECT pull_id, set_id FROM (SELECT pull_id, set_id, row_number() OVER (PARTITION BY pull_id ORDER BY count(*) DESC, min(row_index), set_id) AS r FROM c GROUP BY 1, 2) x WHERE r = 1)
 SELECT set_id, count(*) AS packs FROM m GROUP BY 1""")
 def _incremental(t):
-    """Stream new orders in, append their derived cards, publish one snapshot."""
+    """Stream new orders in; each batch verifies its own pulls against the codes claimed so far and
+    adds its own set counts; publishing sums the batches' counts."""
     root = fresh_folder(t.spark, "incremental")
     cards = t.cards_unordered.withColumn("row_index", F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate"))
-    verified = t.verified.select("pull_id")
 
     def derive(batch, batch_id):
-        fresh = batch.select(F.col("o_orderkey").alias("pull_id")).join(verified, "pull_id", "left_semi")
-        cards.join(fresh, "pull_id", "left_semi").select("pull_id", "set_id", "row_index") \
-             .write.mode("overwrite").parquet(f"{root}/derived/batch={batch_id}")
+        first = claims.first_valid_claim(batch.sparkSession.sql(_PULL_BASE, orders=batch)).select("pull_id", "code_normalized")
+        if batch_id:
+            before = t.spark.read.parquet(f"{root}/claimed").filter(F.col("batch") < batch_id)
+            first = first.join(before.select("code_normalized"), "code_normalized", "left_anti")
+        first.write.mode("overwrite").parquet(f"{root}/claimed/batch={batch_id}")
+        fresh = t.spark.read.parquet(f"{root}/claimed/batch={batch_id}").select("pull_id")
+        modal = stats.modal_set(cards.join(fresh, "pull_id", "left_semi"))
+        stats.set_pack_counts(modal).write.mode("overwrite").parquet(f"{root}/counts/batch={batch_id}")
 
     def publish():
-        derived = t.spark.read.parquet(f"{root}/derived")
-        write_snapshot({"set_stat": stats.set_pack_counts(stats.modal_set(derived))}, root, 1, "2024-01-01 00:00:00", "stream")
+        counts = t.spark.read.parquet(f"{root}/counts").groupBy("set_id").agg(F.sum("packs").alias("packs"))
+        write_snapshot({"set_stat": counts}, root, 1, "2024-01-01 00:00:00", "stream")
 
     live.incremental_stats(live.read_table_stream(t.spark, t.folder, "orders"), derive, publish)
     return read_snapshot(t.spark, root, "set_stat").select("set_id", "packs")

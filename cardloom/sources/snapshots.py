@@ -5,18 +5,35 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
+def _log(spark: SparkSession, root: str, snapshot_id: int, created_at: str, status: str, trigger: str) -> None:
+    row = spark.range(1).select(F.lit(snapshot_id).cast("bigint").alias("snapshot_id"),
+                                F.lit(created_at).cast("timestamp").alias("created_at"),
+                                F.lit(status).alias("status"), F.lit(trigger).alias("trigger"))
+    row.write.mode("append").parquet(f"{root}/snapshot_log")
+
+
 def write_snapshot(facts: dict[str, DataFrame], root: str, snapshot_id: int, created_at: str,
                    trigger: str = "manual") -> None:
-    """Write each fact table under its own ``snapshot_id`` partition, then append the
-    ``done`` row. A job that dies on the way leaves nothing a reader can see; a rerun
+    """Log the snapshot as ``running``, write each fact table under its own ``snapshot_id``
+    partition, then log it as ``done``, or as ``failed`` where a write fails (and raise).
+
+    Readers see ``done`` ones only; a job that dies on the way leaves ``running``, and a rerun
     overwrites only its own partition."""
     spark = next(iter(facts.values())).sparkSession
-    for name, df in facts.items():
-        df.write.mode("overwrite").parquet(f"{root}/{name}/snapshot_id={snapshot_id}")
-    row = spark.range(1).select(F.lit(snapshot_id).cast("bigint").alias("snapshot_id"),
-                                F.lit(created_at).cast("timestamp").alias("created_at"),
-                                F.lit("done").alias("status"), F.lit(trigger).alias("trigger"))
-    row.write.mode("append").parquet(f"{root}/snapshot_log")
+    _log(spark, root, snapshot_id, created_at, "running", trigger)
+    try:
+        for name, df in facts.items():
+            df.write.mode("overwrite").parquet(f"{root}/{name}/snapshot_id={snapshot_id}")
+    except Exception:
+        _log(spark, root, snapshot_id, created_at, "failed", trigger)
+        raise
+    _log(spark, root, snapshot_id, created_at, "done", trigger)
+
+
+def snapshot_status(spark: SparkSession, root: str) -> DataFrame:
+    """(snapshot_id, status): where each snapshot stands; ``done`` is final."""
+    rank = F.when(F.col("status") == "done", 2).when(F.col("status") == "failed", 1).otherwise(0)
+    return spark.read.parquet(f"{root}/snapshot_log").groupBy("snapshot_id").agg(F.max_by("status", rank).alias("status"))
 
 
 def read_snapshot(spark: SparkSession, root: str, name: str) -> DataFrame:

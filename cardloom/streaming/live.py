@@ -11,7 +11,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from cardloom.plans.session import fresh_folder
 
@@ -47,15 +47,24 @@ def best_code(codes: DataFrame) -> DataFrame:
         "session_id", F.coalesce("good.code", "first").alias("code"), F.col("good").isNotNull().alias("format_ok"))
 
 
-def followup_progress(rows: DataFrame) -> DataFrame:
-    """Per scan: is any row (latest state of each row) still pending, is the scan done.
-    ``rows``: scan_id, row_index, state, finished, ts, event_id."""
-    last = rows.groupBy("scan_id", "row_index").agg(
+def followup_rows(rows: DataFrame) -> DataFrame:
+    """Latest state of each row of a scan. ``rows``: scan_id, row_index, state, finished, ts,
+    event_id. One aggregation, so it runs on streams."""
+    return rows.groupBy("scan_id", "row_index").agg(
         F.max_by("state", F.struct("ts", "event_id")).alias("state"), F.bool_or("finished").alias("finished"))
+
+
+def followup_scans(last: DataFrame) -> DataFrame:
+    """Per scan, from ``followup_rows``: is any row still pending, is the scan done."""
     return last.groupBy("scan_id").agg(F.bool_or(F.col("state") == "pending_vlm").alias("any_pending"),
                                        F.bool_or("finished").alias("done"), F.count(F.lit(1)).alias("rows"))
 
 
+def followup_progress(rows: DataFrame) -> DataFrame:
+    """Both steps on a batch."""
+    return followup_scans(followup_rows(rows))
+
+
 def stage_progress(events: DataFrame) -> DataFrame:
     """Current stage and counts per scan. ``events``: scan_id, stage, done, total, ts, event_id."""
     return events.groupBy("scan_id").agg(
@@ -162,12 +171,26 @@ def run_to_table(stream: DataFrame, name: str, mode: str = "append") -> DataFram
     return spark.read.schema(stream.schema).parquet(f"{root}/data")
 
 
-def debounced_batches(pending: DataFrame, resolve, name: str = "batches", every: str | None = "2 seconds") -> str:
+def last_state(stream: DataFrame, name: str) -> DataFrame:
+    """Drain a streaming aggregation in complete mode and read the state after its last batch."""
+    spark = stream.sparkSession
+    root = fresh_folder(spark, name)
+
+    def keep(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{root}/data")
+
+    stream.writeStream.outputMode("complete").foreachBatch(keep).option("checkpointLocation", f"{root}/checkpoint") \
+        .trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{root}/data")
+
+
+def debounced_batches(pending: DataFrame, resolve, name: str = "batches",
+                      every: str | None = "2 seconds") -> tuple[str, StreamingQuery]:
     """Collect pending items and process them together, each exactly once.
 
     ``resolve(batch_df)`` returns the terminal rows of a batch; they are written under
-    the batch id, so a replayed batch overwrites itself. With ``every`` None the stream
-    drains what is there and stops. Returns the output folder."""
+    the batch id, so a replayed batch overwrites itself. Returns the output folder and the query, which
+    the caller stops or awaits; with ``every`` None it drains what is there and has ended."""
     root = fresh_folder(pending.sparkSession, name)
 
     def drain(batch: DataFrame, batch_id: int) -> None:
@@ -178,14 +201,14 @@ def debounced_batches(pending: DataFrame, resolve, name: str = "batches", every:
     query = writer.start()
     if every is None:
         query.awaitTermination()
-    return f"{root}/data"
+    return f"{root}/data", query
 
 
 def incremental_stats(new_pulls: DataFrame, derive, publish, name: str = "stats") -> None:
     """Process only the pulls that arrived since the last run, then publish once.
 
     ``derive(batch, batch_id)`` appends the batch's derived rows idempotently;
-    ``publish()`` recomputes the statistics over the table and writes a snapshot."""
+    ``publish()`` combines what the batches wrote and writes a snapshot."""
     root = fresh_folder(new_pulls.sparkSession, name)
     new_pulls.writeStream.foreachBatch(derive).option("checkpointLocation", f"{root}/checkpoint") \
         .trigger(availableNow=True).start().awaitTermination()
