@@ -46,11 +46,17 @@ def blend(hits: Column, packs: Column, alpha: Column, beta: Column,
     return F.when(below <= 0, F.lit(0.0)).otherwise((alpha + hits) / below)
 
 
-def _rates(cards: DataFrame, modal: DataFrame, key: str) -> DataFrame:
-    """Packs of each modal set that contain each key."""
-    held = cards.filter(F.col(key).isNotNull() & (F.col(key) != "")).select("pull_id", key).distinct()
-    hits = (held.join(modal, "pull_id").groupBy("set_id", key)
-                .agg(F.count(F.lit(1)).alias("hits")))
+def _rates(cards: DataFrame, modal: DataFrame, key: str, metadata: bool = False) -> DataFrame:
+    """Packs of each modal set that contain each key; with ``metadata`` also ``m``, the first row of
+    the key in its newest pack. One aggregate by pack and key serves both."""
+    held = cards.filter(F.col(key).isNotNull() & (F.col(key) != ""))
+    hits = [F.count(F.lit(1)).alias("hits")]
+    if metadata:
+        held = held.groupBy("pull_id", key).agg(F.min(F.struct("row_index", "card_number", "name")).alias("m"))
+        hits.append(F.max_by("m", "pull_id").alias("m"))
+    else:
+        held = held.select("pull_id", key).distinct()
+    hits = held.join(modal, "pull_id").groupBy("set_id", key).agg(*hits)
     return (hits.join(set_pack_counts(modal), "set_id")
                 .withColumn("raw_rate", F.col("hits") / F.col("packs")))
 
@@ -61,7 +67,7 @@ def card_rates(cards: DataFrame, modal: DataFrame, priors: DataFrame | None = No
 
     ``priors`` (set_id, match_id, alpha, beta) overrides the generic card prior.
     Metadata come from the card's newest pack (largest pull id), first row in it."""
-    rates = _rates(cards, modal, "match_id")
+    rates = _rates(cards, modal, "match_id", metadata)
     if priors is not None:
         rates = rates.join(priors.select("set_id", "match_id", "alpha", "beta"),
                            ["set_id", "match_id"], "left")
@@ -71,13 +77,7 @@ def card_rates(cards: DataFrame, modal: DataFrame, priors: DataFrame | None = No
     beta = F.coalesce("beta", F.lit((1 - DEFAULT_RATE) * PRIOR_STRENGTH))
     rates = rates.withColumn("blended_rate", blend(F.col("hits"), F.col("packs"), alpha, beta, mode))
     if metadata:
-        meta = cards.filter(F.col("match_id").isNotNull()).select(
-            "pull_id", "match_id", F.struct("row_index", "card_number", "name").alias("m"))
-        packed = meta.groupBy("pull_id", "match_id").agg(F.min("m").alias("m"))
-        seen = (packed.join(modal, "pull_id").groupBy("set_id", "match_id")
-                .agg(F.max_by("m", "pull_id").alias("m")))
-        rates = (rates.join(seen, ["set_id", "match_id"])
-                 .withColumns({"card_number": F.col("m.card_number"), "name": F.col("m.name")}).drop("m"))
+        rates = rates.withColumns({"card_number": F.col("m.card_number"), "name": F.col("m.name")}).drop("m")
     return rates.drop("alpha", "beta")
 
 

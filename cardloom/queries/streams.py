@@ -40,18 +40,39 @@ def _rollup12(t):
     return live.session_rollup(t.frames, "12 hours")
 
 
+# The session rules spelled out: sessions in step, one frame after the other, rows in a list.
+_ROW = "STRUCT(k VARCHAR, a DOUBLE, c DOUBLE, ok BOOLEAN, rep BOOLEAN)"
+_LIVE = f"""f AS (SELECT session_id, frame_id, epoch_us(ts) / 1e6 AS a, confidence AS c, CASE WHEN frame_id % 17 = 0 THEN 'replace' WHEN frame_id % 11 = 0 THEN 'code' ELSE 'card' END AS kind,
+   CASE WHEN frame_id % 13 <> 0 THEN identity_key END AS k, row_number() OVER (PARTITION BY session_id ORDER BY ts, frame_id) AS n FROM frame),
+st AS (SELECT DISTINCT session_id, CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS frame_id, CAST(NULL AS DOUBLE) AS until, CAST([] AS {_ROW}[]) AS r, CAST(NULL AS VARCHAR) AS event,
+   CAST(NULL AS BIGINT) AS at_row, CAST(NULL AS DOUBLE) AS shown, CAST(NULL AS VARCHAR) AS prior FROM f
+ UNION ALL SELECT session_id, n, frame_id, a + 1800, CASE WHEN kind = 'code' THEN r WHEN kind = 'replace' THEN list_transform(r, lambda x, i: CAST({{'k': x.k, 'a': x.a, 'c': x.c, 'ok': x.ok, 'rep': x.rep OR i = len(r)}} AS {_ROW}))
+     WHEN near THEN list_transform(r, lambda x, i: CAST({{'k': x.k, 'a': x.a, 'c': CASE WHEN i = old THEN greatest(x.c, c) ELSE x.c END, 'ok': x.ok, 'rep': x.rep}} AS {_ROW}))
+     WHEN over IS NOT NULL THEN list_transform(r, lambda x, i: CASE WHEN i = over THEN fresh ELSE x END) ELSE list_append(r, fresh) END,
+   CASE kind WHEN 'code' THEN 'code_card' WHEN 'replace' THEN 'marked' ELSE CASE WHEN old IS NOT NULL AND NOT near THEN 'duplicate_prompt' ELSE 'card' END END,
+   CASE WHEN kind = 'code' THEN NULL WHEN kind = 'replace' THEN nullif(len(r), 0) WHEN near THEN old WHEN over IS NOT NULL THEN over ELSE len(r) + 1 END - 1,
+   CASE WHEN kind <> 'card' THEN NULL WHEN near THEN greatest(r[old].c, c) ELSE c END, prior
+  FROM (SELECT *, CAST({{'k': k, 'a': a, 'c': c, 'ok': old IS NULL, 'rep': FALSE}} AS {_ROW}) AS fresh, coalesce(a - r[old].a <= 2, FALSE) AS near,
+     CASE WHEN old IS NULL AND kind = 'card' THEN list_filter(range(1, len(r) + 1), lambda i: r[i].rep AND r[i].k IS NOT DISTINCT FROM k)[1] END AS over,
+     list_filter(sets, lambda x: len(list_filter(sets, lambda y: y = x)) = list_max(list_transform(sets, lambda z: len(list_filter(sets, lambda y: y = z)))))[1] AS prior FROM (
+   SELECT *, list_filter(same, lambda i: r[i].a = list_max(list_transform(same, lambda j: r[j].a)))[1] AS old, list_transform(list_filter(r, lambda x: x.ok AND x.k IS NOT NULL), lambda x: split_part(x.k, ':', 1)) AS sets FROM (
+   SELECT *, list_filter(range(1, len(r) + 1), lambda i: kind = 'card' AND k IS NOT NULL AND NOT r[i].rep AND r[i].k = k) AS same FROM (
+   SELECT f.*, CASE WHEN st.until IS NULL OR f.a > st.until THEN [] ELSE st.r END AS r FROM st JOIN f ON f.session_id = st.session_id AND f.n = st.n + 1) z0) z1) z2) z3)"""
+
+
 def _live(t, name):
     t.spark.conf.set("spark.sql.streaming.stateStore.providerClass", live.ROCKSDB)
     return live.run_to_table(live.live_sessions(marked(frame_stream(t))), name)
 
 
-@query("I2", "dedup_frames")
+@query("I2", "dedup_frames", f"""WITH RECURSIVE {_LIVE} SELECT session_id, frame_id, event, CAST(at_row AS INT) AS row_index, shown AS confidence FROM st WHERE event IN ('card', 'duplicate_prompt')""")
 def _dedup(t):
     return _live(t, "dedup").filter("event IN ('card', 'duplicate_prompt')").select(
         "session_id", "frame_id", "event", "row_index", "confidence")
 
 
-@query("I3", "replace_row")
+@query("I3", "replace_row", f"""WITH RECURSIVE {_LIVE} SELECT session_id, CAST(at_row AS INT) AS row_index, count(*) FILTER (WHERE event = 'card') AS writes, count(*) FILTER (WHERE event = 'marked') AS marks
+FROM st WHERE event IN ('card', 'marked') GROUP BY 1, 2 HAVING count(*) FILTER (WHERE event = 'marked') > 0""")
 def _replace(t):
     """Rows written more than once because the user marked them replaceable."""
     log = _live(t, "replace")
@@ -59,7 +80,7 @@ def _replace(t):
         F.count_if(F.col("event") == "card").alias("writes"), F.count_if(F.col("event") == "marked").alias("marks")).filter("marks > 0")
 
 
-@query("I4", "running_session_prior")
+@query("I4", "running_session_prior", f"""WITH RECURSIVE {_LIVE} SELECT session_id, frame_id, prior AS prior_set FROM st WHERE event <> 'code_card'""")
 def _prior(t):
     return _live(t, "prior").filter("event <> 'code_card'").select("session_id", "frame_id", "prior_set")
 

@@ -167,8 +167,8 @@ class Standins:
 
     @cached_property
     def modal(self) -> DataFrame:
-        """(pull_id, set_id) of verified pulls."""
-        return stats.modal_set(self.verified_cards)
+        """(pull_id, set_id) of verified pulls, staged: statistics join it several times."""
+        return stage(stats.modal_set(self.verified_cards), "modal")
 
     @cached_property
     def cards(self) -> DataFrame:
@@ -188,21 +188,22 @@ class Standins:
 
     @cached_property
     def catalog(self) -> DataFrame:
-        return self._sql("""
+        """Catalog cards, staged: name matching reads them for keys, hazards and printings."""
+        return stage(self._sql("""
             SELECT set_id, set_id || '-' || CAST(p_size AS STRING) AS card_id,
                    lpad(CAST(p_size AS STRING), 3, '0') AS local_id, min(p_name) AS name,
                    50 + CAST(substr(set_id, 2) AS INT) % 5 AS official_count
             FROM {part} JOIN {sets} ON p_partkey % 12 = CAST(substr(set_id, 2) AS INT)
             GROUP BY set_id, p_size""",
-            part=self.table("part"), sets=self.cards_unordered.select("set_id").distinct())
+            part=self.table("part"), sets=self.cards_unordered.select("set_id").distinct()), "catalog")
 
     @cached_property
     def sets(self) -> DataFrame:
         """Set dimension with a ``denominators`` array."""
         dim = self._sql(_SET_DIM, orders=self.table("orders"))
         main = F.lpad((F.lit(50) + F.col("n") % 9).cast("string"), 3, "0")
-        return dim.withColumn("denominators", F.when(
-            F.col("n").isin(2, 10), F.array(main, F.lit("TG30"))).otherwise(F.array(main)))
+        return stage(dim.withColumn("denominators", F.when(
+            F.col("n").isin(2, 10), F.array(main, F.lit("TG30"))).otherwise(F.array(main))), "sets")
 
     @cached_property
     def reading_texts(self) -> DataFrame:
