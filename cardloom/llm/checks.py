@@ -40,7 +40,7 @@ SELECT doc_id, CASE WHEN gw > 0 AND gw <= 0.5 * aw THEN rest ELSE text END AS te
 
 OP8 = rf"""WITH d AS (SELECT doc_id, source, coalesce('=' || source, '') AS key, CAST(len(regexp_extract_all(coalesce(text, ''), '{_WORD}')) AS BIGINT) AS size,
    md5('7:' || coalesce(CAST(doc_id AS VARCHAR), 'null')) AS mark FROM documents),
-e AS (SELECT *, CAST('0x' || substr(mark, 1, 8) AS BIGINT) % greatest(1, CAST(ceil(count(*) OVER () / 4096) AS BIGINT)) AS shard FROM d),
+e AS (SELECT *, CAST('0x' || substr(mark, 1, 8) AS BIGINT) % greatest(1, CAST(ceil(count(*) OVER () / 1024) AS BIGINT)) AS shard FROM d),
 s AS (SELECT key, CAST(sum(size) AS BIGINT) AS source_size, [3.0, 1.0, 2.0][1 + (row_number() OVER (ORDER BY key = '', key) - 1) % 3]::DOUBLE AS w FROM d GROUP BY 1),
 o AS (SELECT *, 2.0 * source_size AS cap, row_number() OVER (ORDER BY 2.0 * source_size / w, key) AS k FROM s),
 lv AS (SELECT k, 2.0 * source_size / w AS r, (1.5 * sum(source_size) OVER () - coalesce(sum(cap) OVER (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))

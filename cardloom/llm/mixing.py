@@ -9,7 +9,7 @@ from cardloom.plans.session import stage
 
 WEIGHTS, SHARE, CAP = (3, 1, 2), 1.5, 2.0
 #: Words of a block, and strips of a shard.
-BLOCK, SHARD_STRIPS = 8, 4096
+BLOCK, SHARD_STRIPS = 8, 1024
 
 
 def targets(sizes: DataFrame, source: str = "source", size: str = "size",

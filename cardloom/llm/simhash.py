@@ -16,9 +16,9 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from cardloom.llm.common import components
+from cardloom.llm.common import components, key_of
 from cardloom.plans.session import stage
 
 SEED, WORDS, BITS = 42, 3, 2
@@ -122,7 +122,8 @@ def ring_links(distinct: DataFrame) -> DataFrame:
                     b.append(values[i])
             yield pd.DataFrame({"a": np.array(a, np.int64), "b": np.array(b, np.int64)})
 
-    filed = distinct.select("fp", F.explode(ring_files(F.col("fp"))).alias("f")).select("f.file", "f.bits", "fp")
+    parts = max(1, int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    filed = distinct.repartition(parts, "fp").select("fp", F.explode(ring_files(F.col("fp"))).alias("f")).select("f.file", "f.bits", "fp")
     shared = (filed.groupBy("file", "bits").agg(F.collect_list("fp").alias("members")).filter(F.size("members") > 1)
               .select(F.array_sort("members").alias("members")).distinct())
     return stage(shared.mapInPandas(run, "a long, b long").distinct(), "links")
@@ -150,6 +151,9 @@ def keep_one(strips: DataFrame, strip_id: str = "strip_id", text: str = "text")
     """The rows of the strip that names each class: one strip of each group stays, whole. A
     row repeated under one id stays once."""
     found = near_duplicates(strips, strip_id, text)
-    kept = stage(found.filter(F.col("strip_id").eqNullSafe(F.col("component_id"))).select("strip_id").distinct(), "kept")
-    rows = strips.join(kept.withColumnRenamed("strip_id", "_kept"), F.col(strip_id).eqNullSafe(F.col("_kept"))).drop("_kept")
-    return rows.dropDuplicates([strip_id])
+    kept = stage(found.filter(F.col("strip_id").eqNullSafe(F.col("component_id")))
+                 .select(key_of(F.col("strip_id")).alias("__key")).distinct(), "kept")
+    # By merge at every size: the kept ids grow with the strips. The window shares its shuffle.
+    rows = strips.withColumn("__key", key_of(F.col(strip_id))).join(kept.hint("merge"), "__key")
+    first = F.row_number().over(Window.partitionBy("__key").orderBy(text))
+    return rows.withColumn("__at", first).filter("__at = 1").drop("__key", "__at")
