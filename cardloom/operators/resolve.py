@@ -142,7 +142,7 @@ def art_reference_rows(cards: DataFrame, least: int = 40) -> DataFrame:
 
 def resolve_set_query(queries: DataFrame, sets: DataFrame, catalog: DataFrame) -> DataFrame:
     """Free-text set queries by tier: 1 id or code, 2 folded name, 3 catalog id or name,
-    4 unique catalog substring (several = ambiguous).
+    4 unique catalog substring (several = ambiguous, with the names of the first five).
 
     ``queries``: q. Substrings are found by an equi join on the query's first three
     characters, which any name containing the query must hold."""
@@ -155,17 +155,21 @@ def resolve_set_query(queries: DataFrame, sets: DataFrame, catalog: DataFrame) -
              for n, t in ((1, t1), (2, t2), (3, t3))]
     name = F.lower("name")
     grams = catalog.select(F.col("catalog_id").alias("set_id"), name.alias("__name"),
-                           F.explode(S.short_grams(name)).alias("__g"))
+                           F.explode(S.short_grams(name)).alias("__g"), F.col("name"))
     sub = (q.filter(F.length("__f") > 0).withColumn("__g", F.substring("__f", 1, 3)).join(grams, "__g")
-           .filter(F.contains("__name", F.col("__f"))).select("q", "set_id", F.lit(4).alias("tier")).distinct())
+           .filter(F.contains("__name", F.col("__f"))).select("q", "set_id", F.lit(4).alias("tier"), F.col("name")).distinct())
+    shown = (top_k(sub, ["q"], ["name", "set_id"], 5).groupBy("q")
+             .agg(F.array_sort(F.collect_list("name")).alias("__shown")))
+    sub = sub.drop("name").distinct()
     found = exact[0].unionByName(exact[1]).unionByName(exact[2]).unionByName(sub)
     per = found.groupBy("q", "tier").agg(F.count_distinct("set_id").alias("hits"), F.min("set_id").alias("set_id"))
     best = per.groupBy("q").agg(F.min_by(F.struct("tier", "hits", "set_id"), "tier").alias("b"))
     amb = (F.col("b.tier") == 4) & (F.col("b.hits") > 1)
-    return q.select("q").join(best, "q", "left").select(
+    return q.select("q").join(best, "q", "left").join(shown, "q", "left").select(
         "q", "b.tier", F.when(~amb, F.col("b.set_id")).alias("set_id"),
         F.when(F.col("b").isNull(), "unknown").when(amb, "ambiguous").otherwise("resolved").alias("outcome"),
-        F.when(amb, F.col("b.hits")).alias("candidates"))
+        F.when(amb, F.col("b.hits")).alias("candidates"),
+        F.when(amb, F.array_join("__shown", "; ")).alias("candidate_names"))
 
 
 # -- pack and page consensus --------------------------------------------------------

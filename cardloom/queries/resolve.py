@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from cardloom.functions import numbers as N
 from cardloom.operators import layout, resolve
 from cardloom.plans.skew import ordinal
+from cardloom.plans.session import stage
 from cardloom.queries.registry import query
 
 _CODES = "code AS (SELECT upper(set_code) AS k, set_id FROM set_dim)"
@@ -138,7 +139,8 @@ h AS (SELECT q, 1 AS tier, set_id FROM q JOIN set_dim ON lower(q) IN (lower(set_
 p AS (SELECT q, tier, count(DISTINCT set_id) AS hits, min(set_id) AS set_id FROM h GROUP BY 1, 2),
 b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY tier) AS r FROM p) x WHERE r = 1)
 SELECT q.q, b.tier, CASE WHEN NOT (tier = 4 AND hits > 1) THEN set_id END AS set_id, CASE WHEN b.q IS NULL THEN 'unknown' WHEN tier = 4 AND hits > 1 THEN 'ambiguous' ELSE 'resolved' END AS outcome,
-  CASE WHEN tier = 4 AND hits > 1 THEN hits END AS candidates FROM q LEFT JOIN b ON q.q = b.q""")
+  CASE WHEN tier = 4 AND hits > 1 THEN hits END AS candidates, CASE WHEN tier = 4 AND hits > 1 THEN (SELECT array_to_string(list(c.name ORDER BY c.name)[1:5], '; ') FROM cat c WHERE contains(lower(c.name), lower(q.q))) END AS candidate_names
+FROM q LEFT JOIN b ON q.q = b.q""")
 def _set_query(t):
     pid = F.col("pull_id")
     two, plain = F.lpad((pid % 12).cast("string"), 2, "0"), (pid % 12).cast("string")
@@ -342,9 +344,9 @@ y AS (SELECT *, CASE WHEN same AND mp_prefix IS NOT NULL THEN CASE WHEN mpf THEN
 SELECT pull_id, row_index, CASE WHEN NOT pattern_ok OR resolved_set IS NULL THEN TRUE WHEN ms IS NOT NULL AND regexp_matches(numerator, '^[0-9]+$')
   THEN NOT EXISTS (SELECT 1 FROM numerators n WHERE n.set_id = ms AND n.numerator = k) ELSE FALSE END AS needs_review FROM y""")
 def _review(t):
-    r = resolved(t)
-    dom = resolve.dominant_set_with_catalog(r.select("pull_id", "row_index", F.col("resolved_set").alias("set_id")), numerators(t))
-    return resolve.needs_review(r, dom, numerators(t), t.sets).select("pull_id", "row_index", "needs_review")
+    r, numbers = stage(resolved(t), "resolved"), stage(numerators(t), "numerators")
+    dom = resolve.dominant_set_with_catalog(r.select("pull_id", "row_index", F.col("resolved_set").alias("set_id")), numbers)
+    return resolve.needs_review(r, dom, numbers, t.sets).select("pull_id", "row_index", "needs_review")
 
 
 @query("B11", "number_agrees", """
