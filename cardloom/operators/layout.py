@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from cardloom.functions import names as S, numbers as N
 from cardloom.plans.session import stage
-from cardloom.plans.skew import islands, nearest_anchors, ordinal, previous_value, top_k
+from cardloom.plans.skew import islands, nearest_anchors, ordinal, percentiles, previous_value, top_k
 
 MIN_ROWS, MAX_ROWS = 5, 13
 INF = float("inf")
@@ -39,9 +39,9 @@ def guide_scale(df: DataFrame, meta: str, image_height: Column) -> DataFrame:
              .drop("__m", "__raw", "__scale", "__g", "__d", "__mid")
 
 
-def page_median(df: DataFrame, keys: list[str], value: Column, name: str) -> DataFrame:
-    """Exact median per page as a mergeable aggregate, joined back."""
-    return df.join(df.groupBy(*keys).agg(F.percentile(value, F.lit(0.5)).alias(name)), keys)
+def page_median(df: DataFrame, keys: list[str], value: Column, name: str, width: float = 64.0) -> DataFrame:
+    """Exact median per page by value counts and rank, joined back."""
+    return df.join(percentiles(df, keys, value, {name: 0.5}, width), keys)
 
 
 def number_lines(lines: DataFrame) -> DataFrame:
@@ -58,8 +58,7 @@ def gap_split(lines: DataFrame, keys: list[str], coord: str, gap: Column | float
 
 
 def cluster_medians(clustered: DataFrame, keys: list[str], coord: str) -> DataFrame:
-    return clustered.groupBy(*keys, "island").agg(
-        F.percentile(coord, F.lit(0.5)).alias("center"), F.count(F.lit(1)).alias("members"))
+    return percentiles(clustered, [*keys, "island"], F.col(coord), {"center": 0.5}, 64.0, [F.sum("n").alias("members")])
 
 
 def reading_order(boxes: DataFrame, key: str = "page_id", tie: str = "line_id",
@@ -143,8 +142,8 @@ def prune_close_rows(rows: DataFrame, key: str = "page_id", coord: str = "y",
     A gap of that size always restarts the chain, so the scan runs per island of
     closer rows, over its distinct coordinates."""
     gaps = stage(row_gaps(rows, key, coord, tile), "gaps")
-    limit = gaps.groupBy(key).agg((F.percentile("gap", F.lit(0.5)) * fraction).alias("__t"))
-    chained = islands(gaps.join(limit, key).withColumn("__t", F.coalesce("__t", F.lit(INF))),
+    limit = percentiles(gaps, [key], F.col("gap"), {"__t": 0.5}, tile).withColumn("__t", F.col("__t") * fraction)
+    chained = islands(gaps.join(limit, key, "left").withColumn("__t", F.coalesce("__t", F.lit(INF))),
                       [key], coord, F.col("__t"), tile, inclusive=True)
     per = chained.groupBy(key, "island").agg(F.first("__t").alias("__t"),
                                              F.array_sort(F.collect_list(coord)).alias("__ys"))
@@ -157,8 +156,8 @@ def prune_close_rows(rows: DataFrame, key: str = "page_id", coord: str = "y",
 def line_crop_plan(lines: DataFrame, image_height: float, key: str = "page_id") -> DataFrame:
     """Crop band around each detected number row (rows thinner than 8 px dropped)."""
     gaps = row_gaps(lines, key)
-    med = gaps.groupBy(key).agg(
-        F.coalesce(F.percentile("gap", F.lit(0.5)), F.lit(0.08 * image_height)).alias("median_gap"))
+    med = (gaps.select(key).distinct().join(percentiles(gaps, [key], F.col("gap"), {"median_gap": 0.5}, 64.0), key, "left")
+           .withColumn("median_gap", F.coalesce("median_gap", F.lit(0.08 * image_height))))
     band = F.greatest(F.lit(30), (F.col("median_gap") * 0.95).cast("int"))
     top = F.greatest(F.lit(0), (F.col("y") - band * 0.55).cast("int"))
     bottom = F.least(F.lit(int(image_height)), (F.col("y") + band * 0.45).cast("int"))
@@ -169,16 +168,15 @@ def line_crop_plan(lines: DataFrame, image_height: float, key: str = "page_id")
 def grid_pitch(cells: DataFrame, key: str = "page_id", tile: float = 64.0) -> DataFrame:
     """Per page: median distance between column centres, and between the cell centres
     of a column. ``cells``: key, island (column), cell, x, y."""
-    cols = cells.groupBy(key, "island").agg(F.percentile("x", F.lit(0.5)).alias("center"))
+    cols = percentiles(cells, [key, "island"], F.col("x"), {"center": 0.5}, tile)
     cols = stage(cols, "columns")
     col_gap = row_gaps(cols, key, "center", tile)
     rows = (cells.groupBy(key, "island", "cell").agg(F.avg("y").alias("center")))
     row_prev = previous_value(rows, [key, "island"], ["center", "cell"],
                               [F.floor(F.col("center") / tile)], F.col("center"), "__p")
     return (cells.select(key).distinct()
-            .join(col_gap.groupBy(key).agg(F.percentile("gap", F.lit(0.5)).alias("col_pitch")), key, "left")
-            .join(row_prev.groupBy(key).agg(
-                F.percentile(F.col("center") - F.col("__p"), F.lit(0.5)).alias("row_pitch")), key, "left"))
+            .join(percentiles(col_gap, [key], F.col("gap"), {"col_pitch": 0.5}, tile), key, "left")
+            .join(percentiles(row_prev, [key], F.col("center") - F.col("__p"), {"row_pitch": 0.5}, tile), key, "left"))
 
 
 def coarse_boxes(cells: DataFrame, pitch: DataFrame, width: int, height: int, key: str = "page_id",

@@ -153,6 +153,29 @@ def islands(df: DataFrame, keys: Sequence[str], coord: str, gap: Column | float,
     return _attach(df, labels, [*keys, coord])
 
 
+def percentiles(df: DataFrame, keys: Sequence[str], value: Column, wanted: dict[str, float], width: float,
+                more: Sequence[Column] = ()) -> DataFrame:
+    """Exact interpolated percentiles per key: ``wanted`` maps a column name to a fraction.
+
+    Values are counted first, the counts are summed along the values in tiles of ``width``, and each
+    percentile is read off by rank; so no task holds the distinct values of a key. ``more``:
+    further aggregates over columns ``value`` and ``n`` (its count)."""
+    counts = (df.select(*keys, value.alias("value")).filter(F.col("value").isNotNull())
+              .groupBy(*keys, "value").agg(F.count(F.lit(1)).alias("n")))
+    upto = running_sum(counts, keys, ["value"], [F.floor(F.col("value") / F.lit(width))], F.col("n"), "__upto")
+    total = counts.groupBy(*keys).agg(F.sum("n").alias("__total"))
+    placed = _attach(upto, total, list(keys))
+
+    def at(rank):
+        return F.max(F.when((F.col("__upto") - F.col("n") <= rank) & (rank < F.col("__upto")), F.col("value")))
+    ranks = {name: F.lit(p) * (F.col("__total") - 1) for name, p in wanted.items()}
+    found = placed.groupBy(*keys).agg(
+        *[at(F.floor(r)).alias(f"__lo_{n}") for n, r in ranks.items()], *[at(F.ceil(r)).alias(f"__hi_{n}") for n, r in ranks.items()],
+        *[F.max(r - F.floor(r)).alias(f"__f_{n}") for n, r in ranks.items()], *more)
+    return found.withColumns({n: F.col(f"__lo_{n}") + (F.col(f"__hi_{n}") - F.col(f"__lo_{n}")) * F.col(f"__f_{n}") for n in wanted}) \
+        .drop(*[f"__{s}_{n}" for s in ("lo", "hi", "f") for n in wanted])
+
+
 def nearest_anchors(points: DataFrame, anchors: DataFrame, keys: Sequence[str], coord: str,
                     anchor: str, label: str | None = None, shift: Column | None = None,
                     width: float = 64.0) -> DataFrame:

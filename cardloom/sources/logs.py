@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from cardloom.plans.skew import percentiles
+
 # The shapes of a timing line and of an anchor.
 TIMING_PATTERN = r"timing\.([a-z0-9_]+)\.([a-z0-9_]+) scan=(\S+) ms=([0-9]+(?:\.[0-9]+)?)"
 ANCHOR_PATTERN = r'<a\s+href="(/[^"]*)"[^>]*>([^<]*)</a>'
@@ -19,11 +21,10 @@ def parse_timing(lines: DataFrame, column: str = "value") -> DataFrame:
                           "ms": part(4).cast("double")}))
 
 
-def latency(timings: DataFrame) -> DataFrame:
-    """Exact p50/p95/max/count per flow and stage (mergeable value counts)."""
-    return timings.groupBy("flow", "stage").agg(
-        F.percentile("ms", F.lit(0.5)).alias("p50"), F.percentile("ms", F.lit(0.95)).alias("p95"),
-        F.max("ms").alias("max_ms"), F.count(F.lit(1)).alias("n"))
+def latency(timings: DataFrame, width: float = 16.0) -> DataFrame:
+    """Exact p50/p95/max/count per flow and stage, from value counts read in tiles of ``width`` ms."""
+    return percentiles(timings, ["flow", "stage"], F.col("ms"), {"p50": 0.5, "p95": 0.95}, width,
+                       [F.max("value").alias("max_ms"), F.sum("n").alias("n")])
 
 
 def origin(url: Column) -> Column:
