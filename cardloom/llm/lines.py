@@ -18,15 +18,12 @@ LEAVES = 200_000
 ANY = "<*>"
 
 
-#: A line that is not its tokens joined by single spaces: digits, other white space, runs or edges.
-_ODD = r"[0-9\x09-\x0D]|\x20\x20|^\x20|\x20$"
-
-
 def body_of(line):
     """A line's tokens joined by single spaces; tokens with a digit are variable from the start.
     Most lines are their own body and are not cut for it."""
     tokens = F.filter(F.split(line, SPACE), lambda t: t != "")
-    return F.when(line.rlike(_ODD), F.array_join(
+    odd = line.rlike(r"[0-9\x09-\x0D]") | line.contains("  ") | line.startswith(" ") | line.endswith(" ")
+    return F.when(odd, F.array_join(
         F.transform(tokens, lambda t: F.when(t.rlike("[0-9]"), F.lit(ANY)).otherwise(t)), " ")).otherwise(line)
 
 
@@ -38,13 +35,15 @@ def line_hash(body):
 def line_bodies(strips: DataFrame, strip_id: str, text: str) -> DataFrame:
     """(strip_id, body, n_tokens, leaf) of every line with at least ``MIN_TOKENS`` tokens; the leaf is
     a hash of the token count and the first ``DEPTH`` tokens."""
-    lines = strips.select(F.col(strip_id).alias("strip_id"),
-                          F.explode(F.split(F.coalesce(F.col(text), F.lit("")), "\n")).alias("line"))
-    bodies = lines.select("strip_id", body_of(F.col("line")).alias("body"))
-    size = F.length("body") - F.length(F.replace("body", F.lit(" "), F.lit(""))) + 1
-    return (bodies.withColumn("n_tokens", size).filter(F.col("n_tokens") >= MIN_TOKENS)
-            .withColumn("leaf", F.unhex(F.md5(F.concat_ws("\n", F.col("n_tokens").cast("string"),
-                                                          F.substring_index("body", " ", DEPTH))))))
+    # Made inside the array, so that each line is read once: a filter on what a projection makes
+    # would be moved below it and make it again.
+    def described(b):
+        size = F.length(b) - F.length(F.replace(b, F.lit(" "), F.lit(""))) + 1
+        return F.struct(b.alias("body"), size.alias("n_tokens"))
+    lines = F.split(F.coalesce(F.col(text), F.lit("")), "\n")
+    rows = strips.select(F.col(strip_id).alias("strip_id"), F.inline(F.transform(F.transform(lines, body_of), described)))
+    return rows.filter(F.col("n_tokens") >= MIN_TOKENS).withColumn("leaf", F.unhex(F.md5(
+        F.concat_ws("\n", F.col("n_tokens").cast("string"), F.substring_index("body", " ", DEPTH)))))
 
 
 def known_lines(strips: DataFrame, strip_id: str = "strip_id", text: str = "text") -> DataFrame:
