@@ -39,21 +39,24 @@ def threshold_top(query: np.ndarray, matrix: np.ndarray, order: np.ndarray, ids:
         return np.zeros(0, np.int64)
     used = np.nonzero(query)[0]
     q, met = query[used], np.zeros(n, bool)
-    lists = np.where(q > 0, order[::-1][:, used], order[:, used]) if len(used) else order[:, :0]
+    up = q > 0
     depth, step = 0, max(16, k)
     found, score = np.zeros(0, np.int64), np.zeros(0, np.int64)
     while True:
         reach = min(n, depth + step)
-        new = np.unique(lists[depth:reach]) if len(used) else np.arange(n)
-        new = new[~met[new]]
+        read = np.zeros(n, bool)
+        if len(used):
+            rows = np.where(up, order[n - reach:n - depth][::-1][:, used], order[depth:reach][:, used])
+            read[rows.ravel()] = True
+        new = np.nonzero(read & ~met)[0] if len(used) else np.arange(n)
         met[new] = True
         found, score = np.concatenate((found, new)), np.concatenate((score, matrix[new] @ query))
         best = np.lexsort((ids[found], -score))[:k]
         found, score = found[best], score[best]
         depth, step = reach, step * 2
-        if depth >= n or not len(used):
+        if depth >= n or met.all():
             return found
-        bound = int((q * matrix[lists[depth - 1], used]).sum())
+        bound = int((q * matrix[rows[-1], used]).sum())
         if len(found) == k and score[-1] > bound:
             return found
 
