@@ -16,7 +16,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from cardloom.llm.common import components, key_of
 from cardloom.plans.session import stage
@@ -148,12 +148,18 @@ def near_duplicates(strips: DataFrame, strip_id: str = "strip_id", text: str = "
 
 
 def keep_one(strips: DataFrame, strip_id: str = "strip_id", text: str = "text") -> DataFrame:
-    """The rows of the strip that names each class: one strip of each group stays, whole. A
-    row repeated under one id stays once."""
-    found = near_duplicates(strips, strip_id, text)
-    kept = stage(found.filter(F.col("strip_id").eqNullSafe(F.col("component_id")))
-                 .select(key_of(F.col("strip_id")).alias("__key")).distinct(), "kept")
-    # By merge at every size: the kept ids grow with the strips. The window shares its shuffle.
-    rows = strips.withColumn("__key", key_of(F.col(strip_id))).join(kept.hint("merge"), "__key")
-    first = F.row_number().over(Window.partitionBy("__key").orderBy(text))
-    return rows.withColumn("__at", first).filter("__at = 1").drop("__key", "__at")
+    """One row of each class stays, whole: that of the smallest id, and of the smallest text hash
+    among rows of that id. The survivor is chosen per class, not per id: ids may be NULL (NULL comes
+    after every id) or stand on several texts. A row repeated under one id and text stays once."""
+    mark = F.struct(F.col(strip_id).isNull().alias("none"), F.col(strip_id).alias("id"), _text_hash(F.col(text)).alias("hash"))
+    found = near_duplicates(strips.select(mark.alias("strip_id"), F.col(text).alias("text")))
+    kept = stage(found.filter(F.col("strip_id") == F.col("component_id"))
+                 .select(key_of(F.col("strip_id.id")).alias("__key"), F.col("strip_id.hash").alias("__hash")).distinct(), "kept")
+    # By merge at every size: the kept ids grow with the strips. Repeats are pre-aggregated.
+    rows = strips.withColumn("__key", key_of(F.col(strip_id))).withColumn("__hash", _text_hash(F.col(text)))
+    return rows.join(kept.hint("merge"), ["__key", "__hash"]).dropDuplicates(["__key", "__hash"]).drop("__key", "__hash")
+
+
+def _text_hash(text: Column) -> Column:
+    """128 bits of a text, never NULL."""
+    return F.coalesce(F.unhex(F.md5(text)), F.lit(b""))

@@ -81,6 +81,14 @@ def test_files_hold_what_the_pigeonring_promises():
         assert files(a) & files(b)
 
 
+def test_one_row_of_each_class_stays_for_null_and_repeated_ids(spark):
+    rng = random.Random(5)
+    a, b, c, d = (" ".join(_words(rng, 60)) for _ in range(4))
+    rows = [(None, a, "x"), (None, b, "x"), (None, b, "x"), (7, c, "x"), (7, d, "x"), (8, d, "x"), (9, None, "x"), (None, "", "x")]
+    got = simhash.keep_one(spark.createDataFrame(rows, STRIPS)).collect()
+    assert sorted((r["strip_id"] or 0, r["text"] or "") for r in got) == sorted([(0, a), (0, b), (7, c), (7, d), (9, "")])
+
+
 def test_near_duplicates_edge_rows(spark):
     empty = spark.createDataFrame([], STRIPS)
     assert simhash.near_duplicates(empty).collect() == []
