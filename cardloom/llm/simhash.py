@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from cardloom.llm.common import components, key_of
+from cardloom.llm.similar import similar_classes
 from cardloom.plans.session import stage
 
 SEED, WORDS, BITS = 42, 3, 2
@@ -148,11 +149,12 @@ def near_duplicates(strips: DataFrame, strip_id: str = "strip_id", text: str = "
 
 
 def keep_one(strips: DataFrame, strip_id: str = "strip_id", text: str = "text") -> DataFrame:
-    """One row of each class stays, whole: that of the smallest id, and of the smallest text hash
+    """One row of each class of similar texts (``similar``: five words, Jaccard 0.8; the three words
+    and two bits above bind ``near_duplicates`` only) stays, whole: that of the smallest id, and of the smallest text hash
     among rows of that id. The survivor is chosen per class, not per id: ids may be NULL (NULL comes
     after every id) or stand on several texts. A row repeated under one id and text stays once."""
     mark = F.struct(F.col(strip_id).isNull().alias("none"), F.col(strip_id).alias("id"), _text_hash(F.col(text)).alias("hash"))
-    found = near_duplicates(strips.select(mark.alias("strip_id"), F.col(text).alias("text")))
+    found = similar_classes(strips.select(mark.alias("strip_id"), F.col(text).alias("text")))
     kept = stage(found.filter(F.col("strip_id") == F.col("component_id"))
                  .select(key_of(F.col("strip_id.id")).alias("__key"), F.col("strip_id.hash").alias("__hash")).distinct(), "kept")
     # By merge at every size: the kept ids grow with the strips. Repeats are pre-aggregated.
