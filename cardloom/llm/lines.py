@@ -59,19 +59,27 @@ def recurring_lines(strips: DataFrame, strip_id: str = "strip_id", text: str = "
     The tree: lines part by token count, then by their first ``DEPTH`` tokens. In a leaf, a token
     that stands at its place in at least ``min_texts`` texts is constant, any other is a
     variable field; a line's template is its tokens with the variable ones generalised. It recurs
-    when it has ``min_texts`` texts and ``MIN_CONSTANT`` of its tokens are constant. A line
-    counts once per text and place of its tokens, so repeats in one text make nothing recur.
+    when it has ``min_texts`` texts and ``MIN_CONSTANT`` of its tokens are constant. All counts are
+    of distinct texts: sums over lines, less what a text with several lines of a leaf (``several``)
+    has too much in them, so that neither repeats nor lists in one text make anything recur.
 
     Only lines of leaves with enough texts are cut into tokens. All counts are pre-aggregated."""
     known = known_lines(strips, strip_id, text) if known is None else known
     counted = stage(known.groupBy("line", "leaf").agg(F.count(F.lit(1)).alias("texts")), "lines")
-    leaves = counted.groupBy("leaf").agg(F.sum("texts").alias("leaf_texts")).filter(F.col("leaf_texts") >= min_texts)
+    several = stage(known.groupBy("leaf", "strip_id").agg(F.count(F.lit(1)).alias("n"), F.collect_set("line").alias("of"))
+                    .filter("n > 1"), "several")
+    leaves = (counted.select("leaf", "texts").unionByName(several.select("leaf", (1 - F.col("n")).alias("texts")))
+              .groupBy("leaf").agg(F.sum("texts").alias("leaf_texts")).filter(F.col("leaf_texts") >= min_texts))
     leaves = small(stage(leaves, "leaves"), LEAVES)
     bodies = (line_bodies(strips, strip_id, text).join(leaves, "leaf")
               .groupBy(line_hash(F.col("body")).alias("line")).agg(F.min("body").alias("body")))
     bodies = stage(bodies.join(counted, "line"), "bodies")
     cut = bodies.select("line", "leaf", "texts", F.posexplode(F.split("body", " ")).alias("place", "token"))
-    seen = (cut.groupBy("leaf", "place", "token").agg(F.sum("texts").alias("seen"))
+    again = several.select("strip_id", F.explode("of").alias("line")).join(bodies.select("line", "leaf", "body"), "line")
+    more = (again.select("leaf", "strip_id", F.posexplode(F.split("body", " ")).alias("place", "token"))
+            .groupBy("leaf", "place", "token", "strip_id").agg((1 - F.count(F.lit(1))).alias("texts")).filter("texts < 0"))
+    seen = (cut.select("leaf", "place", "token", "texts").unionByName(more.drop("strip_id"))
+            .groupBy("leaf", "place", "token").agg(F.sum("texts").alias("seen"))
             .filter((F.col("seen") >= min_texts) & (F.col("token") != ANY)).drop("seen").withColumn("constant", F.lit(True)))
     told = cut.join(seen, ["leaf", "place", "token"], "left").groupBy("line", "leaf", "texts").agg(
         F.array_sort(F.collect_list(F.struct("place", F.when(F.col("constant"), F.col("token")).otherwise(F.lit(ANY)).alias("t")))).alias("t"),
@@ -79,7 +87,10 @@ def recurring_lines(strips: DataFrame, strip_id: str = "strip_id", text: str = "
     told = told.filter(F.col("share") >= MIN_CONSTANT).select(
         "line", "texts", F.array_join(F.transform("t", lambda x: x["t"]), " ").alias("template"))
     told = stage(told, "templates")
-    often = told.groupBy("template").agg(F.sum("texts").alias("n_texts")).filter(F.col("n_texts") >= min_texts)
+    more = (again.select("strip_id", "line").join(told.select("line", "template"), "line")
+            .groupBy("template", "strip_id").agg((1 - F.count(F.lit(1))).alias("texts")).filter("texts < 0"))
+    often = (told.select("template", "texts").unionByName(more.drop("strip_id"))
+             .groupBy("template").agg(F.sum("texts").alias("n_texts")).filter(F.col("n_texts") >= min_texts))
     return stage(told.join(often, "template").select("line", "template", "n_texts"), "recurring")
 
 

@@ -64,6 +64,18 @@ def test_rare_lines_and_copies_stay(spark):
     assert all(r["text"] == copy and r["n_dropped"] == 0 for r in lines.drop_templates(spark.createDataFrame(rows, STRIPS)).collect())
 
 
+def test_lines_of_one_shape_in_one_text_stay(spark):
+    fruit = "apples pears plums figs dates limes kiwis melons grapes cherries".split()
+    listed = "\n".join(f"the price of {x} is low" for x in fruit)
+    rows = [(1, listed + "\n" + LONG + " " + LONG, "x"), (2, "the price of nuts is low\n" + LONG.replace("w", "v"), "x"), (None, listed, "x")]
+    df = spark.createDataFrame(rows, STRIPS)
+    assert lines.recurring_lines(df).collect() == []
+    assert all(r["n_dropped"] == 0 and r["text"] == t for r in lines.drop_templates(df).collect() for i, t, _ in rows if i == r["strip_id"])
+    # Counts are of texts where a template does recur.
+    more = [(10 + k, f"the price of {x} is low\nthe price of {x}s is low", "x") for k, x in enumerate(fruit)]
+    assert {r["n_texts"] for r in lines.recurring_lines(spark.createDataFrame(more, STRIPS)).collect()} == {10}
+
+
 def test_word_in_place_of_a_constant_is_a_variable_field(spark):
     names = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu".split()
     rows = [(i, f"{x} own words here for {x} alone\nthe reader of pack {x} has closed its session\nmore of {x} to tell today", "h")
