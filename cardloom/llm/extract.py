@@ -140,32 +140,46 @@ def lines_of(html: str) -> list[tuple[str, int, bool]]:
     return lines
 
 
-def main_text(html: str | None) -> str:
-    """The lines between the points where text surges and dives, joined by line ends.
-
-    Text sums over ``WINDOW`` lines from each line on. Text begins at a line where the sum reaches
-    ``SURGE`` characters and ends where it dives to nothing, that is before ``WINDOW`` empty lines;
-    lines in between all stay, short ones too. Where a page marks its article, lines outside
-    it count as empty and the article's own lines need no surge. Without mark, link text has no
-    length, so menus make no surge. A page whose text never surges gives its longest run."""
-    lines = lines_of(html or "")
-    if any(inside for _, _, inside in lines):
-        return "\n".join(t for t, _, inside in lines if inside)
-    size = [n for _, n, _ in lines]
+def _runs(size: list[int]) -> list[tuple[int, int, int]]:
+    """(begin, end, greatest window sum) of the runs of lines from which a window holds text."""
     sums = [sum(size[i:i + WINDOW]) for i in range(len(size))]
     runs, i = [], 0
-    while i < len(lines):
+    while i < len(size):
         if not sums[i]:
             i += 1
             continue
         end = i
-        while end < len(lines) and sums[end]:
+        while end < len(size) and sums[end]:
             end += 1
-        runs.append((i, end))
+        runs.append((i, end, max(sums[i:end])))
         i = end
-    strong = [r for r in runs if max(sums[r[0]:r[1]]) >= SURGE] or sorted(
-        runs, key=lambda r: -sum(size[r[0]:r[1]]))[:1]
-    return "\n".join(lines[i][0] for a, b in strong for i in range(a, b) if lines[i][0])
+    return runs
+
+
+def main_text(html: str | None) -> str:
+    """The lines between the points where text surges and dives, joined by line ends.
+
+    Text sums over ``WINDOW`` lines from each line on. Text begins at a line where the sum reaches
+    ``SURGE`` characters and ends where it dives to nothing, that is before ``WINDOW`` empty lines;
+    lines in between all stay, short ones too. Link text has no length, so menus make no surge. A
+    page whose text never surges gives its longest run.
+
+    Marks of an article weigh lines, they do not choose them: where the marked lines hold at least
+    as much text as the strongest run outside them, lines outside weigh nothing, and each marked
+    line weighs a surge more, link text included. Else (a teaser in a mark beside the body) lines
+    weigh the same inside and outside."""
+    lines = lines_of(html or "")
+    size = [n for _, n, _ in lines]
+    inside = sum(n for _, n, a in lines if a) or sum(len(t) for t, _, a in lines if a)
+    if inside:
+        outside = [0 if a else n for _, n, a in lines]
+        body = max((sum(outside[a:b]) for a, b, most in _runs(outside) if most >= SURGE), default=0)
+        if inside >= body:
+            size = [len(t) + SURGE if a and t else 0 for t, _, a in lines]
+    runs = _runs(size)
+    strong = [r for r in runs if r[2] >= SURGE] or sorted(runs, key=lambda r: -sum(size[r[0]:r[1]]))[:1]
+    marked = size != [n for _, n, _ in lines]
+    return "\n".join(lines[i][0] for a, b, _ in strong for i in range(a, b) if lines[i][0] and (size[i] or not marked))
 
 
 def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:

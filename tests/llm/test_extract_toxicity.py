@@ -31,6 +31,14 @@ def test_windows_find_surge_and_dive():
     assert extract.main_text(page) == "\n".join([LONG.strip(), "short", LONG.strip()])
 
 
+def test_body_outside_the_marks_of_teasers_stays():
+    teasers = "".join(f"<article class=card><h3>Teaser {i}</h3><p>few words</p></article>" for i in range(3))
+    got = extract.main_text(f"<body><nav><a href=x>one</a></nav><div><h1>T</h1><p>{LONG}</p><p>Short.</p><p>{LONG}</p></div>{teasers}</body>")
+    assert got.split("\n")[:4] == ["T", LONG.strip(), "Short.", LONG.strip()]
+    # A long article still sets the bounds beside text that is not marked.
+    assert extract.main_text(f"<div>{LONG}</div><article><p>{LONG} {LONG}</p><p>x</p></article>") == f"{LONG.strip()} {LONG.strip()}\nx"
+
+
 def test_extract_table(spark):
     rows = [(1, "http://a", "<article><p>x</article>"), (1, "http://a", "<article><p>x</article>"), (2, None, None), (None, "u", "<p>y"),
             (3, "u", "<article><p>" + "w " * 300000 + "</article>")]
