@@ -64,3 +64,38 @@ s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(CAST(q.v AS D
   FROM u q JOIN u c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v) WHERE q.vec_id % 100 = 0),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
 SELECT query_id, CAST(rank AS INT) AS rank, vec_id, score FROM r WHERE rank <= 10"""
+
+
+#: crc32 of the decimal digits of a number, from the table of the reflected polynomial 0xEDB88320.
+_CRC = """t32 AS (SELECT list_transform(range(256), lambda i: list_reduce([CAST(i AS BIGINT), 0, 0, 0, 0, 0, 0, 0, 0],
+   lambda c, z: xor(c >> 1, CASE WHEN c & 1 = 1 THEN 3988292384 ELSE 0 END))) AS t)"""
+
+
+def _crc(number: str) -> str:
+    return f"""xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(CAST({number} AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))),
+   lambda c, x: xor(c >> 8, t[1 + CAST(xor(c, x) & 255 AS INT)])))"""
+
+
+def _told(*columns: str) -> str:
+    return "sha256(" + " || ".join(f"coalesce(CAST(strlen(CAST({c} AS VARCHAR)) AS VARCHAR) || ':' || CAST({c} AS VARCHAR), '-')" for c in columns) + ")"
+
+
+OP12 = f"""WITH RECURSIVE {_CRC},
+d AS (SELECT row_number() OVER () AS rid, *, CASE WHEN {_crc("doc_id")} % 2 = 0 THEN replace(text, chr(10), '') ELSE text END AS told FROM documents, t32),
+l AS (SELECT rid, doc_id, source, {_told("doc_id", "source", "lang", "n_chars", "text")} AS leaf, {_told("doc_id", "source", "lang", "n_chars", "told")} AS seen FROM d),
+p AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf, rid) - 1 AS pos FROM l),
+lo(source, level, pos, h, n) AS (SELECT source, 0, pos, leaf, count(*) OVER (PARTITION BY source) FROM p
+   UNION ALL SELECT source, any_value(level) + 1, pos // 3, sha256(string_agg(h, '' ORDER BY pos)), any_value(n + 2) // 3 FROM lo WHERE n > 1 GROUP BY source, pos // 3),
+s AS (SELECT source, h AS subroot, level AS height, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS tree, count(*) OVER () AS n FROM lo WHERE n = 1),
+up(level, pos, h, n) AS (SELECT 0, tree, subroot, n FROM s
+   UNION ALL SELECT any_value(level) + 1, pos // 3, sha256(string_agg(h, '' ORDER BY pos)), any_value(n + 2) // 3 FROM up WHERE n > 1 GROUP BY pos // 3),
+a AS (SELECT coalesce('=' || source, '') AS k, level, pos, h, n FROM lo UNION ALL SELECT '^', level, pos, h, n FROM up),
+b AS (SELECT x.k, x.level, x.pos, coalesce(string_agg(y.h, '' ORDER BY y.pos) FILTER (WHERE y.pos < x.pos), '') AS lt, coalesce(string_agg(y.h, '' ORDER BY y.pos) FILTER (WHERE y.pos > x.pos), '') AS rt
+   FROM a x JOIN a y ON x.k = y.k AND x.level = y.level AND x.pos // 3 = y.pos // 3 WHERE x.n > 1 GROUP BY 1, 2, 3),
+f(rid, k, level, pos, h, proof) AS (SELECT rid, coalesce('=' || source, ''), 0, pos, seen, '' FROM p
+   UNION ALL SELECT f.rid, CASE WHEN b.k IS NULL THEN '^' ELSE f.k END, CASE WHEN b.k IS NULL THEN 0 ELSE f.level + 1 END, CASE WHEN b.k IS NULL THEN s.tree ELSE f.pos // 3 END,
+      CASE WHEN b.k IS NULL THEN f.h ELSE sha256(b.lt || f.h || b.rt) END, f.proof || coalesce(b.lt || b.rt, '')
+   FROM f LEFT JOIN b ON f.k = b.k AND f.level = b.level AND f.pos = b.pos LEFT JOIN s ON f.k = coalesce('=' || s.source, '') WHERE b.k IS NOT NULL OR f.k <> '^'),
+r AS (SELECT rid, arg_max(h, length(proof)) AS h, max(proof) AS proof FROM (SELECT * FROM f WHERE k = '^' AND level = (SELECT max(level) FROM up)) x GROUP BY 1)
+SELECT doc_id, leaf, subroot, root, sha256(r.proof) AS proof_sha256, r.h AS folded_root, r.h = root AS verified
+FROM p JOIN r ON p.rid = r.rid JOIN s ON p.source IS NOT DISTINCT FROM s.source, (SELECT h AS root FROM up WHERE n = 1) x"""
