@@ -99,3 +99,21 @@ f(rid, k, level, pos, h, proof) AS (SELECT rid, coalesce('=' || source, ''), 0,
 r AS (SELECT rid, arg_max(h, length(proof)) AS h, max(proof) AS proof FROM (SELECT * FROM f WHERE k = '^' AND level = (SELECT max(level) FROM up)) x GROUP BY 1)
 SELECT doc_id, leaf, subroot, root, sha256(r.proof) AS proof_sha256, r.h AS folded_root, r.h = root AS verified
 FROM p JOIN r ON p.rid = r.rid JOIN s ON p.source IS NOT DISTINCT FROM s.source, (SELECT h AS root FROM up WHERE n = 1) x"""
+
+
+OP13 = f"""WITH {_CRC},
+t AS (SELECT conv_id, coalesce(role, '') AS r, coalesce(text, '') AS x,
+   row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS i FROM conversations WHERE conv_id IS NOT NULL),
+c AS (SELECT conv_id, conv_id - conv_id % 5 AS base, {_crc("conv_id")} % 9 AS h, n FROM (SELECT conv_id, count(*) AS n FROM t GROUP BY 1) x, t32),
+m AS (SELECT c.*, least(c.h, coalesce(b.n, 0)) AS k FROM c LEFT JOIN c b ON b.conv_id = c.base),
+w AS (SELECT m.conv_id, i AS depth, r, x, base AS ref_conv_id, i AS ref_at FROM m JOIN t ON t.conv_id = base AND i <= k
+   UNION ALL SELECT m.conv_id, k + i - h, r, x, m.conv_id, i FROM m JOIN t ON t.conv_id = m.conv_id AND i > h
+   UNION ALL SELECT conv_id, 0, '', '', NULL, NULL FROM m),
+p AS (SELECT *, string_agg(sha256(strlen(r) || ':' || r || x), '') OVER (PARTITION BY conv_id ORDER BY depth) AS key, max(depth) OVER (PARTITION BY conv_id) AS top FROM w),
+n AS (SELECT key, any_value(depth) AS depth, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(strlen(x)) AS b, arg_min(ref_conv_id, conv_id) AS ref_conv_id, arg_min(ref_at, conv_id) AS ref_at,
+   sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE depth = top), '')) AS ends_sha256 FROM p GROUP BY 1),
+k AS (SELECT left(key, length(key) - 64) AS key, count(*) AS n FROM n GROUP BY 1),
+z AS (SELECT n.*, coalesce(k.n, 0) AS n_children FROM n LEFT JOIN k ON n.key = k.key),
+s AS (SELECT a.key, count(*) FILTER (WHERE b.n_children = 0) AS n_leaves, sum((b.n_convs - 1) * b.b) AS saved FROM z a JOIN z b ON starts_with(b.key, a.key) GROUP BY 1)
+SELECT z.conv_id, z.depth, u.conv_id AS parent_conv_id, z.n_convs, z.n_children, n_leaves, CAST(saved AS BIGINT) AS saved_tokens, z.ends_sha256, z.ref_conv_id, z.ref_at
+FROM z JOIN s ON z.key = s.key LEFT JOIN z u ON u.key = left(z.key, length(z.key) - 64)"""

@@ -34,12 +34,14 @@ def small(table: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
     return F.broadcast(table) if table.limit(rows + 1).count() <= rows else table
 
 
-def ranked(table: DataFrame, *order: str, name: str = "rank") -> DataFrame:
+def ranked(table: DataFrame, *order: str, name: str = "rank", keep: tuple[str, ...] | None = None) -> DataFrame:
     """Adds the 0-based position of each row in the order of ``order`` (a total order, for
-    repeatable results). Range partitions are sorted apart; only their row counts meet."""
+    repeatable results). Range partitions are sorted apart; only their row counts meet. ``keep`` names
+    the columns to go on with, where some serve the order only."""
     parts = max(1, int(table.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     placed = stage(table.repartitionByRange(parts, *[F.col(c).asc_nulls_first() for c in order])
                    .sortWithinPartitions(*[F.col(c).asc_nulls_first() for c in order])
+                   .select(*(keep or table.columns))
                    .withColumn("_at", F.monotonically_increasing_id()), "ranked")
     placed = placed.withColumn("_part", F.shiftright("_at", 33))
     counts = [(r["_part"], r["n"]) for r in

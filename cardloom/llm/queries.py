@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from cardloom.llm import chat, checks, extract, lines, merkle, mixing, packing, quality, search, simhash, toxicity, warc
+from cardloom.llm import chat, checks, dialogue_trie, extract, lines, merkle, mixing, packing, quality, search, simhash, toxicity, warc
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -72,10 +72,19 @@ def op12_octopus_manifest(spark: SparkSession, folder: str) -> DataFrame:
     return proofs.withColumnRenamed("key", "doc_id")
 
 
+def op13_dialogue_trie(spark: SparkSession, folder: str) -> DataFrame:
+    turns = _table(spark, folder, "conversations")
+    c = F.col("conv_id")
+    splices = turns.select("conv_id").distinct().select("conv_id", (c - c % 5).alias("base_id"), (F.crc32(c.cast("string")) % 9).alias("n_head"))
+    trie = dialogue_trie.prefix_trie(turns, splices, "conv_id", "turn", "role", "text")
+    return trie.withColumnsRenamed({"pull_id": "conv_id", "parent_pull_id": "parent_conv_id", "n_members": "n_convs", "saved_bytes": "saved_tokens",
+                                    "ref_pull_id": "ref_conv_id"})
+
+
 QUERIES = {f.__name__: f for f in (
     op1_warc_derivatives, op2_host_rules, op3_chat_format, op4_simhash_pigeonring, op5_log_templates, op6_tiered_packing,
-    op7_line_blocks, op8_sainte_lague, op9_noisy_channel, op10_threshold_topk, op12_octopus_manifest)}
+    op7_line_blocks, op8_sainte_lague, op9_noisy_channel, op10_threshold_topk, op12_octopus_manifest, op13_dialogue_trie)}
 
 #: SQL for what SQL can express; the others are tested against brute force.
 CHECKS = {"op2_host_rules": checks.OP2, "op5_log_templates": checks.OP5, "op8_sainte_lague": checks.OP8, "op10_threshold_topk": checks.OP10,
-          "op12_octopus_manifest": checks.OP12}
+          "op12_octopus_manifest": checks.OP12, "op13_dialogue_trie": checks.OP13}
