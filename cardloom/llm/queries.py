@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from cardloom.llm import chat, checks, dialogue_trie, extract, lines, merkle, mixing, packing, quality, search, simhash, toxicity, warc
+from cardloom.llm import chat, checks, dialogue_trie, extract, lines, merkle, mixing, ngram_lm, packing, quality, search, simhash, toxicity, warc
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -65,6 +65,11 @@ def op10_threshold_topk(spark: SparkSession, folder: str) -> DataFrame:
     return found.withColumnRenamed("id", "vec_id")
 
 
+def op11_elias_fano_lm(spark: SparkSession, folder: str) -> DataFrame:
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 7 == 2
+    return ngram_lm.score_strips(_table(spark, folder, "documents"), held_out, "doc_id", "text").withColumnRenamed("strip_id", "doc_id")
+
+
 def op12_octopus_manifest(spark: SparkSession, folder: str) -> DataFrame:
     docs = _table(spark, folder, "documents").select("doc_id", "source", "lang", "n_chars", "text")
     tampered = F.when(F.crc32(F.col("doc_id").cast("string")) % 2 == 0, F.replace("text", F.lit("\n"), F.lit(""))).otherwise(F.col("text"))
@@ -83,7 +88,7 @@ def op13_dialogue_trie(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_warc_derivatives, op2_host_rules, op3_chat_format, op4_simhash_pigeonring, op5_log_templates, op6_tiered_packing,
-    op7_line_blocks, op8_sainte_lague, op9_noisy_channel, op10_threshold_topk, op12_octopus_manifest, op13_dialogue_trie)}
+    op7_line_blocks, op8_sainte_lague, op9_noisy_channel, op10_threshold_topk, op11_elias_fano_lm, op12_octopus_manifest, op13_dialogue_trie)}
 
 #: SQL for what SQL can express; the others are tested against brute force.
 CHECKS = {"op2_host_rules": checks.OP2, "op5_log_templates": checks.OP5, "op8_sainte_lague": checks.OP8, "op10_threshold_topk": checks.OP10,
