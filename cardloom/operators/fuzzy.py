@@ -1,7 +1,7 @@
 """Fuzzy name matching: lossless blocking, then scoring.
 
 The default score is token-aware and made of edit scores, 100 * (1 - levenshtein / longer
-length). For a floor ``s`` a pair of strings can only pass if its edit distance is at most ``(1 - s/100)`` of the longer length, so a
+length), of whole strings, of token forms, and of a short string against its best window in a long one. For a floor ``s`` a pair of strings can only pass if its edit distance is at most ``(1 - s/100)`` of the longer length, so a
 key cut into (that many + 1) segments must share one segment, nearly in place, with the
 query. The join is on (key length, segment number, segment text): an equi join that
 loses no pair.
@@ -23,8 +23,12 @@ def edit_score(a: Column, b: Column) -> Column:
         F.lit(100.0) * (F.lit(1.0) - F.levenshtein(a, b) / longest))
 
 
-#: Weight of the two token forms against the plain one.
+#: Weight of the two token forms against the plain one; weight of the aligned score, the least and largest ratio of
+#: lengths at which it counts, and the weight beyond.
 TOKEN_WEIGHT = 0.95
+PARTIAL_WEIGHT, PARTIAL_FROM, PARTIAL_UPTO, FAR_WEIGHT = 0.9, 1.5, 8.0, 0.6
+#: Distinct tokens up to which all splits of a name are filed, and characters of the grams of the window index.
+SPLIT_TOKENS, GRAM = 6, 3
 
 
 def _tokens(c: Column) -> Column:
@@ -35,17 +39,34 @@ def _sorted_text(c: Column) -> Column:
     return F.array_join(F.array_sort(_tokens(c)), " ")
 
 
+def _distinct_tokens(c: Column) -> Column:
+    return F.array_sort(F.array_distinct(_tokens(c)))
+
+
+def aligned_score(a: Column, b: Column) -> Column:
+    """The best edit score of the shorter string against the windows of its length in the longer one."""
+    swap = F.length(a) > F.length(b)
+    short, long = F.when(swap, b).otherwise(a), F.when(swap, a).otherwise(b)
+    m, n = F.length(short), F.length(long)
+    edits = F.array_min(F.transform(F.sequence(F.lit(1), n - m + 1), lambda i: F.levenshtein(short, F.substr(long, i, m))))
+    return F.when(m == 0, 0.0).otherwise(F.lit(100.0) * (F.lit(1.0) - edits / m))
+
+
 def composite_score(a: Column, b: Column) -> Column:
-    """Token-aware score, all built-in: the best of the plain edit score and, at 0.95, the edit
+    """Token-aware score, all built-in: the best of the plain edit score; at 0.95, the edit
     scores of the sorted tokens and of the token sets (shared tokens first, then the rest; and
-    the shared tokens alone against each side), so an extra word or swapped words cost little."""
-    da, db = F.array_sort(F.array_distinct(_tokens(a))), F.array_sort(F.array_distinct(_tokens(b)))
+    the shared tokens alone against each side), so an extra word or swapped words cost little; and, where one
+    string is at least 1.5 times as long, at 0.9 (0.6 beyond eight times) the aligned score."""
+    da, db = _distinct_tokens(a), _distinct_tokens(b)
     shared = F.array_join(F.array_intersect(da, db), " ")
     left = F.trim(F.concat(shared, F.lit(" "), F.array_join(F.array_except(da, db), " ")))
     right = F.trim(F.concat(shared, F.lit(" "), F.array_join(F.array_except(db, da), " ")))
     token_set = F.when(shared == "", edit_score(left, right)).otherwise(
         F.greatest(edit_score(left, right), edit_score(shared, left), edit_score(shared, right)))
-    return F.greatest(edit_score(a, b), TOKEN_WEIGHT * edit_score(_sorted_text(a), _sorted_text(b)), TOKEN_WEIGHT * token_set)
+    least, most = F.least(F.length(a), F.length(b)), F.greatest(F.length(a), F.length(b))
+    partial = F.when((least > 0) & (most >= PARTIAL_FROM * least),
+                     F.when(most <= PARTIAL_UPTO * least, PARTIAL_WEIGHT).otherwise(FAR_WEIGHT) * aligned_score(a, b)).otherwise(0.0)
+    return F.greatest(edit_score(a, b), TOKEN_WEIGHT * edit_score(_sorted_text(a), _sorted_text(b)), TOKEN_WEIGHT * token_set, partial)
 
 
 def query_ok(q: Column) -> Column:
@@ -65,14 +86,16 @@ def _edits(length: Column, floor: float) -> Column:
 
 
 def candidate_pairs(queries: DataFrame, keys: DataFrame, floor: float,
-                    scope: list[str] | None = None) -> DataFrame:
+                    scope: list[str] | None = None, beside: Column | None = None) -> DataFrame:
     """All (q, key) pairs whose edit score reaches ``floor`` (both frames distinct).
 
-    ``queries``: q [+ scope], ``keys``: key [+ scope]; scope columns join by equality."""
+    ``queries``: q [+ scope], ``keys``: key [+ scope]; scope columns join by equality. ``beside`` is the length of an
+    equal text that both sides have besides (a column of the scope): the score is that of the whole."""
     scope = scope or []
-    k = (keys.filter(F.length("key") > 0).withColumn("__L", F.length("key"))
-         .withColumn("__K", F.least(_edits(F.col("__L"), floor), F.col("__L") - 1))
-         .withColumn("__i", F.explode(F.sequence(F.lit(0), F.col("__K")))))
+    e = F.lit(0) if beside is None else beside
+    k = keys.filter(F.length("key") > 0).withColumn("__L", F.length("key")).withColumn("__K", _edits(F.col("__L") + e, floor))
+    if beside is None:
+        k = k.withColumn("__K", F.least("__K", F.col("__L") - 1))
 
     def start(L, K, i):
         return i * F.floor(L / (K + 1)).cast("int")
@@ -82,58 +105,130 @@ def candidate_pairs(queries: DataFrame, keys: DataFrame, floor: float,
         return F.when(i == K, L - base * K).otherwise(base)
 
     L, K, i = F.col("__L"), F.col("__K"), F.col("__i")
-    k = k.withColumn("__seg", F.substr("key", start(L, K, i) + 1, size(L, K, i))).drop("__K")
+    cut = k.filter("__K < __L").withColumn("__i", F.explode(F.sequence(F.lit(0), F.col("__K"))))
+    cut = cut.withColumn("__seg", F.substr("key", start(L, K, i) + 1, size(L, K, i))).drop("__K")
 
     n = F.length("q")
     q = (queries.filter(n > 0)
          .withColumn("__L", F.explode(F.sequence(
-             F.greatest(F.lit(1), F.ceil(n * floor / 100.0 - 1e-9).cast("int")),
-             F.floor(n * 100.0 / floor + 1e-9).cast("int"))))
-         .withColumn("__K", F.least(_edits(F.col("__L"), floor), F.col("__L") - 1))
-         .withColumn("__i", F.explode(F.sequence(F.lit(0), F.col("__K"))))
-         .withColumn("__p", F.explode(F.sequence(
-             F.greatest(F.lit(0), start(L, K, i) - K), start(L, K, i) + K)))
-         .filter(F.col("__p") + size(L, K, i) <= n)
-         .withColumn("__seg", F.substr("q", F.col("__p") + 1, size(L, K, i)))
-         .select("q", *scope, "__L", "__i", "__seg").distinct())
-    limit = F.floor(F.greatest(n, F.length("key")) * (100.0 - floor) / 100.0 + 1e-9)
-    return (q.join(k, [*scope, "__L", "__i", "__seg"])
-            .filter(F.levenshtein("q", "key") <= limit)
-            .select("q", "key", *scope).distinct())
+             F.greatest(F.lit(1), F.ceil((n + e) * floor / 100.0 - 1e-9).cast("int") - e),
+             F.floor((n + e) * 100.0 / floor + 1e-9).cast("int") - e)))
+         .withColumn("__K", _edits(L + e, floor) if beside is not None else F.least(_edits(L, floor), L - 1)))
+    pieces = (q.filter("__K < __L").withColumn("__i", F.explode(F.sequence(F.lit(0), F.col("__K"))))
+              .withColumn("__p", F.explode(F.sequence(
+                  F.greatest(F.lit(0), start(L, K, i) - K), start(L, K, i) + K)))
+              .filter(F.col("__p") + size(L, K, i) <= n)
+              .withColumn("__seg", F.substr("q", F.col("__p") + 1, size(L, K, i)))
+              .select("q", *scope, "__L", "__i", "__seg").distinct())
+    limit = F.floor((F.greatest(n, F.length("key")) + e) * (100.0 - floor) / 100.0 + 1e-9)
+    met = pieces.join(cut, [*scope, "__L", "__i", "__seg"]).select("q", "key", *scope)
+    if beside is not None:
+        # Texts so short beside what is equal that all of them may differ: few, and alike in the scope.
+        met = met.unionByName(q.filter("__K >= __L").select("q", *scope, "__L").join(k.filter("__K >= __L").select("key", *scope, "__L"), [*scope, "__L"])
+                              .select("q", "key", *scope))
+    return met.filter(F.levenshtein("q", "key") <= limit).select("q", "key", *scope).distinct()
+
+
+def _renamed(df: DataFrame, own: str, to: str, scope: list[str]) -> DataFrame:
+    return df.select(F.col(own).alias(to), *scope)
+
+
+def covering_pairs(lefts: DataFrame, rights: DataFrame, need: float, scope: list[str]) -> DataFrame:
+    """(x, y) where the tokens shared make up ``need`` per cent of the distinct tokens of x (columns x and y [+ scope]).
+
+    Prefix filter: x is filed under its rarest tokens only (by how many y hold them), as many as weigh more than what may be
+    missing: whoever shares none of these misses too much. A token in half of the names is hardly ever among them."""
+    slack = (100.0 - need) / 100.0
+    size = lambda c: F.length(F.array_join(_distinct_tokens(F.col(c)), " "))
+    y = rights.select("y", *scope, F.explode(_distinct_tokens(F.col("y"))).alias("__t"))
+    often = y.groupBy("__t").agg(F.count(F.lit(1)).alias("__n"))
+    x = lefts.select("x", *scope, F.explode(_distinct_tokens(F.col("x"))).alias("__t")).join(often, "__t", "left")
+    x = x.groupBy("x", *scope).agg(F.sort_array(F.collect_list(F.struct(F.coalesce("__n", F.lit(0)).alias("n"), F.col("__t").alias("t")))).alias("__all"))
+    weight = lambda ts: F.aggregate(ts, F.lit(0), lambda w, t: w + F.length(t["t"]) + 1)
+    rare = F.filter("__all", lambda t, i: weight(F.slice(F.col("__all"), F.lit(1), i)) <= slack * weight(F.col("__all")) + 1e-9)
+    x = x.select("x", *scope, F.explode(F.filter(rare, lambda t: t["n"] > 0)).alias("__r")).select("x", *scope, F.col("__r.t").alias("__t"))
+    share = F.length(F.array_join(F.array_intersect(_distinct_tokens(F.col("x")), _distinct_tokens(F.col("y"))), " "))
+    return x.join(y, ["__t", *scope]).filter(share >= need / 100.0 * size("x") - 1e-9).select("x", "y", *scope)
+
+
+def split_pairs(queries: DataFrame, keys: DataFrame, need: float, scope: list[str]) -> DataFrame:
+    """(q, key) that share tokens and whose other tokens are close: the edit score of shared tokens first, then the rest, reaches ``need``.
+
+    Every string is filed under each choice of shared tokens with what is left, and the rests are blocked by segments within equal
+    choices: a token that very many names share joins only names with close rests. Names of more than
+    ``SPLIT_TOKENS`` tokens have too many choices and meet by their rarest tokens' equals instead."""
+    def splits(df, c, rest):
+        t = df.select(F.col(c).alias("__own"), *scope, _distinct_tokens(F.col(c)).alias("__t")).filter((F.size("__t") > 1) & (F.size("__t") <= SPLIT_TOKENS))
+        t = t.withColumn("__m", F.explode(F.sequence(F.lit(1), F.expr("shiftleft(1, size(__t)) - 2"))))
+        part = lambda bit: F.array_join(F.expr(f"filter(__t, (x, i) -> (shiftright(__m, i) & 1) = {bit})"), " ")
+        return t.select("__own", *scope, part(1).alias("__s"), part(0).alias(rest))
+    q, k = splits(queries, "q", "q"), splits(keys, "key", "key")
+    inside = [*scope, "__s"]
+    near = candidate_pairs(q.select("q", *inside).distinct(), k.select("key", *inside).distinct(), need, inside, F.length("__s") + 1)
+    found = (near.join(q.withColumnRenamed("__own", "__q"), ["q", *inside]).join(k.withColumnRenamed("__own", "__k"), ["key", *inside])
+             .select(F.col("__q").alias("q"), F.col("__k").alias("key"), *scope))
+    many = lambda c: F.size(_distinct_tokens(F.col(c))) > SPLIT_TOKENS
+    by = lambda df, c: df.select(c, *scope, F.explode(_distinct_tokens(F.col(c))).alias("__t"))
+    close = F.abs(F.length("q") - F.length("key")) <= (100.0 - need) / 100.0 * F.greatest(F.length("q"), F.length("key")) + 1e-9
+    for a, b in ((queries.filter(many("q")), keys), (queries.filter(~many("q")), keys.filter(many("key")))):
+        found = found.unionByName(by(a, "q").join(by(b, "key"), ["__t", *scope]).filter(close).select("q", "key", *scope))
+    return found
+
+
+def window_pairs(shorts: DataFrame, longs: DataFrame, need: float, scope: list[str]) -> DataFrame:
+    """(x, y) whose ``aligned_score`` reaches ``need``, for x shorter than y by the ratio at which it counts.
+
+    Positional gram index: x may differ from a window by k edits, so one of k + 1 segments of x stands whole in y, moved by
+    k at most. A segment is looked up by the rarest of its grams among all grams of y with their positions; a segment with a gram that no y
+    holds is not looked up at all."""
+    m = F.length("x")
+    k = F.floor(m * (100.0 - need) / 100.0 + 1e-9).cast("int")
+    base = F.floor(m / (k + 1)).cast("int")
+    y = longs.filter(F.length("y") > 0).select("y", *scope, F.length("y").alias("__n"), F.explode(F.sequence(F.lit(1), F.least(F.lit(GRAM), F.length("y")))).alias("__z"))
+    y = y.withColumn("__at", F.explode(F.sequence(F.lit(1), F.col("__n") - F.col("__z") + 1))).withColumn("__g", F.substr("y", F.col("__at"), F.col("__z"))).drop("__z")
+    often = y.groupBy("__g").agg(F.count(F.lit(1)).alias("__often"))
+    i = F.col("__i")
+    x = (shorts.filter(m > 0).withColumn("__i", F.explode(F.sequence(F.lit(0), k)))
+         .withColumn("__o", base * i).withColumn("__l", F.when(i == k, m - base * k).otherwise(base))
+         .withColumn("__g_len", F.least(F.lit(GRAM), F.col("__l")))
+         .withColumn("__in", F.explode(F.sequence(F.lit(0), F.col("__l") - F.col("__g_len"))))
+         .withColumn("__g", F.substr("x", F.col("__o") + F.col("__in") + 1, F.col("__g_len"))))
+    rare = x.join(often, "__g", "left").groupBy("x", *scope, "__o", "__l").agg(
+        F.min(F.struct("__often", "__g", "__in")).alias("r"), F.count_if(F.col("__often").isNull()).alias("__dead")).filter("__dead = 0")
+    rare = rare.select("x", *scope, "__o", "__l", F.col("r.__g").alias("__g"), (F.col("__o") + F.col("r.__in") + 1).alias("__place"))
+    shift = F.col("__at") - F.col("__place")
+    fits = ((F.col("__n") >= PARTIAL_FROM * m) & (F.col("__n") <= PARTIAL_UPTO * m) & (shift >= -k) & (shift <= F.col("__n") - m + k)
+            & (F.substr("y", shift + F.col("__o") + 1, F.col("__l")) == F.substr("x", F.col("__o") + 1, F.col("__l"))))
+    met = rare.join(y, ["__g", *scope]).filter(fits).select("x", "y", *scope).distinct()
+    return met.filter(aligned_score(F.col("x"), F.col("y")) >= need - 1e-9)
 
 
 def token_pairs(queries: DataFrame, keys: DataFrame, floor: float, scope: list[str] | None = None) -> DataFrame:
     """All (q, key) pairs whose ``composite_score`` can reach ``floor``: those close as they are,
-    those close with sorted tokens (all or distinct ones), and those that share a token. A pair with
-    a token-set score above the floor is one of these, so none is lost.
-
-    Sharing pairs are cut at once by length: the set score needs the shared tokens to make up
-    nearly all of a side, or both sides to be nearly as long."""
+    those close with sorted tokens (all or distinct ones), those of which one side is nearly covered by shared tokens
+    (``covering_pairs``), those that share tokens and have close rests (``split_pairs``), and those of which one side nearly stands
+    in the other (``window_pairs``). Every pair above the floor is one of these, so none is lost; what is met
+    grows with the pairs found, not with how many names share a token."""
     scope = scope or []
     need = floor / TOKEN_WEIGHT
 
     def forms(df, c, form, own):
         """A string as it is, with sorted tokens, and with sorted distinct tokens, each once."""
         x = F.col(c)
-        shown = F.array_distinct(F.array(x, _sorted_text(x), F.array_join(F.array_sort(F.array_distinct(_tokens(x))), " ")))
+        shown = F.array_distinct(F.array(x, _sorted_text(x), F.array_join(_distinct_tokens(x), " ")))
         return df.select(x.alias(own), *scope, F.explode(shown).alias(form))
     q, k = forms(queries, "q", "q", "__q"), forms(keys, "key", "key", "__k")
     near = candidate_pairs(q.select("q", *scope).distinct(), k.select("key", *scope).distinct(), floor, scope)
     found = near.join(q, ["q", *scope]).join(k, ["key", *scope]).select(
         F.col("__q").alias("q"), F.col("__k").alias("key"), *scope)
-
-    def by_token(df, c, n):
-        distinct = F.array_distinct(_tokens(F.col(c)))
-        size = F.length(F.array_join(distinct, " ")).alias(n)
-        return df.select(c, *scope, size, F.explode(distinct).alias("__t"))
-    slack = (100.0 - need) / 100.0
-    lq, lk = F.col("__lq"), F.col("__lk")
-    met = (by_token(queries, "q", "__lq").join(by_token(keys, "key", "__lk"), ["__t", *scope])
-           .groupBy("q", "key", *scope, "__lq", "__lk").agg(F.sum(F.length("__t") + 1).alias("__shared")))
-    share = F.col("__shared") - 1
-    possible = ((lq - share <= slack * lq + 1e-9) | (lk - share <= slack * lk + 1e-9)
-                | (F.abs(lq - lk) <= slack * F.greatest(lq, lk) + 1e-9))
-    return found.unionByName(met.filter(possible).select("q", "key", *scope)).distinct()
+    found = found.unionByName(split_pairs(queries, keys, need, scope))
+    partial = floor / PARTIAL_WEIGHT
+    for x, y in (("q", "key"), ("key", "q")):
+        a, b = (queries, keys) if x == "q" else (keys, queries)
+        sides = _renamed(a, x, "x", scope), _renamed(b, y, "y", scope)
+        for pairs in [covering_pairs(*sides, need, scope), *([window_pairs(*sides, partial, scope)] if partial <= 100 else [])]:
+            found = found.unionByName(pairs.withColumnsRenamed({"x": x, "y": y}))
+    return found.distinct()
 
 
 def hazard_keys(keys: DataFrame) -> DataFrame:

@@ -8,9 +8,11 @@ from cardloom.functions import names as S
 from cardloom.operators import fuzzy
 from cardloom.queries.registry import query
 
-# The catalog plus a gallery of one-word names, with official counts 50 + n % 9.
+# The catalog plus a gallery of one-word names and long names of all parts (thousands of them), with official counts 50 + n % 9.
+LONG = "lower(replace(p_brand, '#', '')) || ' ' || p_name || CASE WHEN p_partkey % 2 = 0 THEN ' ' || lower(p_type) ELSE '' END"
 FC = """fc AS (SELECT set_id, local_id, name, 50 + CAST(substr(set_id, 2) AS INT) % 9 AS official_count FROM catalog_card
-  UNION ALL SELECT set_id, 'TG' || local_id, split_part(name, ' ', 2), 50 + CAST(substr(set_id, 2) AS INT) % 9 FROM catalog_card WHERE set_id IN ('S02', 'S10') AND local_id < '030'),
+  UNION ALL SELECT set_id, 'TG' || local_id, split_part(name, ' ', 2), 50 + CAST(substr(set_id, 2) AS INT) % 9 FROM catalog_card WHERE set_id IN ('S02', 'S10') AND local_id < '030'
+  UNION ALL SELECT 'S' || lpad(CAST(p_partkey % 12 AS VARCHAR), 2, '0'), 'P' || CAST(p_partkey AS VARCHAR), """ + LONG + """, 50 + p_partkey % 12 % 9 FROM part),
 ky AS (SELECT DISTINCT lower(name) AS key FROM fc)"""
 TEXT = "CASE WHEN num % 16 = 0 THEN split_part(name, ' ', 2) || ' ' || split_part(name, ' ', 1) WHEN num % 16 = 4 THEN name || ' extra' WHEN num % 4 = 0 THEN name WHEN num % 4 = 1 THEN split_part(name, ' ', 2) || 's' ELSE substr(name, 1, num % length(name)) || substr(name, 2 + num % length(name)) END"
 _DEN = "CASE num % 3 WHEN 0 THEN '0' || CAST(50 + CAST(substr(set_id, 2) AS INT) % 9 AS {s}) WHEN 1 THEN 'TG30' END"
@@ -20,13 +22,17 @@ def edit_sql(a, b):
 
 
 _SCORE = edit_sql("q", "key")
+_ALIGNED = """CASE WHEN least(length(q), length(key)) > 0 AND greatest(length(q), length(key)) >= 1.5 * least(length(q), length(key)) THEN
+  CASE WHEN greatest(length(q), length(key)) <= 8 * least(length(q), length(key)) THEN 0.9::DOUBLE ELSE 0.6::DOUBLE END * (100.0::DOUBLE * (1.0::DOUBLE - list_min(list_transform(
+  range(1, abs(length(q) - length(key)) + 2), lambda i: levenshtein(CASE WHEN length(q) <= length(key) THEN q ELSE key END,
+  substr(CASE WHEN length(q) <= length(key) THEN key ELSE q END, i, least(length(q), length(key))))))::DOUBLE / least(length(q), length(key)))) ELSE 0.0::DOUBLE END"""
 
 
 def composite_sql(pairs):
     """(all columns of ``pairs``, score): the token-aware score of q and key, spelled out."""
     toks = "list_filter(string_split({}, ' '), lambda x: x <> '')"
     return f"""(SELECT * EXCLUDE (tq, tk, sq, sk, dq, dk, sh, le, ri), greatest({_SCORE}, 0.95::DOUBLE * ({edit_sql('sq', 'sk')}),
-  0.95::DOUBLE * (CASE WHEN sh = '' THEN {edit_sql('le', 'ri')} ELSE greatest({edit_sql('le', 'ri')}, {edit_sql('sh', 'le')}, {edit_sql('sh', 'ri')}) END)) AS score FROM (
+  0.95::DOUBLE * (CASE WHEN sh = '' THEN {edit_sql('le', 'ri')} ELSE greatest({edit_sql('le', 'ri')}, {edit_sql('sh', 'le')}, {edit_sql('sh', 'ri')}) END), {_ALIGNED}) AS score FROM (
  SELECT *, trim(sh || ' ' || array_to_string(list_filter(dq, lambda x: NOT list_contains(dk, x)), ' ')) AS le, trim(sh || ' ' || array_to_string(list_filter(dk, lambda x: NOT list_contains(dq, x)), ' ')) AS ri FROM (
  SELECT *, array_to_string(list_filter(dq, lambda x: list_contains(dk, x)), ' ') AS sh FROM (
  SELECT *, array_to_string(list_sort(tq), ' ') AS sq, array_to_string(list_sort(tk), ' ') AS sk, list_sort(list_distinct(tq)) AS dq, list_sort(list_distinct(tk)) AS dk FROM (
@@ -41,6 +47,15 @@ def fuzzy_catalog(t):
     return c.unionByName(g)
 
 
+def wide_catalog(t):
+    """``fuzzy_catalog`` and the long names of all parts."""
+    part = t.table("part")
+    number = F.col("p_partkey") % 12
+    long = part.select(F.concat(F.lit("S"), F.lpad(number.cast("string"), 2, "0")).alias("set_id"), F.concat(F.lit("P"), F.col("p_partkey").cast("string")).alias("local_id"),
+                       F.expr(LONG).alias("name"), (F.lit(50) + number % 9).cast("int").alias("official_count"))
+    return fuzzy_catalog(t).unionByName(long)
+
+
 def noisy_names(t):
     return t.cards_unordered.select(F.expr(TEXT).alias("text"), F.expr(_DEN.format(s="STRING")).alias("denominator"), "set_id", "num").distinct()
 
@@ -57,7 +72,7 @@ mt AS (SELECT text, denominator, key, score, CASE WHEN n_in = 1 THEN fi ELSE f E
 
 @query("C8", "match_name", f"WITH {MATCH} SELECT text, denominator, key, round(score, 6) AS score, c[1] AS set_id, c[2] AS local_id, c[3] AS card_name, ambiguous FROM mt".replace("c[1]", "struct_extract(c, 1)").replace("c[2]", "struct_extract(c, 2)").replace("c[3]", "struct_extract(c, 3)"))
 def _match(t):
-    return fuzzy.match_name(noisy_names(t), fuzzy_catalog(t)).select(
+    return fuzzy.match_name(noisy_names(t), wide_catalog(t)).select(
         "text", "denominator", "key", F.round("score", 6).alias("score"), "set_id", "local_id", "card_name", "ambiguous")
 
 
@@ -72,13 +87,13 @@ rk AS (SELECT *, row_number() OVER (PARTITION BY text, set_id, denominator ORDER
 SELECT text, set_id, denominator, scope, key, round(score, 6) AS score, local_id, card_name, n > 1 OR coalesce(second >= score, FALSE) AS ambiguous FROM rk WHERE r = 1""")
 def _match_in_set(t):
     asked = noisy_names(t).select("text", F.when(F.col("num") % 2 == 0, F.col("set_id")).alias("set_id"), "denominator")
-    return fuzzy.match_name_in_set(asked, fuzzy_catalog(t)).select(
+    return fuzzy.match_name_in_set(asked, wide_catalog(t)).select(
         "text", "set_id", "denominator", "scope", "key", F.round("score", 6).alias("score"), "local_id", "card_name", "ambiguous")
 
 
 @query("C10", "hazard_keys", f"WITH {FC}, {HAZ} SELECT key FROM hz")
 def _hazard(t):
-    return fuzzy.hazard_keys(fuzzy_catalog(t).select(S.normalize_name(F.col("name")).alias("key")))
+    return fuzzy.hazard_keys(wide_catalog(t).select(S.normalize_name(F.col("name")).alias("key")))
 
 
 @query("B14", "query_guards", """SELECT turn, conv_id, length(q) >= 3 AND regexp_matches(q, '[a-z]') AS usable, length(q) >= 0.5 * 24 AS long_enough FROM (
@@ -106,10 +121,10 @@ SELECT c.*, NOT EXISTS (SELECT 1 FROM fc WHERE lower(fc.name) = c.key AND regexp
 def _contradicts(t):
     c = t.cards_unordered.select(S.normalize_name(F.col("name")).alias("key"), F.expr(_DEN.format(s="STRING")).alias("denominator"),
                                  F.col("num").cast("string").alias("numerator")).distinct()
-    return fuzzy.name_contradicts_number(c, fuzzy_catalog(t))
+    return fuzzy.name_contradicts_number(c, wide_catalog(t))
 
 
-_SCRAPED = "sn AS (SELECT DISTINCT 'p' || CAST(pull_id % 300 AS {s}) AS slug, CASE pull_id % 6 WHEN 0 THEN 'Realm & Rift ' WHEN 1 THEN 'Relm and Rift ' WHEN 2 THEN 'REALM & RFT ' WHEN 3 THEN 'Realms and Rifts ' WHEN 4 THEN 'Other ' ELSE 'Realm Rift ' END || CAST(pull_id % 12 AS {s}) AS name, CASE WHEN pull_id % 5 = 0 THEN CAST(pull_id % 3 AS {s}) WHEN pull_id % 5 = 1 THEN 'qq' END AS pin FROM pull WHERE pull_id % 60 < 300)"
+_SCRAPED = "sn AS (SELECT DISTINCT 'p' || CAST(pull_id % 300 AS {s}) AS slug, CASE pull_id % 6 WHEN 0 THEN 'Realm & Rift ' WHEN 1 THEN 'Relm and Rift ' WHEN 2 THEN 'REALM & RFT ' WHEN 3 THEN 'Realms and Rifts ' WHEN 4 THEN 'Other ' ELSE 'Realm Rift ' END || CAST(pull_id % 12 AS {s}) AS name, CASE WHEN pull_id % 5 = 0 THEN CAST(pull_id % 3 AS {s}) WHEN pull_id % 5 = 1 THEN 'qq' END AS pin FROM pull)"
 
 
 @query("C25", "best_set_match", f"""WITH {_SCRAPED.format(s='VARCHAR')}, n AS (SELECT *, trim(regexp_replace(regexp_replace(replace(lower(name), '&', ' and '), '[^a-z0-9 ]', ' ', 'g'), ' +', ' ', 'g')) AS q FROM sn),
@@ -130,7 +145,7 @@ def _best_set(t):
 @query("J2", "fuzzy_scorer", f"""WITH {_ASK}, {FC} SELECT q, key, round({_SCORE}, 6) AS score FROM (SELECT DISTINCT q FROM ask) a, ky WHERE {_SCORE} >= 70 - 1e-9""")
 def _scorer(t):
     q = noisy_names(t).select(S.normalize_name(F.col("text")).alias("q")).distinct()
-    k = fuzzy_catalog(t).select(S.normalize_name(F.col("name")).alias("key")).distinct()
+    k = wide_catalog(t).select(S.normalize_name(F.col("name")).alias("key")).distinct()
     return fuzzy.candidate_pairs(q, k, 70.0).withColumn("score", F.round(fuzzy.edit_score(F.col("q"), F.col("key")), 6))
 
 
@@ -138,6 +153,6 @@ def _scorer(t):
 def _composite(t):
     """Token-aware score over pairs that lose none above the floor."""
     q = noisy_names(t).select(S.normalize_name(F.col("text")).alias("q")).distinct()
-    k = fuzzy_catalog(t).select(S.normalize_name(F.col("name")).alias("key")).distinct()
+    k = wide_catalog(t).select(S.normalize_name(F.col("name")).alias("key")).distinct()
     return (fuzzy.token_pairs(q, k, 82.0).withColumn("score", fuzzy.composite_score(F.col("q"), F.col("key")))
             .filter(F.col("score") >= 82 - 1e-9).withColumn("score", F.round("score", 4)))
