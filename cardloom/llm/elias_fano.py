@@ -15,9 +15,26 @@ import pyarrow as pa
 import pyarrow.fs
 
 U = np.uint64
-#: Bits whose ones are counted ahead, and queries that one step answers.
-BLOCK, STEP = 512, 1 << 16
-_WIDTHS = [(w, U((1 << w) - 1)) for w in (32, 16, 8, 4, 2, 1)]
+#: Queries that one step answers.
+STEP = 1 << 16
+_ONES, _TOPS = U(0x0101010101010101), U(0x8080808080808080)
+#: Place of the i-th one of a byte, by i * 256 + byte.
+_IN_BYTE = np.array([next((p for p in range(8) if b >> p & 1 and (b & (1 << p) - 1).bit_count() == i), 8) for i in range(8) for b in range(256)], np.int64)
+
+
+def _ones_upto(x: np.ndarray) -> np.ndarray:
+    """In each byte of a word, the ones of it and all lower bytes."""
+    x = x - (x >> U(1) & U(0x5555555555555555))
+    x = (x & U(0x3333333333333333)) + (x >> U(2) & U(0x3333333333333333))
+    return (x + (x >> U(4)) & U(0x0F0F0F0F0F0F0F0F)) * _ONES
+
+
+def _in_word(x: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """Place of the one of a word that has so many ones below it."""
+    upto, r = _ones_upto(x), rank.astype(U)
+    byte = np.bitwise_count(((r * _ONES) | _TOPS) - upto & _TOPS).astype(U) << U(3)
+    r -= upto << U(8) >> byte & U(255)
+    return byte.view(np.int64) + _IN_BYTE[((r << U(8)) | (x >> byte & U(255))).view(np.int64)]
 
 
 class Monotone:
@@ -36,22 +53,24 @@ class Monotone:
             lows[word[first]] = np.bitwise_or.reduceat(low << shift, first)
             over = (at & 63) + width > 64
             lows[word[over] + 1] |= low[over] >> (U(64) - shift[over])
-        bits = np.zeros(-(-(n + (last >> width) + 1) // BLOCK) * BLOCK, bool)
+        bits = np.zeros(-(-(n + (last >> width) + 1) // 64) * 64, bool)
         bits[(values >> width) + np.arange(n)] = True
         high = np.packbits(bits, bitorder="little").view(U)
-        ones = np.cumsum(np.bitwise_count(high).reshape(-1, BLOCK // 64).sum(1, dtype=np.int64))
-        ones = np.r_[0, ones[:-1]].astype(U)
+        ones = np.r_[0, np.cumsum(np.bitwise_count(high), dtype=np.int64)[:-1], np.zeros(len(high) % 2, np.int64)]
+        # Ones before each word, in 32 bits where that is enough.
+        ones = ones.astype(np.uint32).view(U) if n < 1 << 32 else ones[:len(high)].astype(U)
         return np.concatenate([np.array([n, width, last, len(lows), len(high)], U), lows, high, ones])
 
     def __init__(self, words: np.ndarray):
         self.n, self.width, self.last, n_low, n_high = (int(x) for x in words[:5])
         self.lows = words[5:5 + n_low]
-        self.high = words[5 + n_low:5 + n_low + n_high].reshape(-1, BLOCK // 64)
-        self.ones = words[5 + n_low + n_high:].view(np.int64)
+        self.high = words[5 + n_low:5 + n_low + n_high]
+        ones = words[5 + n_low + n_high:]
+        self.ones = ones.view(np.uint32)[:n_high] if self.n < 1 << 32 else ones.view(np.int64)
 
     @cached_property
     def zeros(self) -> np.ndarray:
-        return np.arange(len(self.ones)) * BLOCK - self.ones
+        return (np.arange(len(self.ones)) * 64 - self.ones).astype(self.ones.dtype)
 
     def _low(self, i: np.ndarray) -> np.ndarray:
         if not self.width:
@@ -62,34 +81,41 @@ class Monotone:
         x = (self.lows[word] >> shift) | (self.lows[word + 1] << U(1) << (U(63) - shift))
         return (x & U((1 << self.width) - 1)).view(np.int64)
 
-    def _select(self, rank: np.ndarray, ahead: np.ndarray, flip: bool) -> np.ndarray:
+    def _select(self, rank: np.ndarray, flip: bool) -> np.ndarray:
         """Bit position of the one (with ``flip``: the zero) with so many before it."""
-        block = np.searchsorted(ahead, rank, "right") - 1
-        words = self.high[block]
-        if flip:
-            words = ~words
-        upto = np.cumsum(np.bitwise_count(words), axis=1, dtype=np.int16)
-        rank = rank - ahead[block]
-        k, rows = (upto <= rank[:, None]).sum(1), np.arange(len(rank))
-        rank -= np.where(k > 0, upto[rows, k - 1], 0)
-        x, at = words[rows, k], block * BLOCK + k * 64
-        for width, mask in _WIDTHS:
-            part = x & mask
-            n = np.bitwise_count(part)
-            up = rank >= n
-            rank = np.where(up, rank - n, rank)
-            x = np.where(up, x >> U(width), part)
-            at += up * width
-        return at
+        ahead = self.zeros if flip else self.ones
+        word = np.searchsorted(ahead, rank.astype(ahead.dtype), "right") - 1
+        x = ~self.high[word] if flip else self.high[word]
+        return word * 64 + _in_word(x, rank - ahead[word])
+
+    def _next(self, at: np.ndarray, rank: np.ndarray, flip: bool) -> np.ndarray:
+        """Bit position of the next one (zero) after the one at ``at``, which has ``rank`` before it."""
+        word = at >> 6
+        x = (~self.high[word] if flip else self.high[word]) >> (at & 63).astype(U) >> U(1)
+        out = at + 1 + np.bitwise_count((x & (~x + U(1))) - U(1))
+        far = np.flatnonzero(x == 0)
+        if len(far):
+            out[far] = self._select(rank[far] + 1, flip)
+        return out
 
     def access(self, i: np.ndarray) -> np.ndarray:
         """The values at the positions ``i``."""
         out = np.empty(len(i), np.int64)
         for s in range(0, len(i), STEP):
             p = i[s:s + STEP]
-            out[s:s + STEP] = (self._select(p, self.ones, False) - p << self.width) | self._low(p)
+            out[s:s + STEP] = (self._select(p, False) - p << self.width) | self._low(p)
         return out
 
+    def spans(self, i: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The values at ``i`` and at the next position."""
+        one, two = np.empty(len(i), np.int64), np.empty(len(i), np.int64)
+        for s in range(0, len(i), STEP):
+            p = i[s:s + STEP]
+            at = self._select(p, False)
+            one[s:s + STEP] = (at - p << self.width) | self._low(p)
+            two[s:s + STEP] = (self._next(at, p, False) - p - 1 << self.width) | self._low(p + 1)
+        return one, two
+
     def find(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(position of the first value >= x, whether it equals x)."""
         at, hit = np.full(len(x), self.n, np.int64), np.zeros(len(x), bool)
@@ -102,9 +128,13 @@ class Monotone:
     def _find(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         top, low = x >> self.width, x & ((1 << self.width) - 1)
         lo = np.zeros(len(x), np.int64)
-        some = np.flatnonzero(top)
-        lo[some] = self._select(top[some] - 1, self.zeros, True) - top[some] + 1
-        end = self._select(top, self.zeros, True) - top
+        some, end = np.flatnonzero(top), np.empty(len(x), np.int64)
+        before = top[some] - 1
+        at = self._select(before, True)
+        lo[some], end[some] = at - before, self._next(at, before, True) - before - 1
+        if len(some) < len(x):
+            none = np.flatnonzero(top == 0)
+            end[none] = self._select(top[none], True)
         hi, open_ = end.copy(), np.flatnonzero(lo < end)
         while len(open_):
             mid = (lo[open_] + hi[open_]) >> 1
@@ -135,15 +165,20 @@ class Children:
         self.pointers, self.values = Monotone(pointers), Monotone(values)
 
     def size(self, parents: np.ndarray) -> np.ndarray:
-        return self.pointers.access(parents + 1) - self.pointers.access(parents)
+        first, end = self.pointers.spans(parents)
+        return end - first
 
     def find(self, parents: np.ndarray, children: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(position, found) of a child under a parent: a successor search from where its context begins."""
-        first, end = self.pointers.access(parents), self.pointers.access(parents + 1)
-        base, later = np.zeros(len(parents), np.int64), np.flatnonzero(first)
+        """(position, found) of a child under a parent: a successor search from where its context begins. Equal
+        parents that stand together are looked up once."""
+        new = np.flatnonzero(np.r_[True, parents[1:] != parents[:-1]]) if len(parents) else []
+        own = parents[new]
+        first, end = self.pointers.spans(own)
+        base, later = np.zeros(len(own), np.int64), np.flatnonzero(first)
         base[later] = self.values.access(first[later] - 1) + 1
-        at, hit = self.values.find(base + children)
-        return at, hit & (at < end)
+        times = np.diff(np.r_[new, len(parents)])
+        at, hit = self.values.find(np.repeat(base, times) + children)
+        return at, hit & (at < np.repeat(end, times))
 
 
 def write_file(folder: str, name: str, parts: list[np.ndarray]) -> None:

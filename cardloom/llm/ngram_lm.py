@@ -10,7 +10,7 @@ are dealt over several. Tasks map the files into memory and read the pages that
 
 from __future__ import annotations
 
-from collections import Counter, defaultdict
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -30,9 +30,15 @@ KEPT = 300_000
 END = b""       # no word: the end of a text, and the context of its first word
 
 
-def tokens(text: str | None) -> list[bytes]:
-    """The words of a text, A-Z in lower case."""
-    return (text or "").encode("utf-8", "surrogatepass").lower().split()
+def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """(words of all texts, A-Z in lower case, one after the other; where each text's begin, and the end)."""
+    found = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+    words, starts = found.flatten(), np.r_[0, np.cumsum(pc.list_value_length(found).to_numpy(), dtype=np.int64)]
+    real = pc.binary_length(words).to_numpy() > 0       # white space at either end leaves an empty one
+    if not real.all():
+        starts = np.r_[0, np.cumsum(real)][starts]
+        words = words.filter(pa.array(real))
+    return words, starts
 
 
 def codes(p: np.ndarray) -> np.ndarray:
@@ -75,8 +81,8 @@ class Model:
             at, hit = Monotone(file[0].view(np.uint64)).find(rest[mine])
             mine, at = mine[hit], at[hit]
             sums = Monotone(file[1].view(np.uint64))
-            low = sums.access(at)
-            number[mine], count[mine], before[mine] = self.starts[i] + at, sums.access(at + 1) - low, self.before[i] + low
+            low, high = sums.spans(at)
+            number[mine], count[mine], before[mine] = self.starts[i] + at, high - low, self.before[i] + low
         return number, count, before
 
     def counts(self, numbers: np.ndarray) -> np.ndarray:
@@ -84,8 +90,8 @@ class Model:
         out, cuts = np.zeros(len(numbers), np.int64), np.searchsorted(numbers, self.starts)
         for i, (a, b) in enumerate(zip(cuts, cuts[1:])):
             if a < b:
-                sums, at = Monotone(self._file(i)[1].view(np.uint64)), numbers[a:b] - self.starts[i]
-                out[a:b] = sums.access(at + 1) - sums.access(at)
+                low, high = Monotone(self._file(i)[1].view(np.uint64)).spans(numbers[a:b] - self.starts[i])
+                out[a:b] = high - low
         return out
 
     def shards(self, count: np.ndarray, before: np.ndarray, second: np.ndarray) -> np.ndarray:
@@ -125,9 +131,10 @@ def _word_counts(seed: int):
             return pa.RecordBatch.from_arrays([pa.array(list(kept), pa.binary()), pa.array(hashes), pa.array(list(kept.values()), pa.int64())],
                                               names=["word", "hash", "n"])
         for batch in _chunks(batches, 0):
-            for text in batch.column(0).to_pylist():
-                kept.update(tokens(text))
-                kept[END] += 1
+            found = words_of(batch.column(0))[0].value_counts()
+            for word, n in zip(found.field(0).cast(pa.binary()).to_pylist(), found.field(1).to_pylist()):
+                kept[word] += n
+            kept[END] += batch.num_rows
             if len(kept) > KEPT:
                 yield sent()
                 kept.clear()
@@ -164,22 +171,18 @@ def _write_words(folder: str, bits: int):
 class _Text:
     """The tokens of a few texts as one sequence: an end before the first text and after each one."""
 
-    def __init__(self, model: Model, texts: list[str | None]):
-        local: defaultdict = defaultdict()
-        local.default_factory = local.__len__
-        local[END]
-        parts, self.ends, at = [np.zeros(1, np.int64)], np.zeros(len(texts), np.int64), 0
-        for i, text in enumerate(texts):
-            found = tokens(text)
-            parts += [np.fromiter(map(local.__getitem__, found), np.int64, len(found)), parts[0]]
-            at += len(found) + 1
-            self.ends[i] = at
-        number, count, before = model.look_up(list(local))
+    def __init__(self, model: Model, texts: pa.Array):
+        words, starts = words_of(texts)
+        local = words.dictionary_encode()
+        # Local numbers: 0 for the end, then the distinct words.
+        parts = np.insert(local.indices.to_numpy() + 1, starts[1:], 0)
+        self.ends = starts[1:] + np.arange(1, len(starts))
+        number, count, before = model.look_up([END, *local.dictionary.cast(pa.binary()).to_pylist()])
         # Local numbers in the order of the model's, so that sorted pairs are sorted there too.
         order = np.argsort(number, kind="stable")
         new = np.empty(len(order), np.int64)
         new[order] = np.arange(len(order))
-        self.seq, self.end = new[np.concatenate(parts)], int(new[0])
+        self.seq, self.end = new[np.r_[0, parts]], int(new[0])
         self.number, self.count, self.before = number[order], count[order], before[order]
         n = len(order)
         pairs, self.pair_at, self.pair_n = np.unique(self.seq[:-1] * n + self.seq[1:], return_inverse=True, return_counts=True)
@@ -207,7 +210,7 @@ def _gram_counts(model: Model):
         import zstandard
         pack = zstandard.ZstdCompressor(level=1)
         for batch in _chunks(batches, 0):
-            t = _Text(model, batch.column(0).to_pylist())
+            t = _Text(model, batch.column(0))
             shard = model.shards(t.count[t.first], t.before[t.first], t.number[t.second])
             pair, third, times = t.triples(t.inner)
             u, v, w = t.number[t.first], t.number[t.second], t.number[third]
@@ -325,7 +328,7 @@ def _shard(model: Model, s: int, open_: dict[int, Shard | None]) -> Shard | None
     return open_[s]
 
 
-def score_chunk(model: Model, texts: list[str | None]) -> tuple[np.ndarray, ...]:
+def score_chunk(model: Model, texts: pa.Array) -> tuple[np.ndarray, ...]:
     """(tokens, known tokens, base score, score) of each text."""
     t = _Text(model, texts)
     n, nothing, open_ = len(t.number), len(t.first), {}
@@ -337,14 +340,16 @@ def score_chunk(model: Model, texts: list[str | None]) -> tuple[np.ndarray, ...]
         u, v = t.number[t.first[known]], t.number[t.second[known]]
         shard = model.shards(t.count[t.first[known]], t.before[t.first[known]], v)
         pair, third, at = t.pair_at[t.inner], t.seq[t.inner + 2], np.arange(len(t.inner))
-        order = np.lexsort((third, pair))
+        order = np.argsort(pair * n + third)
         pair, third, at = pair[order], third[order], at[order]
         cuts = np.r_[0, np.flatnonzero(shard[1:] != shard[:-1]) + 1, len(shard)] if len(shard) else [0]
         for a, b in zip(cuts, cuts[1:]):
             found = _shard(model, int(shard[a]), open_)
             if found is None:
                 continue
-            root, in_roots = found.roots.find(u[a:b])
+            new = np.flatnonzero(np.r_[True, u[a + 1:b] != u[a:b - 1]])     # each first word once
+            times = np.diff(np.r_[new, b - a])
+            root, in_roots = (np.repeat(x, times) for x in found.roots.find(u[a:b][new]))
             mine = np.flatnonzero(in_roots)
             place, hit = found.pairs.find(root[mine], v[a:b][mine])
             mine, place = known[a:b][mine[hit]], place[hit]
@@ -380,7 +385,7 @@ def score_texts(strips: DataFrame, model: Model, strip_id: str = "strip_id", tex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _chunks(batches, 0):
-            n, known, base, score = score_chunk(model, batch.column(0).to_pylist())
+            n, known, base, score = score_chunk(model, batch.column(0))
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(n), pa.array(known), pa.array(np.full(len(n), model.n_tokens)),
                                               pa.array(base), pa.array(score)],
                                              names=[*names, "n_tokens", "n_known", "train_tokens", "base_score", "score"])
