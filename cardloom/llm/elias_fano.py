@@ -171,7 +171,9 @@ class Children:
     def find(self, parents: np.ndarray, children: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(position, found) of a child under a parent: a successor search from where its context begins. Equal
         parents that stand together are looked up once."""
-        new = np.flatnonzero(np.r_[True, parents[1:] != parents[:-1]]) if len(parents) else []
+        if not len(parents):
+            return np.zeros(0, np.int64), np.zeros(0, bool)
+        new = np.flatnonzero(np.r_[True, parents[1:] != parents[:-1]])
         own = parents[new]
         first, end = self.pointers.spans(own)
         base, later = np.zeros(len(own), np.int64), np.flatnonzero(first)
