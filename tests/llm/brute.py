@@ -81,3 +81,25 @@ def top_k(vectors, is_query, k):
             s = m @ m[at]
             out[int(q)] = [(int(ids[j]), int(s[j])) for j in np.lexsort((ids, -s)) if ids[j] != q][:k]
     return out
+
+
+def jaccard_classes(texts):
+    """id -> smallest id reachable over pairs of Jaccard 0.8 on five-word shingles, for id -> text."""
+    def shingles(text):
+        w = [x.lower() if x.isascii() else "".join(c.lower() if "A" <= c <= "Z" else c for c in x) for x in words(text)]
+        return {tuple(w[i:i + 5]) for i in range(len(w) - 4)} if len(w) > 4 else {tuple(w)} - {()}
+    sets, up = {i: shingles(t) for i, t in texts.items()}, {i: i for i in texts}
+
+    def top(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+    ids = sorted(sets)
+    for a in ids:
+        for b in ids:
+            if a < b:
+                x, y = sorted((len(sets[a]), len(sets[b])))
+                if sets[a] == sets[b] or 10 * x >= 8 * y and 10 * (both := len(sets[a] & sets[b])) >= 8 * (x + y - both) > 0:
+                    i, j = top(a), top(b)
+                    up[max(i, j)] = min(i, j)
+    return {i: top(i) for i in ids}

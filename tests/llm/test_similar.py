@@ -1,26 +1,11 @@
 import random
 
 from cardloom.llm import simhash, similar
+from tests.llm import brute
 
 STRIPS = "strip_id long, text string, source string"
 
 
-def _classes(rows):
-    """id -> smallest id reachable over pairs of Jaccard 0.8 on five-word shingles, by brute force."""
-    def shingles(text):
-        w = (text or "").split()
-        return {tuple(w[i:i + 5]) for i in range(len(w) - 4)} if len(w) > 4 else {tuple(w)} - {()}
-    sets, up = {i: shingles(t) for i, t, _ in rows}, {i: i for i, _, _ in rows}
-    ids = sorted(sets)
-    for _ in ids:
-        for a in ids:
-            for b in ids:
-                both = len(sets[a] & sets[b])
-                if a < b and (sets[a] == sets[b] or both and 10 * both >= 8 * len(sets[a] | sets[b])):
-                    up[a] = up[b] = min(up[a], up[b])
-    return up
-
-
 def test_edited_copies_leave_one_row_as_by_brute_force(spark):
     rng, rows = random.Random(11), []
     for g in range(10):
@@ -36,9 +21,62 @@ def test_edited_copies_leave_one_row_as_by_brute_force(spark):
     for k in range(8):
         rows.append((501 + k, " ".join(base[:40 * k + 1] + ["new%d" % k] * 30 + base[40 * k + 31:]), "x"))
     rows += [(900, None, "x"), (901, " ", "x"), (902, "one two", "x"), (903, "one two", "x"), (904, "one three", "x")]
-    df, want = spark.createDataFrame(rows, STRIPS), _classes(rows)
+    df, want = spark.createDataFrame(rows, STRIPS), brute.jaccard_classes({i: t for i, t, _ in rows})
     got = {r["strip_id"]: r["component_id"] for r in similar.similar_classes(df).collect()}
     assert got == want
     assert sorted(r["strip_id"] for r in simhash.keep_one(df).collect()) == sorted(set(want.values()))
     # What two bits of three-word shingles leave is more: the edited copies.
     assert len({r["component_id"] for r in simhash.near_duplicates(df).collect()}) > len(set(want.values()))
+
+
+def _family(rng, n, own, words=100):
+    """Texts that each put ``own`` runs of five words of their own in a base."""
+    base, out = [f"b{rng.randrange(10 ** 9)}" for _ in range(words)], []
+    for k in range(n):
+        text = list(base)
+        for i in rng.sample(range(0, words, 5), own):
+            text[i:i + 5] = [f"own{rng.randrange(10 ** 9)}" for _ in range(5)]
+        out.append(" ".join(text))
+    return out
+
+
+def test_large_files_are_filed_again_and_cut(spark, monkeypatch):
+    """Slices of five: the same classes as by brute force, so no link is lost in large files."""
+    rng = random.Random(5)
+    texts = _family(rng, 40, 6) + _family(rng, 30, 1)
+    base = [f"c{i}" for i in range(120)]
+    for k in range(30):                 # a chain: each is near the next ones only
+        text = list(base)
+        for i in range(k):
+            text[3 * i] = f"x{i}"
+        texts.append(" ".join(text))
+    rows = [(i, t, "x") for i, t in enumerate(texts)]
+    df, want = spark.createDataFrame(rows, STRIPS), brute.jaccard_classes({i: t for i, t, _ in rows})
+    for file in (5, 1024):
+        monkeypatch.setattr(similar, "FILE", file)
+        assert {r["strip_id"]: r["component_id"] for r in similar.similar_classes(df).collect()} == want
+
+
+def test_candidates_grow_with_the_texts(spark, monkeypatch):
+    """A family at similarity near a half and one of near copies: few checks a text, not all pairs of the family."""
+    rng, seen = random.Random(6), []
+    real = similar._checked
+    monkeypatch.setattr(similar, "_checked", lambda pairs, *rest: (seen.append(pairs.count()), real(pairs, *rest))[1])
+    for n in (200, 800):
+        seen.clear()
+        texts = _family(rng, n, 7, 400) + _family(rng, n, 1, 400)
+        got = similar.similar_classes(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "strip_id long, text string")).collect()
+        assert sum(seen) < 4 * 2 * n
+        assert len({r["component_id"] for r in got if r["strip_id"] < n}) > 0.9 * n > 1 >= len({r["component_id"] for r in got if r["strip_id"] >= n})
+
+
+def test_edges_of_classes(spark):
+    rows = [(None, "a b c d e f g", "y"), (None, "a b c d e f g", "y"), (3, None, ""), (4, "", ""), (5, " \n\t ", ""), (6, "one", ""), (6, "One", ""), (7, "two", "")]
+    got = sorted(((r["strip_id"], r["component_id"]) for r in similar.similar_classes(spark.createDataFrame(rows, STRIPS)).collect()), key=str)
+    assert got == sorted([(None, None)] * 2 + [(3, 3), (4, 3), (5, 3), (6, 6), (6, 6), (7, 7)], key=str)
+    assert similar.similar_classes(spark.createDataFrame([], STRIPS)).collect() == []
+    named = spark.createDataFrame([(1, "x y", "u", 1, 2, 3)], "strip_id long, text string, mark string, n long, root long, keys long")
+    assert [tuple(r) for r in similar.similar_classes(named).collect()] == [(1, 1)]
+    words = " ".join(f"w{i}" for i in range(300_000))
+    long = spark.createDataFrame([(1, words), (2, words + " more")], "strip_id long, text string")
+    assert {r["component_id"] for r in similar.similar_classes(long).collect()} == {1}
