@@ -110,6 +110,13 @@ def content_dedup(items: DataFrame, content: str, item: str) -> DataFrame:
     return hashed.join(first, "digest")
 
 
+def read_uploads(spark, folder: str, pattern: str = "*") -> DataFrame:
+    """(path, length, content) of the files of a folder, as bytes; ``content_dedup`` digests them where they are read. An empty
+    file gives no row; one of more than 2 GB fails (a row can't hold it)."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(folder)
+    return files.select("path", "length", "content")
+
+
 def references(catalog: DataFrame, cached: DataFrame) -> DataFrame:
     """Catalog cards and cached cards of a set; keys carry different prefixes, so
     neither hides the other."""

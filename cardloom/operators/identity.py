@@ -293,7 +293,7 @@ def reconcile_answer(cards: DataFrame, answers: DataFrame, catalog: DataFrame, s
     c = c.withColumn("new_name", F.when(F.col("usable"), F.coalesce("looked", pre_name, F.when(keyed, F.col("in_catalog")))).otherwise(pre_name))
     c = stage(c, "merged")
     both = (F.col("claim") != "") & F.col("new_name").isNotNull()
-    name_ok = ~both | (fuzzy.edit_score(F.col("akey"), S.normalize_name(F.col("new_name"))) >= name_floor)
+    name_ok = ~both | (fuzzy.composite_score(F.col("akey"), S.normalize_name(F.col("new_name"))) >= name_floor)
     seen = F.coalesce(fuzzy.numerator_corroborated(F.col("use_num"), F.col("texts")), F.lit(True))
     corroborated = F.col("resolved") | F.col("texts").isNull() | (F.size("texts") == 0) | seen
     c = c.withColumns({"name_ok": name_ok, "corroborated": corroborated})

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from cardloom.functions import names as S, numbers as N
@@ -382,15 +385,72 @@ def box_pairs(boxes: DataFrame, key: str = "page_id", cell: float = 64.0, tie: s
             .withColumn("iou", inter / union).drop("__cx", "__cy"))
 
 
-def greedy_rounds(edges: DataFrame, node: list[str]) -> DataFrame:
+#: Rows of a group up to which one task folds it in one pass; a larger group is settled in distributed rounds.
+FOLD_ROWS = 200_000
+
+
+def _split_groups(rows: DataFrame, group: list[str], limit: int) -> tuple[DataFrame, DataFrame]:
+    """(rows of groups that one task folds, rows of larger groups)."""
+    large = rows.groupBy(*group).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > limit).select(*group)
+    large = stage(large, "large")
+    return rows.join(large, group, "left_anti"), rows.join(large, group, "left_semi")
+
+
+def fold_groups(rows: DataFrame, group: list[str], order: list[str], take: Callable, out: list[str]) -> DataFrame:
+    """The columns ``out`` of the rows that ``take`` chooses, group by group in ``order``: ``take(state, row)`` is called with a fresh
+    dictionary per group and each row in turn. Groups stream by, sorted in their partition, so only the state is held."""
+    parts = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    cols = [*group, *[c for c in rows.columns if c not in group]]
+    n, at = len(group), [cols.index(c) for c in out]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, state = None, {}
+        for batch in batches:
+            chosen = []
+            for i, row in enumerate(zip(*(c.to_pylist() for c in batch.columns))):
+                if row[:n] != now:
+                    now, state = row[:n], {}
+                if take(state, row[n:]):
+                    chosen.append(i)
+            yield batch.take(pa.array(chosen, pa.int64())).select(at)
+    sorted_ = rows.select(*cols).repartition(parts, *group).sortWithinPartitions(*group, *order)
+    return sorted_.mapInArrow(run, ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in out))
+
+
+def greedy_rounds(edges: DataFrame, node: list[str], group: str | None = None, rank: list[str] | None = None, limit: int = FOLD_ROWS) -> DataFrame:
     """The nodes that lose in a greedy selection over a conflict graph, best node first.
 
     ``edges``: columns ``win_<c>`` and ``lose_<c>`` for each of ``node``; the better node wins. A
     node that loses to no open node is selected, so all it beats are out; edges of what is
     out vanish, and so on until no edge is left. This selects what one pass from the best node to the
-    worst selects, with a few distributed rounds instead of a fold over a whole group."""
+    worst selects.
+
+    No edge leaves a ``group`` (a column of ``node``); ``rank`` are columns of the edges that order the losers, best first.
+    Groups of up to ``limit`` edges are folded in that order, in one job whatever the length of their chains: a loser is out if a
+    winner over it is not, and all of those have been decided. Larger groups (or all, without ``group``) are settled in distributed rounds."""
     win, lose = [f"win_{c}" for c in node], [f"lose_{c}" for c in node]
-    out, edges = None, stage(edges.select(*win, *lose).distinct(), "edges")
+    if group is None:
+        return _rounds(stage(edges.select(*win, *lose).distinct(), "edges"), node)
+    edges = stage(edges.select(*win, *lose, *(rank or [])).distinct(), "edges")
+    few, many = _split_groups(edges, [f"lose_{group}"], limit)
+    own = [c for c in few.columns if c != f"lose_{group}"]
+    w, lo = [own.index(c) for c in win], [own.index(c) for c in lose if c != f"lose_{group}"]
+    here = node.index(group)
+
+    def take(state, row):
+        # An edge whose winner stays puts its loser out; edges come by loser, best loser first.
+        loser, winner = tuple(row[i] for i in lo), tuple(row[i] for k, i in enumerate(w) if k != here)
+        if winner in state or loser in state:
+            return False
+        state[loser] = True
+        return True
+    folded = fold_groups(few, [f"lose_{group}"], [*(rank or []), *[c for c in lose if c != f"lose_{group}"]], take, lose)
+    return folded.select(*[F.col(c).alias(n) for c, n in zip(lose, node)]).unionByName(_rounds(stage(many.select(*win, *lose), "edges"), node))
+
+
+def _rounds(edges: DataFrame, node: list[str]) -> DataFrame:
+    win, lose = [f"win_{c}" for c in node], [f"lose_{c}" for c in node]
+    out = None
     while not edges.isEmpty():
         losers = edges.select(*[F.col(c).alias(n) for c, n in zip(lose, node)]).distinct()
         sure = edges.select(*[F.col(c).alias(n) for c, n in zip(win, node)]).distinct().join(losers, node, "left_anti")
@@ -403,13 +463,32 @@ def greedy_rounds(edges: DataFrame, node: list[str]) -> DataFrame:
     return edges.select(*[F.col(c).alias(n) for c, n in zip(win, node)]) if out is None else out
 
 
-def greedy_unique(items: DataFrame, order: list, keys: list[list[str]], ident: list[str]) -> DataFrame:
+def greedy_unique(items: DataFrame, order: list, keys: list[list[str]], ident: list[str], limit: int = FOLD_ROWS) -> DataFrame:
     """Items chosen one by one in ``order``, none that shares one of ``keys`` with a chosen one.
 
-    In each round an item that is first of all its key groups is certain; the others of these groups
-    are out. No pairs are made: groups meet in pre-aggregated minima only."""
+    What all ``keys`` have in common is the group: groups of up to ``limit`` items are folded in one pass. In larger ones, rounds: an item that
+    is first of all its key groups is certain; the others of these groups are out. No pairs are made: groups meet in
+    pre-aggregated minima only."""
     rank, out = F.struct(*order), None
-    left = stage(items.withColumn("__rank", rank), "items")
+    whole = items
+    for c in {c for k in keys for c in k}:      # an item without one of its keys is never chosen
+        whole = whole.filter(F.col(c).isNotNull())
+    left = stage(whole.withColumn("__rank", rank), "items")
+    group = [c for c in keys[0] if all(c in k for k in keys)]
+    folded = None
+    if group:
+        few, left = _split_groups(left, group, limit)
+        held = [c for c in few.columns if c not in group]
+        at = [[held.index(c) for c in k if c not in group] for k in keys]
+
+        def take(state, row):
+            met = [(i, *[row[j] for j in places]) for i, places in enumerate(at)]
+            if any(m in state for m in met):
+                return False
+            state.update(dict.fromkeys(met))
+            return True
+        folded = fold_groups(few, group, ["__rank"], take, ident)
+        left = stage(left, "items")
     while not left.isEmpty():
         sure = left
         for key in keys:
@@ -420,32 +499,34 @@ def greedy_unique(items: DataFrame, order: list, keys: list[list[str]], ident: l
         for key in keys:
             left = left.join(sure.select(*key).distinct(), key, "left_anti")
         left = stage(left, "items")
-    return (left if out is None else out).select(*ident)
+    rest = (left if out is None else out).select(*ident)
+    return rest if folded is None else folded.select(*ident).unionByName(rest)
 
 
 def nms(boxes: DataFrame, iou: float = 0.4, key: str = "page_id", tie: str = "line_id") -> DataFrame:
     """Greedy overlap suppression, largest area first (then smallest ``tie``).
 
     Copies can only lose to their first one. The others conflict where they overlap by more
-    than ``iou``; the greedy choice runs in rounds over these pairs (``greedy_rounds``), so a
-    dense page is many pairs and not one task."""
+    than ``iou``; the greedy choice runs over these pairs (``greedy_rounds``): one fold per page, rounds
+    for a page of very many pairs."""
     first = boxes.groupBy(key, "x", "y", "w", "h").agg(F.min(tie).alias(tie))
     pairs = box_pairs(boxes, key, tie=tie).filter(F.col("iou") > iou)
     a_wins = F.struct((-F.col("aw") * F.col("ah")).alias("r"), F.col("aid").alias("i")) < F.struct(
         (-F.col("bw") * F.col("bh")).alias("r"), F.col("bid").alias("i"))
     edges = pairs.select(F.col(key).alias(f"win_{key}"), F.when(a_wins, F.col("aid")).otherwise(F.col("bid")).alias(f"win_{tie}"),
-                         F.col(key).alias(f"lose_{key}"), F.when(a_wins, F.col("bid")).otherwise(F.col("aid")).alias(f"lose_{tie}"))
-    return first.join(greedy_rounds(edges, [key, tie]), [key, tie], "left_anti").select(key, tie, "x", "y", "w", "h")
+                         F.col(key).alias(f"lose_{key}"), F.when(a_wins, F.col("bid")).otherwise(F.col("aid")).alias(f"lose_{tie}"),
+                         F.when(a_wins, -F.col("bw") * F.col("bh")).otherwise(-F.col("aw") * F.col("ah")).alias("rank"))
+    return first.join(greedy_rounds(edges, [key, tie], key, ["rank"]), [key, tie], "left_anti").select(key, tie, "x", "y", "w", "h")
 
 
 def fill_from_detections(strips: DataFrame, boxes: DataFrame, key: str = "page_id",
-                         reach: float = 1.5) -> DataFrame:
+                         reach: float = 1.5, limit: int = FOLD_ROWS) -> DataFrame:
     """Unread strips, in order, claim the nearest unused number box within ``reach``
     strip heights whose number is not read elsewhere on the photo.
 
     ``strips``: key, row_index, cy, h, numerator (NULL = unread); ``boxes``: key, y,
-    numerator, box_id. Candidates come from a banded equi join. Claims are made in rounds: a
-    strip's nearest open box is certain once no earlier open strip could take that box or its
+    numerator, box_id. Candidates come from a banded equi join. Photos of up to ``limit`` candidates are folded in one pass,
+    larger ones in rounds: a strip's nearest open box is certain once no earlier open strip could take that box or its
     number; certain claims close the strip, the box and the number on their photo."""
     tall = strips.groupBy(key).agg((F.max("h") * reach).alias("__band"))
     read = strips.filter("numerator IS NOT NULL").select(key, "numerator").distinct()
@@ -457,8 +538,18 @@ def fill_from_detections(strips: DataFrame, boxes: DataFrame, key: str = "page_i
     cand = (s.join(b, [key, "__b"]).withColumn("d", F.abs(F.col("y") - F.col("cy")))
             .filter(F.col("d") <= F.col("h") * reach)
             .select(key, "row_index", "d", "y", "box_id", "numerator"))
+    few, cand = _split_groups(stage(cand, "claims"), [key], limit)
+
+    def take(state, row):
+        # Candidates of a strip come nearest first; the first whose box and number are free is its claim.
+        strip, _, _, box, number = row
+        if ("s", strip) in state or ("b", box) in state or ("n", number) in state:
+            return False
+        state.update({("s", strip): 1, ("b", box): 1, ("n", number): 1})
+        return True
+    claim = [key, "row_index", "box_id", "numerator"]
+    folded = fold_groups(few.select(key, "row_index", "d", "y", "box_id", "numerator"), [key], ["row_index", "d", "y", "box_id", "numerator"], take, claim)
     out, cand = None, stage(cand, "claims")
-    empty = cand.select(key, "row_index", "box_id", "numerator").limit(0)
     while not cand.isEmpty():
         nearest = (cand.groupBy(key, "row_index").agg(F.min(F.struct("d", "y", "box_id", "numerator")).alias("c"))
                    .select(key, "row_index", "c.box_id", "c.numerator"))
@@ -471,4 +562,4 @@ def fill_from_detections(strips: DataFrame, boxes: DataFrame, key: str = "page_i
         for closed in ("row_index", "box_id", "numerator"):
             cand = cand.join(sure.select(key, closed), [key, closed], "left_anti")
         cand = stage(cand, "claims")
-    return empty if out is None else out
+    return folded if out is None else folded.unionByName(out.select(*claim))

@@ -72,6 +72,12 @@ def clear_staged(spark: SparkSession) -> int:
     return n
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether a file or folder is there, asked of the file system that the path names."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return bool(at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at))
+
+
 def stage(df, name: str = "stage"):
     """Write an intermediate result to the shared folder and read it back.
 

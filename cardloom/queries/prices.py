@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from cardloom.operators import prices, stats
 from cardloom.queries.registry import query
 from cardloom.queries.stats import LOG, VERIFIED, snapshot_log
+from cardloom.plans.session import fresh_folder, stage
 from cardloom.sources import logs, payloads, upserts
+from cardloom.sources.keyed_table import KeyedTable
 
 LATEST = "latest AS (SELECT match_id, usd_low, usd_high FROM card_price WHERE snapshot_id = 2)"
 _NOW = "TIMESTAMP '2001-01-03 00:00:00'"
@@ -111,6 +113,10 @@ def _lookups(t):
     return out[0].unionByName(out[1]).unionByName(out[2])
 
 
+def keyed(t, name, keys):
+    return KeyedTable(t.spark, fresh_folder(t.spark, name), keys, buckets=8)
+
+
 @query("A6", "upsert_update", """
 WITH tab AS (SELECT set_id, num, min(name) AS name, min(unit_price) AS price, min(l_shipdate) AS first_seen, min(l_shipdate) AS updated_at FROM pull_card WHERE pull_id % 2 = 0 GROUP BY 1, 2),
 new AS (SELECT * FROM (SELECT set_id, num, name, unit_price AS price, row_number() OVER (PARTITION BY set_id, num ORDER BY l_shipdate DESC, pull_id DESC, unit_price) AS r
@@ -127,9 +133,10 @@ def _upsert(t):
         F.min("l_shipdate").alias("first_seen"), F.min("l_shipdate").alias("updated_at"))
     rows = c.filter("pull_id % 2 = 1").withColumnRenamed("unit_price", "price").select(
         "set_id", "num", "name", "price", "l_shipdate", "pull_id")
-    return upserts.upsert_update(table, rows, ["set_id", "num"], ["price"],
-                                 F.lit("2002-01-01 00:00:00").cast("timestamp_ntz"),
-                                 [F.desc("l_shipdate"), F.desc("pull_id"), "price"])
+    now = F.lit("2002-01-01 00:00:00").cast("timestamp_ntz")
+    stored = keyed(t, "upsert", ["set_id", "num"]).create(table)
+    stored.merge(rows, lambda old, new: upserts.upsert_update(old, new, ["set_id", "num"], ["price"], now, [F.desc("l_shipdate"), F.desc("pull_id"), "price"]))
+    return stored.read()
 
 
 @query("A7", "upsert_ignore", """
@@ -140,7 +147,9 @@ def _ignore(t):
     c = t.cards_unordered
     table = c.filter("pull_id % 2 = 0").groupBy("match_id").agg(F.min("name").alias("name"))
     rows = c.filter("pull_id % 2 = 1").select(F.when(F.col("num") % 9 != 0, F.col("match_id")).alias("match_id"), "name")
-    return upserts.upsert_ignore(table, rows, ["match_id"], ["name"])
+    stored = keyed(t, "ignore", ["match_id"]).create(table)
+    stored.merge(rows, lambda old, new: upserts.upsert_ignore(old, new, ["match_id"], ["name"]))
+    return stored.read()
 
 
 @query("A8", "upsert_count", """
@@ -163,7 +172,11 @@ def _count(t):
     table = ev.filter("pull_id % 2 = 0").groupBy(*keys).agg(
         F.min("name").alias("name"), F.min("species").alias("species"), F.count(F.lit(1)).alias("qty"),
         F.max("updated_at").alias("updated_at"))
-    return upserts.upsert_count(table, ev.filter("pull_id % 2 = 1"), keys, ["updated_at", "pull_id", "row_index"])
+    stored, order = keyed(t, "count", keys).create(table), ["updated_at", "pull_id", "row_index"]
+    saves = ev.filter("pull_id % 2 = 1")
+    outcome = stage(upserts.upsert_count(stored.read(), saves, keys, order).select(*keys, "outcome"), "outcome")
+    stored.merge(saves, lambda old, new: upserts.upsert_count(old, new, keys, order).drop("outcome"))
+    return stored.read().join(outcome, keys)
 
 
 @query("A9", "rebuild_dimension", """
@@ -174,7 +187,9 @@ def _rebuild(t):
     s = t.sets.select("n", "set_code", "set_name", "catalog_id")
     fresh = s.select(F.when(F.col("n") <= 3, F.concat(F.lit("N"), "set_code")).otherwise(F.col("set_code")).alias("set_code"), F.upper("set_name").alias("set_name"),
                                      F.when(F.col("n") % 2 == 0, F.col("catalog_id")).alias("catalog_id"))
-    return upserts.rebuild_dimension(fresh, s.drop("n"), "set_code", "catalog_id")
+    stored = keyed(t, "dimension", ["set_code"]).create(s.drop("n"))
+    stored.merge(fresh, lambda old, new: upserts.rebuild_dimension(new, old, "set_code", "catalog_id"))
+    return stored.read()
 
 
 @query("A11", "extract_links", """
@@ -215,7 +230,10 @@ def timing_lines(t):
 @query("A13", "parse_timing_log", """SELECT 'pack' AS flow, event_type AS stage, CAST(user_id AS VARCHAR) AS scan, count(*) AS n, round(sum(value), 2) AS ms
 FROM events WHERE value >= 0 GROUP BY 1, 2, 3""")
 def _timing(t):
-    return logs.parse_timing(timing_lines(t)).groupBy("flow", "stage", "scan").agg(
+    """Log files of a folder, read as text."""
+    folder = fresh_folder(t.spark, "logs")
+    timing_lines(t).write.text(folder)
+    return logs.parse_timing(logs.read_lines(t.spark, folder)).groupBy("flow", "stage", "scan").agg(
         F.count(F.lit(1)).alias("n"), F.round(F.sum("ms"), 2).alias("ms"))
 
 

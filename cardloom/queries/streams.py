@@ -32,7 +32,14 @@ s AS (SELECT *, sum(j) OVER (PARTITION BY session_id ORDER BY ts, frame_id) AS k
 
 @query("I1", "session_rollup", f"WITH {_SESS.format(gap='30 MINUTE')} SELECT session_id, min(ts) AS started, count(*) AS frames, max(confidence) AS best FROM s GROUP BY session_id, k")
 def _rollup(t):
-    return live.last_state(live.session_rollup(frame_stream(t)), "rollup")
+    return live.last_state(live.session_rollup(frame_stream(t), watermark=None), "rollup")
+
+
+@query("I1", "session_rollup_closed", f"""WITH {_SESS.format(gap='30 MINUTE')}, e AS (SELECT session_id, min(ts) AS started, count(*) AS frames, max(confidence) AS best, max(ts) AS last FROM s GROUP BY session_id, k)
+SELECT session_id, started, frames, best FROM e WHERE last + INTERVAL 30 MINUTE <= date_trunc('millisecond', (SELECT max(ts) FROM frame)) - INTERVAL 10 MINUTE""")
+def _closed(t):
+    """Append mode: sessions that ended by the watermark."""
+    return live.closed_sessions(frame_stream(t))[0]
 
 
 @query("I1", "session_rollup_12h", f"WITH {_SESS.format(gap='12 HOUR')} SELECT session_id, min(ts) AS started, count(*) AS frames, max(confidence) AS best FROM s GROUP BY session_id, k")
@@ -88,7 +95,7 @@ def _prior(t):
 @query("I5", "best_code_so_far", """WITH c AS (SELECT session_id, frame_id, ts, 'CODE' || CAST(frame_id % 100 AS VARCHAR) AS code, frame_id % 3 = 0 AS ok FROM frame WHERE frame_id % 11 = 0 AND frame_id % 17 <> 0)
 SELECT session_id, coalesce(arg_max(code, (ts, frame_id)) FILTER (WHERE ok), arg_min(code, (ts, frame_id))) AS code, bool_or(ok) AS format_ok FROM c GROUP BY 1""")
 def _code(t):
-    return live.last_state(live.best_code(marked(frame_stream(t)).filter("kind = 'code'")), "codes")
+    return live.keyed_state(live.best_code(marked(frame_stream(t)).filter("kind = 'code'")), "codes", ["session_id"])
 
 
 @query("I7", "followup_progress", """WITH r AS (SELECT user_id AS scan_id, event_id % 9 AS row_index, CASE WHEN event_id % 4 = 0 THEN 'pending_vlm' ELSE 'ok' END AS state, event_id % 97 = 0 AS fin, ts, event_id FROM events),
@@ -99,16 +106,16 @@ def _followup(t):
         F.col("user_id").alias("scan_id"), (F.col("event_id") % 9).alias("row_index"),
         F.when(F.col("event_id") % 4 == 0, "pending_vlm").otherwise("ok").alias("state"), (F.col("event_id") % 97 == 0).alias("finished"), "ts", "event_id")
     rows, scans = live.followup_rows(e), live.followup_scans
-    return scans(live.last_state(rows, "followup"))
+    return scans(live.keyed_state(rows, "followup", ["scan_id", "row_index"]))
 
 
 @query("I8", "stage_progress", """SELECT user_id AS scan_id, arg_max(event_type, (ts, event_id)) AS stage, max(event_id % 9) AS done, CAST(9 AS INT) AS total FROM events GROUP BY 1""")
 def _stages(t):
-    """Run as a stream in complete mode into a table of the last batch."""
+    """Run as a stream in update mode: each batch writes the scans that it changed."""
     e = live.read_table_stream(t.spark, t.folder, "events").select(
         F.col("user_id").alias("scan_id"), F.col("event_type").alias("stage"), (F.col("event_id") % 9).alias("done"),
         F.lit(9).alias("total"), "ts", "event_id")
-    return live.last_state(live.stage_progress(e), "stages")
+    return live.keyed_state(live.stage_progress(e), "stages", ["scan_id"])
 
 
 @query("I6", "debounced_batches", """SELECT frame_id, session_id, CASE WHEN confidence >= 0.7 THEN 'ok' ELSE 'vlm_failed' END AS state FROM frame WHERE needs_second_opinion""")

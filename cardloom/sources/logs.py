@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from cardloom.plans.skew import percentiles
 
@@ -11,6 +11,19 @@ TIMING_PATTERN = r"timing\.([a-z0-9_]+)\.([a-z0-9_]+) scan=(\S+) ms=([0-9]+(?:\.
 ANCHOR_PATTERN = r'<a\s+href="(/[^"]*)"[^>]*>([^<]*)</a>'
 
 
+def read_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """(value, file, line) of all text files of a folder; ``line`` counts from 1 in each file.
+
+    Long files are read in pieces by many tasks: lines are numbered in their piece, and only the pieces' line counts
+    meet. Empty files have no lines; bytes that are no UTF-8 are replaced."""
+    text = spark.read.text(folder).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("__piece"),
+                                          F.monotonically_increasing_id().alias("__at"))
+    pieces = text.groupBy("file", "__piece").agg(F.min("__at").alias("__first"), F.count(F.lit(1)).alias("__n"))
+    before = F.sum("__n").over(Window.partitionBy("file").orderBy("__piece").rowsBetween(Window.unboundedPreceding, -1))
+    pieces = pieces.select("file", "__piece", "__first", F.coalesce(before, F.lit(0)).alias("__before"))
+    return text.join(pieces, ["file", "__piece"]).select("value", "file", (F.col("__before") + F.col("__at") - F.col("__first") + 1).alias("line"))
+
+
 def parse_timing(lines: DataFrame, column: str = "value") -> DataFrame:
     """flow, stage, scan, ms; lines of any other shape are left out."""
     def part(i):

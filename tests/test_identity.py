@@ -46,6 +46,34 @@ def test_ladder(spark, world):
     assert got[7].identity_key is None and got[7].reason == "number_ambiguous"
 
 
+def test_page_prior_runs_again_only_what_the_page_may_settle(spark, world):
+    sets, catalog, nums, cached = world
+    none = (None, None, None)
+    cells = spark.createDataFrame(
+        [(1, 10, "8", "200", None, False, True, *none), (2, 10, "7", None, None, False, True, *none), (3, 10, "7", None, None, True, True, *none),
+         (4, 10, "7", "100", None, False, True, *none), (5, 10, "7", None, None, False, True, *none), (6, 10, None, None, None, False, False, *none),
+         (7, 10, "99", None, None, False, True, *none), (8, 20, "7", None, None, False, True, *none), (9, 10, "7", None, "SWSH", False, True, *none),
+         (10, 10, "7", "200", None, False, True, *none)],
+        "cell_id int, page_id int, numerator string, denominator string, prefix string, bare boolean, has_reading boolean, "
+        "prior_set string, prior_catalog string, prior_denominator string")
+    lines = spark.createDataFrame([(1, 0, "PIKACHU"), *((i, 0, "???") for i in (2, 3, 4, 6, 7, 8, 9)), (5, 0, "PIKACHU"), (10, 0, "zzzz")],
+                                  "cell_id int, rank int, text string")
+    first = identity.resolve_identity(cells.drop("page_id"), lines, catalog, sets, nums, cached)
+    before = {r.cell_id: r for r in first.collect()}
+    assert before[1].confident and not any(before[i].confident for i in range(2, 11))
+    prior = spark.createDataFrame([(10, "P2", "200"), (30, "P1", "100")], "page_id int, set_id string, denominator string")
+    got = {r.cell_id: r for r in identity.apply_page_prior(cells, first, lines, prior, catalog, sets, nums, cached).collect()}
+    assert {i for i, r in got.items() if r.rescued} == {2, 10}
+    for i in (2, 10):
+        assert (got[i].rung, got[i].set_id, got[i].name, got[i].confident) == ("number_in_prior", "P2", "Raichu", True)
+    # Confident, bare, another set's denominator, a name with another number, no reading, no such number, no page prior, a promo prefix:
+    for i in (1, 3, 4, 5, 6, 7, 8, 9):
+        assert tuple(got[i])[:-1] == tuple(before[i]), i
+    # Nothing to settle by: nothing changes.
+    again = identity.apply_page_prior(cells, first, lines, prior.limit(0), catalog, sets, nums, cached).collect()
+    assert {r.cell_id: tuple(r)[:-1] for r in again} == {i: tuple(r) for i, r in before.items()} and not any(r.rescued for r in again)
+
+
 def test_reconcile(spark, world):
     sets, catalog, _, cached = world
     cards = spark.createDataFrame(
@@ -82,7 +110,7 @@ def frame(at, key="x:1", conf=0.5, kind="card", code=None, ok=False):
 
 
 def test_live_steps():
-    body = {"rows": [], "code": None, "code_ok": False}
+    body = live.Session()
     assert live.step(body, frame(0.0)) == ("card", 0, 0.5)
     assert live.step(body, frame(1.5, conf=0.9)) == ("card", 0, 0.9)          # same hold-up, better read
     assert live.step(body, frame(2.5))[0] == "duplicate_prompt"              # anchor is the first capture
@@ -92,9 +120,9 @@ def test_live_steps():
     assert live.step(body, frame(5.0, key=None))[:2] == ("card", 3)          # but it may replace a marked row
     live.step(body, frame(6.0, kind="code", code="A"))
     live.step(body, frame(7.0, kind="code", code="B"))
-    assert body["code"] == "A"
+    assert body.code == "A"
     live.step(body, frame(8.0, kind="code", code="C", ok=True))
-    assert body["code"] == "C" and live.modal_set(body["rows"]) == "x"
+    assert body.code == "C" and body.modal() == "x"
 
 
 def test_stream_equals_batch_twin(spark):
