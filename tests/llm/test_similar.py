@@ -57,16 +57,18 @@ def test_large_files_are_filed_again_and_cut(spark, monkeypatch):
         assert {r["strip_id"]: r["component_id"] for r in similar.similar_classes(df).collect()} == want
 
 
-def test_candidates_grow_with_the_texts(spark, monkeypatch):
-    """A family at similarity near a half and one of near copies: few checks a text, not all pairs of the family."""
+def test_checks_and_links_grow_with_the_texts(spark, monkeypatch):
+    """A family at similarity near a half and one of near copies: a check a text and a link a text at most, not all pairs."""
     rng, seen = random.Random(6), []
-    real = similar._checked
-    monkeypatch.setattr(similar, "_checked", lambda pairs, *rest: (seen.append(pairs.count()), real(pairs, *rest))[1])
+    for name in ("_checked", "_across"):
+        real = getattr(similar, name)
+        monkeypatch.setattr(similar, name, lambda *a, real=real, name=name: (
+            seen.append(a[0].count()) if name == "_checked" else None, out := real(*a), seen.append(out.count()))[1])
     for n in (200, 800):
         seen.clear()
         texts = _family(rng, n, 7, 400) + _family(rng, n, 1, 400)
         got = similar.similar_classes(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "strip_id long, text string")).collect()
-        assert sum(seen) < 4 * 2 * n
+        assert len(seen) == 3 and sum(seen) < 6 * n
         assert len({r["component_id"] for r in got if r["strip_id"] < n}) > 0.9 * n > 1 >= len({r["component_id"] for r in got if r["strip_id"] >= n})
 
 
