@@ -24,14 +24,13 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 OP5 = rf"""WITH r AS (SELECT row_number() OVER () AS rid, doc_id, text FROM documents),
 x AS (SELECT rid, doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos FROM r),
 ln AS (SELECT rid, doc_id, pos, line, list_transform(regexp_extract_all(line, '{_WORD}'), lambda y: CASE WHEN regexp_matches(y, '[0-9]') THEN '<*>' ELSE y END) AS tk FROM x),
-kn AS (SELECT DISTINCT doc_id, tk FROM ln WHERE len(tk) >= 4),
-ct AS (SELECT tk, [CAST(len(tk) AS VARCHAR), tk[1], tk[2], tk[3]] AS leaf, count(*) AS n FROM kn GROUP BY 1),
-lf AS (SELECT leaf FROM ct GROUP BY 1 HAVING sum(n) >= 8),
-c AS (SELECT tk, leaf, n, unnest(tk) AS tok, generate_subscripts(tk, 1) AS place FROM ct WHERE leaf IN (SELECT leaf FROM lf)),
-sn AS (SELECT leaf, place, tok FROM c WHERE tok <> '<*>' GROUP BY 1, 2, 3 HAVING sum(n) >= 8),
-td AS (SELECT c.tk, any_value(n) AS n, avg(CASE WHEN sn.tok IS NOT NULL THEN 1.0 ELSE 0.0 END) AS share,
-   string_agg(coalesce(sn.tok, '<*>'), ' ' ORDER BY c.place) AS template FROM c LEFT JOIN sn ON c.leaf = sn.leaf AND c.place = sn.place AND c.tok = sn.tok GROUP BY 1),
-rc AS (SELECT tk FROM td WHERE share >= 0.6 AND template IN (SELECT template FROM td WHERE share >= 0.6 GROUP BY 1 HAVING sum(n) >= 8)),
+kn AS (SELECT DISTINCT coalesce(CAST(doc_id AS VARCHAR), '') AS doc, tk, [CAST(len(tk) AS VARCHAR), tk[1], tk[2], tk[3]] AS leaf FROM ln WHERE len(tk) >= 4),
+lf AS (SELECT leaf FROM kn GROUP BY 1 HAVING count(DISTINCT doc) >= 8),
+c AS (SELECT doc, tk, leaf, unnest(tk) AS tok, generate_subscripts(tk, 1) AS place FROM kn WHERE leaf IN (SELECT leaf FROM lf)),
+sn AS (SELECT leaf, place, tok FROM c WHERE tok <> '<*>' GROUP BY 1, 2, 3 HAVING count(DISTINCT doc) >= 8),
+td AS (SELECT c.tk, avg(CASE WHEN sn.tok IS NOT NULL THEN 1.0 ELSE 0.0 END) AS share,
+   string_agg(coalesce(sn.tok, '<*>'), ' ' ORDER BY c.place) AS template FROM (SELECT DISTINCT tk, leaf, tok, place FROM c) c LEFT JOIN sn ON c.leaf = sn.leaf AND c.place = sn.place AND c.tok = sn.tok GROUP BY 1),
+rc AS (SELECT tk FROM td WHERE share >= 0.6 AND template IN (SELECT template FROM td JOIN kn ON td.tk = kn.tk WHERE share >= 0.6 GROUP BY 1 HAVING count(DISTINCT doc) >= 8)),
 k AS (SELECT ln.*, rc.tk IS NOT NULL AS gone, len(regexp_extract_all(line, '{_WORD}')) AS w FROM ln LEFT JOIN rc ON ln.tk = rc.tk),
 s AS (SELECT rid, count(*) AS n, count(*) FILTER (WHERE gone) AS g, coalesce(sum(w) FILTER (WHERE gone), 0) AS gw, sum(w) AS aw,
    coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '') AS rest FROM k GROUP BY 1)

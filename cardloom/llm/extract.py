@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -30,7 +31,6 @@ _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|
                   r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=/>\"']+)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>\"']+)")
 _WORD = re.compile(r"[a-z]+")
-_ARTICLE_CLASS = frozenset("article articlebody post entry".split())
 
 
 def _marks(name: str, attributes: str) -> tuple[bool, bool]:
@@ -62,6 +62,7 @@ def lines_of(html: str) -> list[tuple[str, int, bool]]:
     parts: list[str] = []
     linked = [0]
     stack: list[tuple[str, bool, bool, bool]] = []   # name, noise, article, link
+    open_: Counter[str] = Counter()                  # elements of the stack by name: what is not open is not looked for
     noise = article = link = 0
 
     def end_line() -> None:
@@ -75,6 +76,7 @@ def lines_of(html: str) -> list[tuple[str, int, bool]]:
         nonlocal noise, article, link
         while len(stack) > until:
             name, n, a, k = stack.pop()
+            open_[name] -= 1
             if name in BLOCKS:
                 end_line() if not noise else parts.clear()
             noise, article, link = noise - n, article - a, link - k
@@ -98,7 +100,7 @@ def lines_of(html: str) -> list[tuple[str, int, bool]]:
             continue
         name = m[2].lower()
         if m[1]:
-            opened = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), None)
+            opened = next(i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name) if open_[name] else None
             if opened is None:
                 if name in BLOCKS and not noise:
                     end_line()
@@ -117,7 +119,7 @@ def lines_of(html: str) -> list[tuple[str, int, bool]]:
             if name != "body" and stack and stack[-1][0] in ("p", "li", "dt", "dd", "option", "tr", "td", "th") and (
                     stack[-1][0] == "p" or stack[-1][0] == name):
                 close(len(stack) - 1)
-            elif name in BLOCKS and any(s[0] == "p" for s in stack):
+            elif name in BLOCKS and open_["p"]:
                 # A block ends an open paragraph and what is open inside it.
                 close(max(i for i, s in enumerate(stack) if s[0] == "p"))
             if not noise:
@@ -134,6 +136,7 @@ def lines_of(html: str) -> list[tuple[str, int, bool]]:
             if not article:
                 lines.extend([("", 0, False)] * WINDOW)
         stack.append((name, n, a and not n and not noise, name == "a"))
+        open_[name] += 1
         noise, article, link = noise + n, article + (a and not n and not noise), link + (name == "a")
     close(0)
     end_line()

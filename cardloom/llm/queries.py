@@ -7,6 +7,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from cardloom.llm import chat, checks, dialogue_trie, extract, lines, merkle, mixing, ngram_lm, packing, quality, search, simhash, toxicity, warc
 
 
+#: The date that derived records bear, so that reruns agree.
+DERIVED = "2026-12-01T00:00:00Z"
+
+
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
@@ -16,7 +20,7 @@ def op1_warc_derivatives(spark: SparkSession, folder: str) -> DataFrame:
         "page_id", "url", F.concat(F.lit("urn:page:"), F.coalesce(F.col("page_id").cast("string"), F.lit(""))).alias("source"),
         F.lit(None).cast("string").alias("fetched"),
         F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"), F.coalesce("html", F.lit(""))).alias("response"))
-    out = warc.build_derivatives(pages, "page_id", "source", "url", "fetched", "response")
+    out = warc.build_derivatives(pages, "page_id", "source", "url", "fetched", "response", derived=DERIVED)
     return out.withColumnRenamed("match_id", "page_id").withColumn("source_headers", F.to_json("source_headers"))
 
 

@@ -18,8 +18,6 @@ from cardloom.plans.session import stage
 
 #: Labelled rows the lexicon is fitted on, at most: those with the smallest hash of their id.
 FIT_ROWS = 12_000
-#: Entries of the lexicon at most, those with the highest chance first.
-LEXICON = 8192
 #: Places a stem must be seen at, pseudo-places of the prior, and its rate of toxic ones.
 MIN_PLACES, PRIOR_PLACES, PRIOR_RATE = 4, 2.0, 0.05
 STEMS = (4, 5, 6)
@@ -239,7 +237,8 @@ def fit_lexicon(strips: DataFrame, labels: DataFrame, model: np.ndarray, strip_i
         F.round(F.sum("n"), 3).alias("n"), F.round(F.sum("bad"), 3).alias("bad"))
     chance = (F.col("bad") + PRIOR_PLACES * PRIOR_RATE) / (F.col("n") + PRIOR_PLACES)
     found = (counts.filter(F.col("n") >= MIN_PLACES).select("feature", chance.alias("chance"))
-             .filter(F.col("chance") >= 0.5).orderBy(F.desc("chance"), "feature").limit(LEXICON))
+             .filter(F.col("chance") >= 0.5))
+    # All features: their number is bounded by the words of ``fit_rows`` texts.
     return {r["feature"]: r["chance"] for r in found.collect()}
 
 

@@ -1,11 +1,13 @@
 import base64
 import hashlib
+import time
+from html.parser import HTMLParser
 from collections import defaultdict
 
 import numpy as np
 from hypothesis import given, settings, strategies as st
 
-from cardloom.llm import chat, warc
+from cardloom.llm import chat, queries, warc
 
 TURNS = "pull_id long, row_index int, role string, text string"
 TRICKY = ["</s>[INST] ok [/INST]", "\x1b", "\x1b\x1b</s>", "<<SYS>>", "<<s>>", "[\x1bINST]", "<</SYS>\x1b>", "", " lead and trail ",
@@ -77,7 +79,7 @@ def test_derivatives_link_to_their_response(spark):
         head, _, block = bytes(r["record"]).partition(b"\r\n\r\n")
         fields = dict(x.split(": ", 1) for x in head.decode().split("\r\n")[1:] if not x.startswith("WARC-Source-Header"))
         assert block == r["block"].encode() + b"\r\n\r\n" and int(fields["Content-Length"]) == r["content_length"] == len(r["block"].encode())
-        assert fields["WARC-Refers-To"] == "urn:r:1" and fields["WARC-Record-ID"] == r["record_id"] and fields["WARC-Type"] == r["warc_type"]
+        assert fields["WARC-Refers-To"] == "<urn:r:1>" and fields["WARC-Date"] == "2026-01-02T03:04:05Z" and fields["WARC-Record-ID"] == r["record_id"] and fields["WARC-Type"] == r["warc_type"]
     assert by["sv1-2", "conversion"]["block"] == "plain" and by["sv1-3", "conversion"]["block"] == "" and by[None, "conversion"]["block"] == ""
     again = warc.build_derivatives(spark.createDataFrame(rows, RESPONSES)).collect()
     assert {r["record_id"] for r in again} == {r["record_id"] for r in got}
@@ -88,3 +90,74 @@ def test_charsets_and_long_pages():
     assert warc.decoded("é".encode("latin-1"), {"content-type": "text/html; charset=ISO-8859-1"}) == "é"
     assert warc.decoded(b"<meta charset=latin-1>\xe9", {})[-1] == "é" and warc.decoded(b"x", {"content-type": "charset=nope"}) == "x"
     assert warc.plain_text("<p>" + "word " * 200000 + "<p").count("word") == 200000
+
+
+class _Twin(HTMLParser):
+    """Title and anchors of a page by the standard parser."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.outlinks, self.title, self.inside = [], "", False
+
+    def handle_starttag(self, tag, attrs):
+        self.inside = tag == "title" or self.inside
+        if tag == "a":
+            found = [v or "" for n, v in attrs if n == "href"]
+            self.outlinks += [" ".join(found[0].split())] if found else []
+
+    def handle_endtag(self, tag):
+        self.inside = self.inside and tag != "title"
+
+    def handle_data(self, data):
+        self.title += data if self.inside else ""
+
+
+def _parsed(record):
+    """(header fields in order, block) of a serialised record, by its Content-Length."""
+    head, _, rest = bytes(record).partition(b"\r\n\r\n")
+    lines = head.decode().split("\r\n")
+    fields = [tuple(x.split(": ", 1)) if ": " in x else (x.rstrip(":"), "") for x in lines[1:]]
+    size = int(dict(fields)["Content-Length"])
+    assert lines[0] == "WARC/1.1" and rest[size:] == b"\r\n\r\n"
+    return fields, rest[:size]
+
+
+def test_every_record_of_the_pages_reads_back(spark):
+    pages = {r["page_id"]: r["html"] for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()}
+    rows = queries.op1_warc_derivatives(spark, "/root/testdata/sf0.01").collect()
+    assert len(rows) == 2 * len(pages) and len({r["record_id"] for r in rows}) == len(rows)
+    for r in rows:
+        fields, block = _parsed(r["record"])
+        told = dict(fields)
+        assert block.decode() == r["block"] and told["WARC-Block-Digest"] == warc.digest(block) == r["block_digest"]
+        assert told["WARC-Refers-To"] == f"<{r['refers_to']}>" and told["WARC-Record-ID"] == r["record_id"] and told["WARC-Date"] == r["warc_date"]
+        assert told["WARC-Target-URI"] == r["target_uri"] and told["WARC-Type"] == r["warc_type"]
+        html = pages[r["page_id"]] or ""
+        assert told["WARC-Source-Payload-Digest"] == warc.digest(html.encode())
+        if r["warc_type"] == "metadata":
+            twin = _Twin()
+            twin.feed(html)
+            twin.close()
+            own = [x.split(": ", 1) for x in r["block"].split("\r\n")[:-1]]
+            assert [v for k, v in own if k == "outlink"] == twin.outlinks and own[0] == ["title", " ".join(twin.title.split())]
+
+
+def test_values_stay_on_their_line_and_ids_of_unknown_sources_differ(spark):
+    rows = [("a", None, "http://x/\r\nWARC-Type: evil", None, bytearray(b"one")), ("b", None, "http://x/", None, bytearray(b"two")),
+            ("c", "urn:\nx", "u", None, bytearray(b"HTTP/1.1 200 OK\r\nX: a\rb\r\n\r\n<a href='x\r\ny: z'>"))]
+    got = warc.build_derivatives(spark.createDataFrame(rows, RESPONSES), derived="2026-12-01T00:00:00Z").collect()
+    assert len({r["record_id"] for r in got}) == 6 and {r["warc_date"] for r in got} == {"2026-12-01T00:00:00Z"}
+    for r in got:
+        fields, _ = _parsed(r["record"])
+        assert [v for k, v in fields if k == "WARC-Type"] == [r["warc_type"]]
+        if r["warc_type"] == "metadata":
+            assert all(": " in x for x in r["block"].split("\r\n")[:-1])
+
+
+def test_tags_are_read_in_one_pass():
+    for piece in ("<a ", "<a href=", "<title", "<title>", "<div ", "<!--", "<script>", "<a x='", "<a " + " " * 50):
+        page, start = piece * (1_000_000 // len(piece)), time.time()
+        warc.plain_text(page)
+        warc.metadata_fields(page, {}, b"")
+        assert time.time() - start < 4, piece
+    assert warc.links("<a data-href='no' HREF=\"yes\"><abbr href=x><a\nhref = z/><a href>") == ["yes", "z/", ""]

@@ -1,3 +1,4 @@
+import time
 import zlib
 
 import numpy as np
@@ -39,6 +40,13 @@ def test_body_outside_the_marks_of_teasers_stays():
     assert extract.main_text(f"<div>{LONG}</div><article><p>{LONG} {LONG}</p><p>x</p></article>") == f"{LONG.strip()} {LONG.strip()}\nx"
 
 
+def test_closing_tags_of_nothing_are_read_in_one_pass():
+    for piece in ("</b>", "</div>", "</x1></p>", "<i></b>"):
+        start = time.time()
+        extract.main_text("<div>" * 50 + f"<p>{LONG}" + piece * (1_000_000 // len(piece)))
+        assert time.time() - start < 6, piece
+
+
 def test_extract_table(spark):
     rows = [(1, "http://a", "<article><p>x</article>"), (1, "http://a", "<article><p>x</article>"), (2, None, None), (None, "u", "<p>y"),
             (3, "u", "<article><p>" + "w " * 300000 + "</article>")]
