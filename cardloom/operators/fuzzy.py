@@ -14,6 +14,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, functions as F
 
 from cardloom.functions import names as S, numbers as N
+from cardloom.plans.session import stage
 from cardloom.plans.skew import top_k
 
 
@@ -36,11 +37,11 @@ def _tokens(c: Column) -> Column:
 
 
 def _sorted_text(c: Column) -> Column:
-    return F.array_join(F.array_sort(_tokens(c)), " ")
+    return F.array_join(F.sort_array(_tokens(c)), " ")
 
 
 def _distinct_tokens(c: Column) -> Column:
-    return F.array_sort(F.array_distinct(_tokens(c)))
+    return F.sort_array(F.array_distinct(_tokens(c)))
 
 
 def aligned_score(a: Column, b: Column) -> Column:
@@ -63,10 +64,12 @@ def composite_score(a: Column, b: Column) -> Column:
     right = F.trim(F.concat(shared, F.lit(" "), F.array_join(F.array_except(db, da), " ")))
     token_set = F.when(shared == "", edit_score(left, right)).otherwise(
         F.greatest(edit_score(left, right), edit_score(shared, left), edit_score(shared, right)))
+    whole = F.greatest(edit_score(a, b), TOKEN_WEIGHT * edit_score(_sorted_text(a), _sorted_text(b)), TOKEN_WEIGHT * token_set)
     least, most = F.least(F.length(a), F.length(b)), F.greatest(F.length(a), F.length(b))
-    partial = F.when((least > 0) & (most >= PARTIAL_FROM * least),
-                     F.when(most <= PARTIAL_UPTO * least, PARTIAL_WEIGHT).otherwise(FAR_WEIGHT) * aligned_score(a, b)).otherwise(0.0)
-    return F.greatest(edit_score(a, b), TOKEN_WEIGHT * edit_score(_sorted_text(a), _sorted_text(b)), TOKEN_WEIGHT * token_set, partial)
+    counts = (least > 0) & (most >= PARTIAL_FROM * least)
+    partial = F.when(most <= PARTIAL_UPTO * least, PARTIAL_WEIGHT).otherwise(FAR_WEIGHT) * aligned_score(a, b)
+    # Windows are looked at only where they can be the best: their score is 90 at most.
+    return F.when(~counts | (whole >= 100.0 * PARTIAL_WEIGHT), whole).otherwise(F.greatest(whole, partial))
 
 
 def query_ok(q: Column) -> Column:
@@ -139,16 +142,16 @@ def covering_pairs(lefts: DataFrame, rights: DataFrame, need: float, scope: list
     Prefix filter: x is filed under its rarest tokens only (by how many y hold them), as many as weigh more than what may be
     missing: whoever shares none of these misses too much. A token in half of the names is hardly ever among them."""
     slack = (100.0 - need) / 100.0
-    size = lambda c: F.length(F.array_join(_distinct_tokens(F.col(c)), " "))
-    y = rights.select("y", *scope, F.explode(_distinct_tokens(F.col("y"))).alias("__t"))
+    y = rights.select("y", *scope, _distinct_tokens(F.col("y")).alias("__yt")).withColumn("__t", F.explode("__yt"))
     often = y.groupBy("__t").agg(F.count(F.lit(1)).alias("__n"))
     x = lefts.select("x", *scope, F.explode(_distinct_tokens(F.col("x"))).alias("__t")).join(often, "__t", "left")
     x = x.groupBy("x", *scope).agg(F.sort_array(F.collect_list(F.struct(F.coalesce("__n", F.lit(0)).alias("n"), F.col("__t").alias("t")))).alias("__all"))
     weight = lambda ts: F.aggregate(ts, F.lit(0), lambda w, t: w + F.length(t["t"]) + 1)
     rare = F.filter("__all", lambda t, i: weight(F.slice(F.col("__all"), F.lit(1), i)) <= slack * weight(F.col("__all")) + 1e-9)
-    x = x.select("x", *scope, F.explode(F.filter(rare, lambda t: t["n"] > 0)).alias("__r")).select("x", *scope, F.col("__r.t").alias("__t"))
-    share = F.length(F.array_join(F.array_intersect(_distinct_tokens(F.col("x")), _distinct_tokens(F.col("y"))), " "))
-    return x.join(y, ["__t", *scope]).filter(share >= need / 100.0 * size("x") - 1e-9).select("x", "y", *scope)
+    x = x.select("x", *scope, F.transform("__all", lambda t: t["t"]).alias("__xt"), F.explode(F.filter(rare, lambda t: t["n"] > 0)).alias("__r"))
+    x = x.select("x", *scope, "__xt", F.length(F.array_join("__xt", " ")).alias("__size"), F.col("__r.t").alias("__t"))
+    share = F.length(F.array_join(F.array_intersect("__xt", "__yt"), " "))
+    return x.join(y, ["__t", *scope]).filter(share >= need / 100.0 * F.col("__size") - 1e-9).select("x", "y", *scope)
 
 
 def split_pairs(queries: DataFrame, keys: DataFrame, need: float, scope: list[str]) -> DataFrame:
@@ -200,7 +203,8 @@ def window_pairs(shorts: DataFrame, longs: DataFrame, need: float, scope: list[s
     fits = ((F.col("__n") >= PARTIAL_FROM * m) & (F.col("__n") <= PARTIAL_UPTO * m) & (shift >= -k) & (shift <= F.col("__n") - m + k)
             & (F.substr("y", shift + F.col("__o") + 1, F.col("__l")) == F.substr("x", F.col("__o") + 1, F.col("__l"))))
     met = rare.join(y, ["__g", *scope]).filter(fits).select("x", "y", *scope).distinct()
-    return met.filter(aligned_score(F.col("x"), F.col("y")) >= need - 1e-9)
+    # Without edits the one segment is x itself, found whole.
+    return met.filter((k == 0) | (aligned_score(F.col("x"), F.col("y")) >= need - 1e-9))
 
 
 def token_pairs(queries: DataFrame, keys: DataFrame, floor: float, scope: list[str] | None = None) -> DataFrame:
@@ -211,6 +215,8 @@ def token_pairs(queries: DataFrame, keys: DataFrame, floor: float, scope: list[s
     grows with the pairs found, not with how many names share a token."""
     scope = scope or []
     need = floor / TOKEN_WEIGHT
+    # Read by every kind of pairs below, so made once.
+    queries, keys = stage(queries.select("q", *scope).distinct(), "queries"), stage(keys.select("key", *scope).distinct(), "keys")
 
     def forms(df, c, form, own):
         """A string as it is, with sorted tokens, and with sorted distinct tokens, each once."""
@@ -261,12 +267,14 @@ def match_name(queries: DataFrame, catalog: DataFrame, floor: float = 82.0,
     keys = p.select("key").distinct()
     asked = (queries.select("text", "denominator").distinct()
              .withColumn("q", S.normalize_name(F.col("text"))).filter(query_ok(F.col("q"))))
+    asked = stage(asked, "asked")
     texts = asked.select("q").distinct()
     found = pairs(texts, keys, floor)
     scored = found.withColumn("score", scorer(F.col("q"), F.col("key"))).filter(F.col("score") >= floor - 1e-9)
     best = (scored.groupBy("q").agg(F.min(F.struct((-F.col("score")).alias("s"), "key")).alias("m"))
             .select("q", "m.key", (-F.col("m.s")).alias("score"))
             .filter(long_enough(F.col("q"), F.col("key"))))
+    best = stage(best, "best")
     hazard = hazard_keys(keys).withColumn("hazard", F.lit(True))
     best = best.join(hazard, "key", "left")
     # printings per (key, denominator) asked, pre-aggregated to counts and first rows
@@ -314,6 +322,7 @@ def match_name_in_set(queries: DataFrame, catalog: DataFrame, floor: float = 80.
              .filter(query_ok(F.col("q")))
              .join(counts, "official_count", "left").join(pre, "prefix", "left")
              .withColumn("scope", F.coalesce("set_id", "by_count", "by_prefix")).filter("scope IS NOT NULL"))
+    asked = stage(asked, "asked")
     p = _printings(catalog).withColumnRenamed("set_id", "scope")
     texts, keys = asked.select("q", "scope").distinct(), p.select("key", "scope").distinct()
     found = pairs(texts, keys, floor, ["scope"])

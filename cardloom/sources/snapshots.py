@@ -39,6 +39,6 @@ def snapshot_status(spark: SparkSession, root: str) -> DataFrame:
 def read_snapshot(spark: SparkSession, root: str, name: str) -> DataFrame:
     """Facts of the newest ``done`` snapshot; other partitions are not listed."""
     log = spark.read.parquet(f"{root}/snapshot_log").filter("status = 'done'")
-    newest = log.agg(F.max_by("snapshot_id", F.struct("created_at", "snapshot_id")).alias("id"))
-    facts = spark.read.option("basePath", f"{root}/{name}").parquet(f"{root}/{name}")
-    return facts.where(F.col("snapshot_id") == newest.scalar())
+    newest = log.agg(F.max_by("snapshot_id", F.struct("created_at", "snapshot_id")).alias("id")).first()["id"]
+    facts = spark.read.option("basePath", f"{root}/{name}")
+    return facts.parquet(f"{root}/{name}").limit(0) if newest is None else facts.parquet(f"{root}/{name}/snapshot_id={newest}")
